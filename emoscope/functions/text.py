@@ -65,9 +65,10 @@ def estimate_frames(ref_frames, ref_text, gen_text, speed=1.0, slow_below_bytes:
 
 
 def estimate_seconds(ref_seconds, ref_text, gen_text, speed=1.0) -> Column:
-    """PRJ22: the same estimate with a character ratio, in seconds."""
+    """PRJ22: estimate by character ratio, in seconds:
+    ``ref * (1 + gen_chars / ref_chars) / speed``."""
     ref = _c(ref_seconds).cast("double")
-    return ref / F.char_length(_c(ref_text)) * F.char_length(_c(gen_text)) / _lit(speed)
+    return ref * (F.lit(1.0) + F.char_length(_c(gen_text)) / F.char_length(_c(ref_text))) / _lit(speed)
 
 
 def chunk_budget(ref_text, ref_seconds, speed=1.0, horizon: float = 22.0) -> Column:

@@ -8,6 +8,7 @@ from emoscope.plans.registry import REGISTRY
 
 MODULES = [
     "emoscope.plans.q_predictions",
+    "emoscope.plans.q_corpus",
 ]
 
 _loaded = False
