@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emoscope.functions.hashing import stable_hash
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -144,7 +146,7 @@ def random_crop(arr, n: int, seed_col) -> Column:
     """ARR17 fixed-length crop at a hash-drawn start when longer than ``n``."""
     a = _c(arr)
     size = F.size(a)
-    start = F.pmod(F.xxhash64(_c(seed_col)), F.greatest(size - n + 1, F.lit(1))) + 1
+    start = F.pmod(stable_hash(_c(seed_col), 0), F.greatest(size - n + 1, F.lit(1))) + 1
     return F.when(size > n, F.slice(a, start.cast("int"), n)).otherwise(a)
 
 

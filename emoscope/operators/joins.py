@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emoscope.functions.hashing import stable_hash
 from emoscope.operators.ordered import global_row_number
 
 
@@ -128,8 +129,8 @@ def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool
             .withColumn("wer", F.when(F.col("ref_len") > 0, F.col("edits") / F.col("ref_len"))))
 
 
-def _hash_rank(seed: int, *cols: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+def _hash_rank(seed: int, col: str) -> Column:
+    return stable_hash(col, seed)
 
 
 def sample_same_key(df: DataFrame, key: str, id_col: str, seed: int = 0) -> DataFrame:
@@ -142,7 +143,7 @@ def sample_same_key(df: DataFrame, key: str, id_col: str, seed: int = 0) -> Data
     numbered = ordered_scan(df.select(key, id_col), [key], [_hash_rank(seed, id_col), id_col], row_number="__pos")
     sized = key_sizes(numbered, [key], "__n")
     draw = df.join(sized.select(key, id_col, "__n"), [key, id_col])
-    draw = draw.withColumn("__want", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.col("__n")) + 1)
+    draw = draw.withColumn("__want", F.pmod(stable_hash(id_col, seed + 1), F.col("__n")) + 1)
     partner = numbered.select(key, F.col("__pos").alias("__want"), F.col(id_col).alias("partner_id"))
     return draw.join(partner, [key, "__want"]).drop("__want", "__n")
 

@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emoscope.functions.hashing import stable_hash
 from emoscope.operators.ordered import global_row_number, key_sizes, ordered_scan
 
 
@@ -127,7 +128,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 def shuffle_order(df: DataFrame, id_col: str, seed: int, epoch: int = 0, name: str = "shuffle_key") -> DataFrame:
     """WIN15 deterministic epoch-seeded order: a hash key (sort on it when
     writing; no global sort is forced here)."""
-    return df.withColumn(name, F.xxhash64(F.col(id_col), F.lit(seed + epoch)))
+    return df.withColumn(name, stable_hash(id_col, seed + epoch))
 
 
 def sort_by_cost(df: DataFrame, cost: str, id_col: str) -> DataFrame:
@@ -160,7 +161,7 @@ def best_reference(df: DataFrame, speaker: str, emotion: str, duration: str, id_
     scored = df.withColumn("score", score)
     per_spk = top_n(scored, [speaker, emotion],
                     [F.col("score").desc_nulls_last(), F.col(id_col)], 1, "__r1").drop("__r1")
-    ranked = top_n(per_spk, [emotion], [F.xxhash64(F.col(speaker), F.lit(seed)), F.col(speaker)], n, "pick")
+    ranked = top_n(per_spk, [emotion], [stable_hash(speaker, seed), F.col(speaker)], n, "pick")
     return ranked
 
 

@@ -13,14 +13,13 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emoscope.functions.hashing import stable_hash
 from emoscope.operators.ordered import key_sizes, ordered_scan
 from emoscope.operators.ranking import running_offset, top_n
 
 
 def _h(id_col: str, seed: int) -> Column:
-    """Hash order key that DuckDB can reproduce: first 15 hex digits of md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10) \
-        .cast("bigint")
+    return stable_hash(id_col, seed)
 
 
 def holdout_top_n(df: DataFrame, strata: Sequence[str], order: Sequence[Column], n: int,

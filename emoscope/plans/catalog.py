@@ -9,6 +9,7 @@ from emoscope.plans.registry import REGISTRY
 MODULES = [
     "emoscope.plans.q_predictions",
     "emoscope.plans.q_corpus",
+    "emoscope.plans.q_windows",
 ]
 
 _loaded = False
