@@ -25,6 +25,14 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+    Catalyst does not share sub-expressions inside lambdas, so a per-array
+    statistic used inside ``transform`` must be bound this way or it is
+    recomputed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pad_batch(df: DataFrame, batch_col: str, arr_col: str, value=0, cap: int | None = None) -> DataFrame:
     """ARR05 pad every array to the longest of its batch with ``value``; adds
     ``padded``, ``mask`` (True on padding) and ``length``.  With ``cap`` the
@@ -56,22 +64,21 @@ def rms(arr) -> Column:
 def rms_normalise(arr, target: float = 0.1) -> Column:
     """ARR07 scale up to ``target`` RMS only when below it."""
     a = _c(arr)
-    r = rms(a)
-    return F.when(r < target, F.transform(a, lambda x: x * F.lit(target) / r)).otherwise(a)
+    return let(rms(a), lambda r: F.when(r < target, F.transform(a, lambda x: x * F.lit(target) / r)).otherwise(a))
 
 
 def peak_normalise(arr, level: float = 0.95) -> Column:
     """ARR08 scale so the largest magnitude equals ``level`` (if above 0)."""
     a = _c(arr)
     peak = F.array_max(F.transform(a, lambda x: F.abs(x)))
-    return F.when(peak > 0, F.transform(a, lambda x: x / peak * F.lit(level))).otherwise(a)
+    return let(peak, lambda p: F.when(p > 0, F.transform(a, lambda x: x / p * F.lit(level))).otherwise(a))
 
 
 def loudness_blend(arr) -> Column:
     """ARR08 blend ``x / max * 0.5 + 0.5 * x`` (max of magnitudes)."""
     a = _c(arr)
     peak = F.array_max(F.transform(a, lambda x: F.abs(x)))
-    return F.when(peak > 0, F.transform(a, lambda x: x / peak * 0.5 + x * 0.5)).otherwise(a)
+    return let(peak, lambda p: F.when(p > 0, F.transform(a, lambda x: x / p * 0.5 + x * 0.5)).otherwise(a))
 
 
 def trim_quiet(arr, threshold: float) -> Column:
@@ -94,9 +101,12 @@ def layer_norm(arr, eps: float = 1e-5) -> Column:
     """ARR11 standardise a vector (population variance, no affine)."""
     a = _c(arr)
     n = F.size(a)
-    mean = _sum(a) / n
-    var = _sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+
+    def with_mean(mean):
+        var = _sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n
+        return let(F.sqrt(var + F.lit(eps)), lambda sd: F.transform(a, lambda x: (x - mean) / sd))
+
+    return let(_sum(a) / n, with_mean)
 
 
 def mean_pool(df: DataFrame, key: Sequence[str] | str, arr_col: str) -> DataFrame:

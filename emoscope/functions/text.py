@@ -142,12 +142,11 @@ def tokenize_char(col) -> Column:
 
 
 def tokenize_bytes(col) -> Column:
-    """ARR03: UTF-8 bytes as integers 0..255."""
-    h = F.hex(F.encode(_c(col), "UTF-8"))
-    n = F.octet_length(_c(col))
-    idx = F.sequence(F.lit(0), n - 1)
-    return F.when(n > 0, F.transform(idx, lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
+    """ARR03: UTF-8 bytes as integers 0..255.  The hex string is cut into
+    pairs by one regex pass (linear; positional substrings on a UTF-8 string
+    would rescan it for every byte)."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(_c(col), "UTF-8")), F.lit("(..)"), 1)
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def encode_tokens(tokens, vocab: DataFrame | dict, token_col="token", idx_col="idx") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emoscope.functions.text import tokenize_char
 from emoscope.operators.ordered import global_row_number
+from emoscope.operators.parallel import spread
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
@@ -68,7 +69,7 @@ def manifest_summary(df: DataFrame, duration: str = "duration", text: str = "tex
 def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """AGG16 distinct characters of the texts (plus forced code-point ranges,
     e.g. 32-126 and 192-255), sorted by code point, indexed from 0."""
-    chars = df.select(F.explode(tokenize_char(text)).alias("token")).distinct()
+    chars = spread(df).select(F.explode(tokenize_char(text)).alias("token")).distinct()
     spark = df.sparkSession
     for lo, hi in extra_ranges:
         rng = spark.range(lo, hi + 1).select(
@@ -82,7 +83,7 @@ def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]
 def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """ARR02 for vocabularies of any size: explode, join to (token, idx),
     unknown -> 0, collect back in position order per row."""
-    ex = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    ex = spread(df).select(id_col, F.posexplode(tokens).alias("pos", "token"))
     j = ex.join(vocab.select("token", "idx"), "token", "left").fillna(0, subset=["idx"])
     coll = F.array_sort(F.collect_list(F.struct("pos", "idx")))
     return j.groupBy(id_col).agg(F.transform(coll, lambda s: s["idx"]).alias("ids"))
@@ -91,7 +92,7 @@ def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) ->
 def oov(df: DataFrame, id_col: str, text: str, vocab: DataFrame) -> DataFrame:
     """AGG17 characters not in the vocabulary, in first-seen order (by row
     id, then position): an anti join, then ``min(struct(id, pos))``."""
-    ex = df.select(id_col, F.posexplode(tokenize_char(text)).alias("pos", "token"))
+    ex = spread(df).select(id_col, F.posexplode(tokenize_char(text)).alias("pos", "token"))
     miss = ex.join(vocab.select("token"), "token", "left_anti")
     first = miss.groupBy("token").agg(F.min(F.struct(id_col, "pos")).alias("__first"), F.count(F.lit(1)).alias("n"))
     return first.select("token", "n", F.col(f"__first.{id_col}").alias("first_row"), F.col("__first.pos").alias("first_pos"))

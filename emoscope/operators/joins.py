@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emoscope.functions.hashing import stable_hash
@@ -100,33 +100,57 @@ def words(col: Column) -> Column:
 
 
 def edit_distance_words(ref_words: Column, hyp_words: Column) -> Column:
-    """Word-level Levenshtein distance of two token arrays, computed by the
-    JVM: every distinct word of the pair is given one code point, and the two
-    encoded strings go to the built-in ``levenshtein`` (whole texts, no cap)."""
-    vocab = F.array_distinct(F.concat(ref_words, hyp_words))
+    """Word-level Levenshtein distance of two token arrays as one column
+    expression: each distinct word of the pair becomes one code point and the
+    encoded strings go to the built-in ``levenshtein``.  The lookup is linear
+    in the vocabulary per word, so use it for short arrays; ``word_error_rate``
+    encodes long texts with a per-pair rank instead."""
+    from emoscope.functions.arrays import let
 
-    def enc(ws):
-        return F.array_join(F.transform(ws, lambda w: _code_point(F.array_position(vocab, w))), "")
+    def encode(vocab):
+        def enc(ws):
+            return F.array_join(F.transform(ws, lambda w: _code_point(F.array_position(vocab, w))), "")
+        return F.levenshtein(enc(ref_words), enc(hyp_words))
 
-    return F.levenshtein(enc(ref_words), enc(hyp_words))
+    return let(F.array_distinct(F.concat(ref_words, hyp_words)), encode)
 
 
-def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool = False) -> DataFrame:
+def _encoded_words(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """Per pair, both texts as strings of word codes: every word gets the
+    dense rank of its spelling within the pair (a per-pair window, bounded by
+    the pair's length), then the codes are put back in word order."""
+    df = spread(df)
+    toks = (df.select(key, F.posexplode(words(F.col(ref))).alias("pos", "w")).withColumn("side", F.lit(0))
+            .unionByName(df.select(key, F.posexplode(words(F.col(hyp))).alias("pos", "w")).withColumn("side", F.lit(1))))
+    toks = toks.withColumn("code", F.dense_rank().over(Window.partitionBy(key).orderBy("w")))
+    seq = F.array_sort(F.collect_list(F.struct("side", "pos", _code_point(F.col("code")).alias("ch"))))
+
+    def side(arr, s):
+        return F.array_join(F.transform(F.filter(arr, lambda t: t["side"] == s), lambda t: t["ch"]), "")
+
+    enc = toks.groupBy(key).agg(seq.alias("__seq"))
+    return enc.select(key, side(F.col("__seq"), 0).alias("__ref_enc"), side(F.col("__seq"), 1).alias("__hyp_enc"))
+
+
+def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool = False,
+                    key: str = "pair_id") -> DataFrame:
     """JN09 WER = (S + D + I) / N on normalised texts; NULL for an empty
-    reference.  ``char_level`` (per row or fixed) scores characters instead
-    of words (for Chinese), with blanks removed."""
-    r_words = words(F.col(ref))
-    h_words = words(F.col(hyp))
-    word_d = edit_distance_words(r_words, h_words)
+    reference.  Word level: words are encoded per pair (``_encoded_words``)
+    and scored by the JVM ``levenshtein``; whole texts, no cap.  With
+    ``char_level`` (per row or fixed) characters are scored instead (for
+    Chinese), blanks removed."""
+    cl = char_level if isinstance(char_level, Column) else F.lit(bool(char_level))
+    base = df.withColumn("__cl", cl)
+    enc = _encoded_words(base, key, ref, hyp)
+    out = base.join(enc, key, "left").fillna("", subset=["__ref_enc", "__hyp_enc"])
     r_chars = F.regexp_replace(F.col(ref), r"\s+", "")
     h_chars = F.regexp_replace(F.col(hyp), r"\s+", "")
-    char_d = F.levenshtein(r_chars, h_chars)
-    cl = char_level if isinstance(char_level, Column) else F.lit(bool(char_level))
-    dist = F.when(cl, char_d).otherwise(word_d)
-    n = F.when(cl, F.char_length(r_chars)).otherwise(F.size(r_words))
-    return (df.withColumn("edits", dist.cast("bigint"))
+    dist = F.when(F.col("__cl"), F.levenshtein(r_chars, h_chars)).otherwise(F.levenshtein("__ref_enc", "__hyp_enc"))
+    n = F.when(F.col("__cl"), F.char_length(r_chars)).otherwise(F.char_length("__ref_enc"))
+    return (out.withColumn("edits", dist.cast("bigint"))
             .withColumn("ref_len", n.cast("bigint"))
-            .withColumn("wer", F.when(F.col("ref_len") > 0, F.col("edits") / F.col("ref_len"))))
+            .withColumn("wer", F.when(F.col("ref_len") > 0, F.col("edits") / F.col("ref_len")))
+            .drop("__cl", "__ref_enc", "__hyp_enc"))
 
 
 def _hash_rank(seed: int, col: str) -> Column:
@@ -169,3 +193,16 @@ def pair_by_stem(df: DataFrame, path_col: str, gen_suffix: str = "_gen", ref_suf
     ref = df.where(stem.endswith(ref_suffix)).select(
         F.regexp_replace(stem, re.escape(ref_suffix) + "$", "").alias("stem"), F.col(path_col).alias("ref_path"))
     return gen.join(ref, "stem")
+
+
+def lookup_instruction(jobs: DataFrame, dim: DataFrame, emotion: str = "emotion", kind: str = "emotion_type",
+                       template: str = "Speak in a %s tone.") -> DataFrame:
+    """PRJ28 instruction for each job: the (emotion, kind) entry; else the
+    emotion's first entry (smallest text); else a template.  ``dim`` has
+    columns (emotion, kind, instr); both lookups are left equi-joins."""
+    exact = dim.select(F.col("emotion").alias("__e1"), F.col("kind").alias("__k1"), F.col("instr").alias("__i1"))
+    first = dim.groupBy(F.col("emotion").alias("__e2")).agg(F.min("instr").alias("__i2"))
+    out = (jobs.join(exact, (F.col(emotion) == F.col("__e1")) & (F.col(kind) == F.col("__k1")), "left")
+           .join(first, F.col(emotion) == F.col("__e2"), "left"))
+    instr = F.coalesce(F.col("__i1"), F.col("__i2"), F.format_string(template, F.col(emotion)))
+    return out.withColumn("instruction", instr).drop("__e1", "__k1", "__i1", "__e2", "__i2")

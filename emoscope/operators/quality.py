@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emoscope.operators.parallel import spread
+
 
 def keep_labels(df: DataFrame, col: str, labels: Sequence[str]) -> DataFrame:
     """FLT01 keep rows whose label is in the set."""
@@ -59,11 +61,13 @@ def repetition_hits(df: DataFrame, id_col: str, col: str, n: int = 2, tolerance:
     One row per character position is generated and combined map-side by
     ``groupBy(id, gram)`` (partial aggregation), so the shuffle carries
     distinct (id, gram) pairs only; whole texts are scanned."""
-    grams = df.select(
-        F.col(id_col).alias("__id"),
-        F.explode(F.sequence(F.lit(1), F.greatest(F.char_length(col) - n + 1, F.lit(0)))).alias("__i"),
-        F.col(col).alias("__t"))
-    grams = grams.where(F.col("__i") >= 1).select("__id", F.substring("__t", F.col("__i"), F.lit(n)).alias("__g"))
+    # n-grams from the character array, materialised once per row: element
+    # access is O(1), so a text of k characters costs O(k * n)
+    chars = spread(df).select(F.col(id_col).alias("__id"), F.split(F.col(col), "").alias("__c"))
+    k = F.size("__c") - n + 1
+    starts = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    gram = lambda i: F.concat(*[F.element_at(F.col("__c"), i + j) for j in range(n)])
+    grams = chars.select("__id", F.explode(F.transform(starts, gram)).alias("__g"))
     counts = grams.groupBy("__id", "__g").agg(F.count(F.lit(1)).alias("__n"))
     return counts.where(F.col("__n") > tolerance).select(F.col("__id").alias(id_col)).distinct()
 

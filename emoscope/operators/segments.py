@@ -98,7 +98,7 @@ def segment_styles(df: DataFrame, col: str) -> DataFrame:
     regular = F.struct(F.lit("Regular").alias("name"), F.lit(-1).cast("bigint").alias("seed"),
                        F.lit(1.0).alias("speed"))
     ex = df.select("*", F.posexplode(texts).alias("segment_idx", "__t"), marks.alias("__marks"))
-    mark = F.try_element_at("__marks", F.col("segment_idx"))  # marker before piece i is marks[i] (1-based i)
+    mark = F.get(F.col("__marks"), F.col("segment_idx") - 1)  # marker before piece i (NULL for i = 0)
     is_json = mark.rlike(r'^\{\s*"')
     bare = F.struct(F.expr("substring(__m, 2, char_length(__m) - 2)").alias("name"),
                     F.lit(-1).cast("bigint").alias("seed"), F.lit(1.0).alias("speed"))

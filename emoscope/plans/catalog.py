@@ -10,6 +10,7 @@ MODULES = [
     "emoscope.plans.q_predictions",
     "emoscope.plans.q_corpus",
     "emoscope.plans.q_windows",
+    "emoscope.plans.q_text",
 ]
 
 _loaded = False
