@@ -196,3 +196,53 @@ def rechunk(arr, n: int) -> Column:
     a = _c(arr)
     starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(n))
     return F.when(F.size(a) > 0, F.transform(starts, lambda s: F.slice(a, s, n))).otherwise(F.array())
+
+
+def concat_capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], arr_col: str, cap: int,
+                  out: str = "joined") -> DataFrame:
+    """ARR14 concatenate each key's arrays in ``order`` until ``cap`` elements;
+    the last array taken is cut.  Rows past the cap are dropped before the
+    collect (range-sharded running sum), so each collected array is bounded by
+    ``cap``."""
+    from emoscope.operators.ranking import take_until
+    sized = df.withColumn("__len", F.size(arr_col))
+    taken = take_until(sized, list(keys), list(order), "__len", float(cap))
+    taken = taken.withColumn("__part", F.slice(arr_col, 1, F.col("taken").cast("int")))
+    parts = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("__part").alias("__p"))))
+    return taken.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda s: s["__p"])).alias(out))
+
+
+def crossfade(df: DataFrame, key: str, order: str, arr_col: str, n: int, out: str = "wave") -> DataFrame:
+    """ARR15 join one entity's segments (e.g. the chunks of one generated
+    utterance) in order with linear cross-fades.  The overlap starts at ``n``
+    and, as in the reference, keeps shrinking to the shortest side seen.
+    Runs as an ``aggregate`` fold over the entity's ordered segments."""
+    segs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(arr_col).alias("a"))))
+    grouped = df.groupBy(key).agg(segs.alias("__segs"))
+
+    def step(acc, seg):
+        nxt = seg["a"]
+        wave = acc["wave"]
+        ov = F.least(acc["ov"], F.size(wave), F.size(nxt))
+
+        def blend(k):
+            tail = F.slice(wave, F.size(wave) - k + 1, k)
+            head = F.slice(nxt, 1, k)
+
+            def mix(pair_tail, pair_head):
+                idx = F.sequence(F.lit(0), k - 1)
+                denom = F.greatest(k - 1, F.lit(1)).cast("double")
+                return F.transform(idx, lambda i: F.element_at(pair_tail, i + 1) * (F.lit(1.0) - F.when(k > 1, i / denom).otherwise(0.0))
+                                   + F.element_at(pair_head, i + 1) * F.when(k > 1, i / denom).otherwise(0.0))
+
+            faded = let(tail, lambda t: let(head, lambda h: mix(t, h)))
+            return F.concat(F.slice(wave, 1, F.size(wave) - k), faded,
+                            F.slice(nxt, k + 1, F.greatest(F.size(nxt) - k, F.lit(0))))
+
+        merged = let(ov, lambda k: F.when(k <= 0, F.concat(wave, nxt)).otherwise(blend(k)))
+        return F.struct(merged.alias("wave"), ov.alias("ov"))
+
+    first = F.element_at("__segs", 1)["a"]
+    rest = F.slice("__segs", 2, F.greatest(F.size("__segs") - 1, F.lit(0)))
+    init = F.struct(first.alias("wave"), F.lit(n).alias("ov"))
+    return grouped.select(key, F.aggregate(rest, init, step, lambda acc: acc["wave"]).alias(out))

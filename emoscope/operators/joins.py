@@ -206,3 +206,28 @@ def lookup_instruction(jobs: DataFrame, dim: DataFrame, emotion: str = "emotion"
            .join(first, F.col(emotion) == F.col("__e2"), "left"))
     instr = F.coalesce(F.col("__i1"), F.col("__i2"), F.format_string(template, F.col(emotion)))
     return out.withColumn("instruction", instr).drop("__e1", "__k1", "__i1", "__e2", "__i2")
+
+
+def pick_reference(jobs: DataFrame, refs: DataFrame, n: int, seed: int, cap: float,
+                   job_key: str = "job_number", emotion: str = "emotion", speaker: str = "speaker",
+                   duration: str = "duration", ref_id: str = "ref_id") -> DataFrame:
+    """JN11 for each job, a speaker drawn by hash among the speakers that
+    have the job's emotion, then that speaker's ``n`` longest files of the
+    emotion, taken in length order until ``cap`` seconds (the last one cut).
+
+    Speakers are ranked per emotion by the range-sharded row number, the
+    draw is an equi-join on (emotion, rank), and the top-N is a pre-limited
+    window: no per-emotion task holds all speakers' files."""
+    from emoscope.operators.ordered import key_sizes, ordered_scan
+    from emoscope.operators.ranking import take_until, top_n
+    spk = refs.select(emotion, speaker).distinct()
+    spk = ordered_scan(spk, [emotion], [stable_hash(speaker, seed), speaker], row_number="__srank")
+    spk = key_sizes(spk, [emotion], "__nspk")
+    sizes = spk.select(emotion, "__nspk").distinct()
+    draw = jobs.join(sizes, emotion).withColumn(
+        "__srank", F.pmod(stable_hash(job_key, seed), F.col("__nspk")) + 1)
+    chosen = draw.join(spk.select(emotion, "__srank", speaker), [emotion, "__srank"]).drop("__srank", "__nspk")
+    longest = top_n(refs.select(speaker, emotion, ref_id, duration), [speaker, emotion],
+                    [F.desc(duration), F.asc(ref_id)], n, "__ref_rank")
+    picked = chosen.join(longest, [speaker, emotion])
+    return take_until(picked, [job_key], ["__ref_rank"], duration, cap)

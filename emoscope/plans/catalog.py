@@ -11,6 +11,7 @@ MODULES = [
     "emoscope.plans.q_corpus",
     "emoscope.plans.q_windows",
     "emoscope.plans.q_text",
+    "emoscope.plans.q_arrays",
 ]
 
 _loaded = False
