@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1.0).cast("double")
+
+def _one():
+    return F.lit(1.0).cast("double")
 
 
 def _keys(by: Sequence[str] | None) -> list[str]:
@@ -34,7 +36,7 @@ def confusion(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataF
 
 def accuracy(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), name: str = "accuracy") -> DataFrame:
     """AGG02 share of rows with ``y == yhat`` (NULL-safe: NULL never matches)."""
-    hit = F.when(F.col(y) == F.col(yhat), ONE).otherwise(F.lit(0.0))
+    hit = F.when(F.col(y) == F.col(yhat), _one()).otherwise(F.lit(0.0))
     return df.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias(name))
 
 
@@ -137,8 +139,8 @@ def metrics_by(df: DataFrame, by: Sequence[str], wav="wav_emo", txt="txt_emo", p
                cond="txt_cond") -> DataFrame:
     """AGG06 grouped accuracy, proxy accuracy and error attribution in one
     aggregate (one shuffle of partial sums)."""
-    hit = F.when(F.col(wav) == F.col(pred), ONE).otherwise(F.lit(0.0))
-    hit_txt = F.when(F.col(txt) == F.col(pred), ONE).otherwise(F.lit(0.0))
+    hit = F.when(F.col(wav) == F.col(pred), _one()).otherwise(F.lit(0.0))
+    hit_txt = F.when(F.col(txt) == F.col(pred), _one()).otherwise(F.lit(0.0))
     err = F.col(wav) != F.col(pred)
     follows = err & (F.col(txt) == F.col(pred))
     n_err = F.sum(F.when(err, 1).otherwise(0))
