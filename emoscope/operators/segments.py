@@ -12,6 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emoscope.operators.parallel import spread
+
 # Sentence boundaries -- after ASCII ``;:,.!?`` plus whitespace,
 # or right after the full-width marks ``；：，。！？``.  ``(?U)`` makes ``\s``
 # Unicode-aware as in Python.
@@ -55,7 +57,7 @@ def chunk_array(text, max_bytes) -> Column:
 
 def chunk_text(df: DataFrame, col: str, max_bytes: int = 135, out: str = "chunk") -> DataFrame:
     """TVF01 one row per chunk with its index."""
-    return df.select("*", F.posexplode(chunk_array(col, max_bytes)).alias(f"{out}_idx", out))
+    return spread(df).select("*", F.posexplode(chunk_array(col, max_bytes)).alias(f"{out}_idx", out))
 
 
 def chunk_text_progressive(df: DataFrame, col: str, max_bytes: int, few_bytes: int, min_bytes: int,
@@ -70,7 +72,7 @@ def chunk_text_progressive(df: DataFrame, col: str, max_bytes: int, few_bytes: i
             .otherwise(arr)
 
     b = refine(refine(b, few_bytes), min_bytes)
-    return df.select("*", F.posexplode(b).alias(f"{out}_idx", out))
+    return spread(df).select("*", F.posexplode(b).alias(f"{out}_idx", out))
 
 
 def segment_voices(df: DataFrame, col: str, voices: Sequence[str], default: str = "main") -> DataFrame:

@@ -12,6 +12,8 @@ MODULES = [
     "emoscope.plans.q_windows",
     "emoscope.plans.q_text",
     "emoscope.plans.q_arrays",
+    "emoscope.plans.q_io",
+    "emoscope.plans.q_stream",
 ]
 
 _loaded = False
