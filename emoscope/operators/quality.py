@@ -92,9 +92,12 @@ def missing_files(df: DataFrame, path_col: str, inventory: DataFrame, inv_col: s
 def assert_existing(df: DataFrame, path_col: str, inventory: DataFrame, inv_col: str = "path") -> DataFrame:
     """FLT08 strict: raises at run time when any file is missing."""
     miss = missing_files(df, path_col, inventory, inv_col)
-    # raise_error sits in a filter so that column pruning cannot drop it
-    checked = miss.where(F.raise_error(F.concat(F.lit("missing file: "), F.col(path_col))).isNull())
-    return df.unionByName(checked.select(*df.columns))
+    # the guard depends on scalar subqueries over the anti join, so neither
+    # column pruning nor filter push-down can move or drop it
+    n_missing = miss.groupBy().agg(F.count(F.lit(1))).scalar()
+    example = miss.select(F.min(path_col)).scalar()
+    guard = F.when(n_missing > 0, F.raise_error(F.concat(F.lit("missing file: "), example)))
+    return df.where(guard.isNull())
 
 
 def slice_predictions(df: DataFrame, kind: str | None = None, slm: str | None = None,

@@ -116,3 +116,36 @@ def train_classifier(df: DataFrame, features: str, label: str, id_col: str, seed
     pred = model.transform(split).select("split", F.col("label").cast("int").cast("string").alias("y"),
                                          F.col("prediction").cast("int").cast("string").alias("yhat"))
     return wa_ua_f1(pred, "y", "yhat", ["split"])
+
+
+def with_parsed(df: DataFrame, col: str, parser: Callable[[pd.Series], pd.DataFrame] | None = None,
+                schema: str = "txt_emo string, txt_cond string, wav_emo string, lbl_full string, tts_model string"
+                ) -> DataFrame:
+    """UDF02 parsed name fields as a struct column ``parsed``: the native
+    parser (PRJ02) by default, or a user parser as a vectorised pandas UDF
+    (Series of names -> DataFrame of fields)."""
+    if parser is None:
+        from emoscope.functions.names import parse_name
+        return df.withColumn("parsed", parse_name(col))
+    udf = F.pandas_udf(parser, schema)
+    return df.withColumn("parsed", udf(F.col(col)))
+
+
+def python_segments(df: DataFrame, col: str, keep: Sequence[str], splitter: Callable[[str], list[str]]) -> DataFrame:
+    """UDT01 user one-row-to-many function as a Python UDTF (Arrow-optimised),
+    joined laterally to its input rows; the native TVF operators are the
+    default, this is the hook for user segmenters."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="segment_idx: int, segment: string", useArrow=True)
+    class Segments:
+        def eval(self, text: str):
+            for i, s in enumerate(splitter(text) if text is not None else []):
+                yield i, s
+
+    spark = df.sparkSession
+    spark.udtf.register("emoscope_segments", Segments)
+    view = f"emoscope_udt_{abs(hash((col, tuple(keep)))) % 10**8}"
+    df.createOrReplaceTempView(view)
+    cols = ", ".join(f"t.`{k}`" for k in keep)
+    return spark.sql(f"SELECT {cols}, s.segment_idx, s.segment FROM {view} t, LATERAL emoscope_segments(t.`{col}`) s")

@@ -14,6 +14,7 @@ MODULES = [
     "emoscope.plans.q_arrays",
     "emoscope.plans.q_io",
     "emoscope.plans.q_stream",
+    "emoscope.plans.q_more",
 ]
 
 _loaded = False
