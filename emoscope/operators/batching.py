@@ -1,12 +1,11 @@
 """Length-aware batching and silence segmentation (WIN07, WIN08, WIN12).
 
 WIN07 and WIN08 are greedy recurrences: where a batch closes depends on every
-earlier item of the same sequence, so no window expresses them.  They run
-exactly per shard with ``applyInPandas`` (numpy cumulative sums, a Python loop
-only over batch boundaries).  The shard is the unit of the reference's own
-sequential loop: a length bucket (WIN08 uses 200 buckets) or a caller key
-such as the split or a length range (WIN07).  ``length_shards`` cuts a table
-into range shards of bounded size.
+earlier item of the same sequence, so no window expresses them.  Two exact
+forms: per shard with ``applyInPandas`` while every shard is bounded
+(``MAX_ROWS_PER_TASK``), and a fully parallel form (successor pointers,
+pointer jumping, running counts) for larger shards, chosen automatically.
+``length_shards`` cuts a table into range shards of bounded size.
 
 WIN12 (gaps and islands) is fully parallel: run ids are running sums of
 change flags from the range-sharded scan.
@@ -52,13 +51,28 @@ def _greedy_batches(lengths: np.ndarray, budget: float, max_n: int) -> np.ndarra
     return out
 
 
+# Largest group handed to one task by the per-shard path; bigger groups take
+# the pointer-jumping path.
+MAX_ROWS_PER_TASK = 1_000_000
+
+
+def _largest_group(df: DataFrame, key: str) -> int:
+    return int(df.groupBy(key).count().agg(F.max("count")).first()[0] or 0)
+
+
 def dynamic_batches(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
-                    max_n: int = 0, drop_last: bool = False) -> DataFrame:
+                    max_n: int = 0, drop_last: bool = False, method: str = "auto") -> DataFrame:
     """WIN07 sort by length (id tie-break) within each shard, then pack
     greedily: an item joins the batch while the frame total stays within
     ``budget`` and the batch has fewer than ``max_n`` items; longer items are
     dropped; ``drop_last`` drops the last partial batch of the shard.
-    Output: id, shard, batch (numbered per shard), batch_frames."""
+    Output: id, shard, batch (numbered per shard), batch_frames.
+
+    ``method``: ``per_shard`` (one Arrow task per shard), ``parallel``
+    (pointer jumping), or ``auto`` (per shard while every shard fits
+    ``MAX_ROWS_PER_TASK`` rows)."""
+    if method == "parallel" or (method == "auto" and _largest_group(df, shard) > MAX_ROWS_PER_TASK):
+        return dynamic_batches_parallel(df, shard, length, id_col, budget, max_n, drop_last)
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType),
         T.StructField(shard, df.schema[shard].dataType),
@@ -102,11 +116,15 @@ def bucket_index(length, min_len: float, max_len: float, buckets: int = 200):
 
 
 def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
-                   budget: float, buckets: int = 200) -> DataFrame:
+                   budget: float, buckets: int = 200, method: str = "auto") -> DataFrame:
     """WIN08 bucketed batching in input order (``order``): rows outside
     [min, max] are rejected upstream; within each bucket a batch closes as
     soon as its running total reaches ``budget``; the residual is the last
-    batch of the bucket.  Buckets are the parallel unit, as in the reference."""
+    batch of the bucket.  Buckets are the parallel unit, as in the reference;
+    a bucket larger than ``MAX_ROWS_PER_TASK`` (``method="auto"``) or
+    ``method="parallel"`` switches to pointer jumping."""
+    if method == "parallel":
+        return bucket_batches_parallel(df, length, order, min_len, max_len, budget, buckets)
     b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
     schema = T.StructType([
         T.StructField(order, df.schema[order].dataType),
@@ -115,6 +133,9 @@ def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_l
         T.StructField(length, T.DoubleType()),
     ])
 
+    if method == "auto" and _largest_group(b, "bucket") > MAX_ROWS_PER_TASK:
+        return bucket_batches_parallel(df, length, order, min_len, max_len, budget, buckets)
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
         return pd.DataFrame({order: pdf[order].to_numpy(), "bucket": pdf["bucket"].to_numpy(),
@@ -142,3 +163,100 @@ def silent_runs(frames: DataFrame, utt: str, order: Sequence[str], rms: str, thr
         F.count(F.lit(1)).alias("run_frames"),
         F.min_by("frame_pos", F.struct(F.col(rms), F.col("frame_pos"))).alias("cut_frame"))
     return runs.where(F.col("run_frames") >= min_run)
+
+
+# ---- exact parallel form: successor pointers + pointer jumping ------------------------
+#
+# With prefix sums S_0 = 0 <= S_1 <= ... <= S_n of the lengths in order, a
+# batch that starts after item t ends at item next(t):
+#   WIN08 (close once the total reaches B):   next(t) = #{j : S_j <  S_t + B}
+#   WIN07 (stay within budget and max_n):     next(t) = min(#{j : S_j <= S_t + budget} - 1, t + max_n)
+# next(t) > t always, and values past n mean "no further boundary".  The batch
+# boundaries are the chain 0 -> next(0) -> next(next(0)) -> ...; it is found by
+# pointer jumping (O(log n) rounds of joins) and each item's batch is the number
+# of chain nodes before it.  Every step is a join, an aggregate or a
+# range-sharded scan, so a key with a third of all rows is spread over the cluster.
+
+def _chain_batches(items: DataFrame, key: str, pos: str, nxt: DataFrame) -> DataFrame:
+    """Batch number per item from successor pointers.
+
+    ``items``: (key, pos 1..n, ...); ``nxt``: (key, t 0..n, nxt) with nxt > t."""
+    from emoscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(items.sparkSession)  # checkpoint() writes to the shared folder
+    sizes = items.groupBy(key).agg(F.max(pos).alias("__n"))
+    rounds = int(sizes.agg(F.max("__n")).first()[0] or 0).bit_length() + 1
+    # node n+1 is the terminal; it points to itself
+    jump = nxt.join(sizes, key).select(key, "t", F.least("nxt", F.col("__n") + 1).alias("nxt"))
+    jump = jump.unionByName(sizes.select(key, (F.col("__n") + 1).alias("t"), (F.col("__n") + 1).alias("nxt")))
+    chain = sizes.select(key, F.lit(0).cast("long").alias("t"))
+    levels = []
+    level = jump
+    for r in range(rounds):
+        level = level.checkpoint() if r % 3 == 2 else level
+        levels.append(level)
+        a = level.alias("a")
+        b = level.alias("b")
+        level = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.nxt") == F.col("b.t")))
+                 .select(F.col(f"a.{key}").alias(key), F.col("a.t").alias("t"), F.col("b.nxt").alias("nxt")))
+    for r, lv in enumerate(levels):
+        step = chain.join(lv, [key, "t"]).select(key, F.col("nxt").alias("t"))
+        chain = chain.unionByName(step).distinct()
+        if r % 3 == 2:
+            chain = chain.checkpoint()
+    chain = chain.join(sizes, key).where((F.col("t") > 0) & (F.col("t") <= F.col("__n"))).select(key, "t")
+    # batch(i) = number of chain nodes c with c < i: one running count per key
+    marks = (items.select(key, F.col(pos).alias("__p"), F.lit(0).alias("__kind"), F.lit(0.0).alias("__c"))
+             .unionByName(chain.select(key, F.col("t").alias("__p"), F.lit(1).alias("__kind"), F.lit(1.0).alias("__c"))))
+    counted = ordered_scan(marks, [key], ["__p", "__kind"], running_sum=("__c", "__before"))
+    batch = counted.where(F.col("__kind") == 0).select(key, F.col("__p").alias(pos),
+                                                         F.col("__before").cast("long").alias("batch"))
+    return items.join(batch, [key, pos])
+
+
+def _successors(pref: DataFrame, key: str, target: str, points_first: bool) -> DataFrame:
+    """#points S_j (j = 0..n) below each target (or at most it, with
+    ``points_first``), by one range-sharded running count over the merged,
+    value-ordered sequence of points and targets."""
+    pts = pref.select(key, F.col("__S").alias("__v"), F.lit(1.0).alias("__pt"), F.lit(None).cast("long").alias("t"))
+    zero = pref.select(key).distinct().select(key, F.lit(0.0).alias("__v"), F.lit(1.0).alias("__pt"),
+                                              F.lit(None).cast("long").alias("t"))
+    qs = pref.select(key, F.col(target).alias("__v"), F.lit(0.0).alias("__pt"), F.col("__t").alias("t"))
+    q0 = pref.select(key, "__B0").distinct().select(key, F.col("__B0").alias("__v"), F.lit(0.0).alias("__pt"),
+                                                     F.lit(0).cast("long").alias("t"))
+    merged = pts.unionByName(zero).unionByName(qs).unionByName(q0)
+    kind = F.when(F.col("__pt") == 1, 0 if points_first else 1).otherwise(1 if points_first else 0)
+    scanned = ordered_scan(merged.withColumn("__kind", kind), [key], ["__v", "__kind", "t"],
+                           running_sum=("__pt", "__cnt"))
+    return scanned.where(F.col("__pt") == 0).select(key, "t", F.col("__cnt").cast("long").alias("cnt"))
+
+
+def bucket_batches_parallel(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
+                            budget: float, buckets: int = 200) -> DataFrame:
+    """WIN08 exactly as ``bucket_batches``, with no per-bucket task."""
+    b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
+    b = b.select(order, "bucket", F.col(length).cast("double").alias(length))
+    pref = ordered_scan(b, ["bucket"], [order], row_number="__t", running_sum=(length, "__S"))
+    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
+    nxt = _successors(pref, "bucket", "__target", points_first=False).withColumnRenamed("cnt", "nxt")
+    items = pref.select(order, "bucket", length, F.col("__t").alias("__pos"))
+    out = _chain_batches(items, "bucket", "__pos", nxt)
+    return out.select(order, "bucket", "batch", length)
+
+
+def dynamic_batches_parallel(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
+                             max_n: int = 0, drop_last: bool = False) -> DataFrame:
+    """WIN07 exactly as ``dynamic_batches``, with no per-shard task.  Items
+    longer than the budget sort last and are dropped first."""
+    keep = df.select(id_col, shard, F.col(length).cast("double").alias(length)).where(F.col(length) <= budget)
+    pref = ordered_scan(keep, [shard], [length, id_col], row_number="__t", running_sum=(length, "__S"))
+    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
+    cnt = _successors(pref, shard, "__target", points_first=True)
+    nxt = cnt.withColumn("nxt", F.col("cnt") - 1)
+    if max_n:
+        nxt = nxt.withColumn("nxt", F.least("nxt", F.col("t") + max_n))
+    items = pref.select(id_col, shard, length, F.col("__t").alias("__pos"))
+    out = _chain_batches(items, shard, "__pos", nxt.select(shard, "t", "nxt"))
+    if drop_last:
+        last = out.groupBy(shard).agg(F.max("batch").alias("__last"))
+        out = out.join(last, shard).where(F.col("batch") < F.col("__last")).drop("__last")
+    return out.select(id_col, shard, "batch", length)

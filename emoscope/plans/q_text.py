@@ -251,8 +251,8 @@ def q_arr02(spark, sf):
 
 @register("arr03_tokenize_bytes", oracle("""
 SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes,
-       CAST(list_sum(list_transform(range(strlen(text)),
-            lambda i: CAST(('0x' || substr(hex(text), 2 * i + 1, 2)) AS INTEGER))) AS BIGINT) AS byte_sum
+       CAST(coalesce(list_sum(list_transform(regexp_extract_all(hex(text), '..'),
+            lambda x: CAST(('0x' || x) AS INTEGER))), 0) AS BIGINT) AS byte_sum
 FROM documents"""))
 def q_arr03(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", T.tokenize_bytes("text").alias("b"))

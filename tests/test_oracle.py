@@ -9,7 +9,7 @@ from oracle_check import compare, duck
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-SLOW = {"arr03_tokenize_bytes"}  # DuckDB-side list lambdas over every byte
+SLOW: set = set()
 
 
 @pytest.fixture(scope="module")
