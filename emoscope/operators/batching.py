@@ -177,40 +177,45 @@ def silent_runs(frames: DataFrame, utt: str, order: Sequence[str], rms: str, thr
 # of chain nodes before it.  Every step is a join, an aggregate or a
 # range-sharded scan, so a key with a third of all rows is spread over the cluster.
 
-def _chain_batches(items: DataFrame, key: str, pos: str, nxt: DataFrame) -> DataFrame:
+def _chain_batches(items: DataFrame, key: str, pos: str, nxt: DataFrame, n_rows: DataFrame) -> DataFrame:
     """Batch number per item from successor pointers.
 
-    ``items``: (key, pos 1..n, ...); ``nxt``: (key, t 0..n, nxt) with nxt > t."""
-    from emoscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(items.sparkSession)  # checkpoint() writes to the shared folder
-    sizes = items.groupBy(key).agg(F.max(pos).alias("__n"))
+    ``items``: (key, pos 1..n, payload...); ``nxt``: (key, t 0..n, nxt) with
+    nxt > t; ``n_rows``: (key, __n).  No frame is joined back to a frame of
+    its own lineage: n travels inside the pointer rows and the item columns
+    travel through the final running count."""
+    sizes = n_rows
     rounds = int(sizes.agg(F.max("__n")).first()[0] or 0).bit_length() + 1
     # node n+1 is the terminal; it points to itself
-    jump = nxt.join(sizes, key).select(key, "t", F.least("nxt", F.col("__n") + 1).alias("nxt"))
-    jump = jump.unionByName(sizes.select(key, (F.col("__n") + 1).alias("t"), (F.col("__n") + 1).alias("nxt")))
-    chain = sizes.select(key, F.lit(0).cast("long").alias("t"))
+    jump = nxt.join(sizes, key).select(key, "t", F.least("nxt", F.col("__n") + 1).alias("nxt"), "__n")
+    jump = jump.unionByName(sizes.select(key, (F.col("__n") + 1).alias("t"), (F.col("__n") + 1).alias("nxt"), "__n"))
+    chain = sizes.select(key, F.lit(0).cast("long").alias("t"), "__n")
     levels = []
-    level = jump
+    level = jump.checkpoint()
     for r in range(rounds):
-        level = level.checkpoint() if r % 3 == 2 else level
         levels.append(level)
-        a = level.alias("a")
-        b = level.alias("b")
-        level = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.nxt") == F.col("b.t")))
-                 .select(F.col(f"a.{key}").alias(key), F.col("a.t").alias("t"), F.col("b.nxt").alias("nxt")))
+        # J_{r+1}(t) = J_r(J_r(t))
+        right = level.select(F.col(key).alias("__rk"), F.col("t").alias("__rt"), F.col("nxt").alias("__rn"))
+        level = (level.join(right, (F.col(key) == F.col("__rk")) & (F.col("nxt") == F.col("__rt")))
+                 .select(key, "t", F.col("__rn").alias("nxt"), "__n"))
+        if r % 3 == 2:
+            level = level.checkpoint()
     for r, lv in enumerate(levels):
-        step = chain.join(lv, [key, "t"]).select(key, F.col("nxt").alias("t"))
+        step = chain.join(lv.select(key, "t", F.col("nxt").alias("__to")), [key, "t"]).select(
+            key, F.col("__to").alias("t"), "__n")
         chain = chain.unionByName(step).distinct()
         if r % 3 == 2:
             chain = chain.checkpoint()
-    chain = chain.join(sizes, key).where((F.col("t") > 0) & (F.col("t") <= F.col("__n"))).select(key, "t")
-    # batch(i) = number of chain nodes c with c < i: one running count per key
-    marks = (items.select(key, F.col(pos).alias("__p"), F.lit(0).alias("__kind"), F.lit(0.0).alias("__c"))
-             .unionByName(chain.select(key, F.col("t").alias("__p"), F.lit(1).alias("__kind"), F.lit(1.0).alias("__c"))))
-    counted = ordered_scan(marks, [key], ["__p", "__kind"], running_sum=("__c", "__before"))
-    batch = counted.where(F.col("__kind") == 0).select(key, F.col("__p").alias(pos),
-                                                         F.col("__before").cast("long").alias("batch"))
-    return items.join(batch, [key, pos])
+    chain = chain.where((F.col("t") > 0) & (F.col("t") <= F.col("__n"))).select(key, "t")
+    # batch(i) = number of chain nodes c with c < i: one running count per key;
+    # the item columns ride along (NULL on chain rows)
+    payload = [c for c in items.columns if c not in (key, pos)]
+    item_rows = items.select(key, F.col(pos).alias("__p"), F.lit(0).alias("__kind"), F.lit(0.0).alias("__c"), *payload)
+    chain_rows = chain.select(key, F.col("t").alias("__p"), F.lit(1).alias("__kind"), F.lit(1.0).alias("__c"),
+                              *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in payload])
+    counted = ordered_scan(item_rows.unionByName(chain_rows), [key], ["__p", "__kind"], running_sum=("__c", "__before"))
+    return counted.where(F.col("__kind") == 0).select(key, F.col("__p").alias(pos), *payload,
+                                                      F.col("__before").cast("long").alias("batch"))
 
 
 def _successors(pref: DataFrame, key: str, target: str, points_first: bool) -> DataFrame:
@@ -230,16 +235,26 @@ def _successors(pref: DataFrame, key: str, target: str, points_first: bool) -> D
     return scanned.where(F.col("__pt") == 0).select(key, "t", F.col("__cnt").cast("long").alias("cnt"))
 
 
+def _prefix(df: DataFrame, key: str, order, length: str, budget: float) -> DataFrame:
+    """Positions and prefix sums per key, materialised once (checkpoint in
+    the shared folder) so that every later step reads the same rows."""
+    from emoscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    pref = ordered_scan(df, [key], list(order), row_number="__t", running_sum=(length, "__S"))
+    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
+    return pref.checkpoint()
+
+
 def bucket_batches_parallel(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
                             budget: float, buckets: int = 200) -> DataFrame:
     """WIN08 exactly as ``bucket_batches``, with no per-bucket task."""
     b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
     b = b.select(order, "bucket", F.col(length).cast("double").alias(length))
-    pref = ordered_scan(b, ["bucket"], [order], row_number="__t", running_sum=(length, "__S"))
-    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
-    nxt = _successors(pref, "bucket", "__target", points_first=False).withColumnRenamed("cnt", "nxt")
+    pref = _prefix(b, "bucket", [order], length, budget)
+    nxt = _successors(pref, "bucket", "__target", points_first=False).withColumnRenamed("cnt", "nxt").checkpoint()
     items = pref.select(order, "bucket", length, F.col("__t").alias("__pos"))
-    out = _chain_batches(items, "bucket", "__pos", nxt)
+    sizes = pref.groupBy("bucket").agg(F.max("__t").alias("__n"))
+    out = _chain_batches(items, "bucket", "__pos", nxt, sizes)
     return out.select(order, "bucket", "batch", length)
 
 
@@ -248,14 +263,15 @@ def dynamic_batches_parallel(df: DataFrame, shard: str, length: str, id_col: str
     """WIN07 exactly as ``dynamic_batches``, with no per-shard task.  Items
     longer than the budget sort last and are dropped first."""
     keep = df.select(id_col, shard, F.col(length).cast("double").alias(length)).where(F.col(length) <= budget)
-    pref = ordered_scan(keep, [shard], [length, id_col], row_number="__t", running_sum=(length, "__S"))
-    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
+    pref = _prefix(keep, shard, [length, id_col], length, budget)
     cnt = _successors(pref, shard, "__target", points_first=True)
     nxt = cnt.withColumn("nxt", F.col("cnt") - 1)
     if max_n:
         nxt = nxt.withColumn("nxt", F.least("nxt", F.col("t") + max_n))
+    nxt = nxt.select(shard, "t", "nxt").checkpoint()
     items = pref.select(id_col, shard, length, F.col("__t").alias("__pos"))
-    out = _chain_batches(items, shard, "__pos", nxt.select(shard, "t", "nxt"))
+    sizes = pref.groupBy(shard).agg(F.max("__t").alias("__n"))
+    out = _chain_batches(items, shard, "__pos", nxt, sizes)
     if drop_last:
         last = out.groupBy(shard).agg(F.max("batch").alias("__last"))
         out = out.join(last, shard).where(F.col("batch") < F.col("__last")).drop("__last")
