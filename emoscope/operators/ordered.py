@@ -8,7 +8,9 @@ so the scans here shard by *range* over ``(keys, order)`` instead:
    balanced slices; a hot key simply spans several slices.
 2. One Arrow-batched ``mapInPandas`` pass computes the local result inside
    each slice (row number, running sum, previous/next value within the key).
-3. A per-slice summary (one row per slice, so its size is bounded by the
+3. The local result is checkpointed once (shared folder), so every later
+   branch reads the same slices whether or not Spark reuses the exchange.
+4. A per-slice summary (one row per slice, so its size is bounded by the
    partition count) carries the running values across slice borders; it is
    the only broadcast side.
 
@@ -154,7 +156,16 @@ def ordered_scan(
         if pending is not None:
             yield pending
 
-    local = sharded.mapInPandas(local_pass, out_schema)
+    # Materialise the local pass once in the shared checkpoint folder.  Both
+    # the summary branch and the row branch must see the same slicing, and
+    # Spark's range partitioner samples with a seed taken from the RDD id, so
+    # two evaluations of the exchange may cut different slices unless the
+    # exchange happens to be reused.  Reading one checkpoint makes the result
+    # independent of exchange reuse, runs the Arrow pass once, and cuts the
+    # lineage for executor loss.
+    from emoscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    local = sharded.mapInPandas(local_pass, out_schema).checkpoint()
 
     # One summary row per slice: first and last key, the running values of the
     # last key, the last / first row's values.  Size <= number of slices.
