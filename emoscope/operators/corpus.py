@@ -69,7 +69,8 @@ def manifest_summary(df: DataFrame, duration: str = "duration", text: str = "tex
 def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """AGG16 distinct characters of the texts (plus forced code-point ranges,
     e.g. 32-126 and 192-255), sorted by code point, indexed from 0."""
-    chars = spread(df).select(F.explode(tokenize_char(text)).alias("token")).distinct()
+    # distinct per row first: the explode emits each character once per text
+    chars = spread(df).select(F.explode(F.array_distinct(tokenize_char(text))).alias("token")).distinct()
     spark = df.sparkSession
     for lo, hi in extra_ranges:
         rng = spark.range(lo, hi + 1).select(

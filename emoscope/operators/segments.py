@@ -66,10 +66,15 @@ def chunk_text_progressive(df: DataFrame, col: str, max_bytes: int, few_bytes: i
     then the new chunk 0 at ``min_bytes``; chunks renumbered."""
     b = chunk_array(col, max_bytes)
 
+    from emoscope.functions.arrays import let
+
     def refine(arr, budget):
-        head = chunk_array(F.element_at(arr, 1), budget)
-        return F.when(F.size(arr) > 0, F.concat(head, F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0))))) \
-            .otherwise(arr)
+        # the chunk array is bound once (lambdas do not share sub-expressions)
+        def on(a):
+            head = chunk_array(F.element_at(a, 1), budget)
+            return F.when(F.size(a) > 0, F.concat(head, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))))) \
+                .otherwise(a)
+        return let(arr, on)
 
     b = refine(refine(b, few_bytes), min_bytes)
     return spread(df).select("*", F.posexplode(b).alias(f"{out}_idx", out))

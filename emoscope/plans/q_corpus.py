@@ -220,7 +220,8 @@ UNION ALL SELECT token, CAST((SELECT max(idx) FROM v) + row_number() OVER (ORDER
     ]))
 def q_agg18(spark, sf):
     vocab = C.build_vocab(table(spark, sf, "benchmark"), "text")
-    req = table(spark, sf, "documents").select(F.explode(F.filter(F.split("text", ""), lambda x: x != "")).alias("token"))
+    req = table(spark, sf, "documents").select(
+        F.explode(F.array_distinct(F.filter(F.split("text", ""), lambda x: x != ""))).alias("token"))
     req = req.withColumn("cp", F.conv(F.hex(F.encode("token", "UTF-32")), 16, 10).cast("bigint"))
     return C.extend_vocab(vocab, req, "cp")
 

@@ -112,8 +112,8 @@ WHERE token <> '' AND token NOT IN (SELECT unnest(string_split(text, '')) FROM b
 def q_set04(spark, sf):
     """Requested symbols (document characters) minus known ones (benchmark characters)."""
     from emoscope.functions.text import tokenize_char
-    req = table(spark, sf, "documents").select(F.explode(tokenize_char("text")).alias("token"))
-    known = table(spark, sf, "benchmark").select(F.explode(tokenize_char("text")).alias("token"))
+    req = table(spark, sf, "documents").select(F.explode(F.array_distinct(tokenize_char("text"))).alias("token"))
+    known = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(tokenize_char("text"))).alias("token"))
     return missing(req, known, "token")
 
 
