@@ -6,7 +6,7 @@ inverse document frequency).  It holds at most (mean distinct terms) / low
 terms however large the corpus is, which bounds the list that goes into the
 plan.  A document keeps its distinct lexicon terms, sorted; sixteen randomised
 subsets of the lexicon each hash the terms they hold.  A term is in subset r if
-byte r of its MD5 is below the subset's rate; rates fall from 1/2 to 1/128, so
+byte r of its MD5 is below the subset's rate; rates fall from 1/4 to 1/64, so
 that large edits still leave some subsets untouched.
 
 A fingerprint is the sixteen hashes joined by '-', an empty part where a subset
@@ -25,17 +25,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emoscope.llm.common import text_of, words_of
+from emoscope.llm.common import WHITE_RE, text_of, words_of
 
 LOW, HIGH = 0.01, 0.3
-#: Two hex digits below which a term belongs to the subset: 1/2, 1/8, 1/32 and 1/128 of the lexicon.
-RATES = ("80",) * 4 + ("20",) * 4 + ("08",) * 4 + ("02",) * 4
+_SQL_WHITE = WHITE_RE.replace("\\", "\\\\")
+#: Two hex digits below which a term belongs to the subset: 1/4, 1/16, 1/32 and 1/64 of the lexicon.
+RATES = ("40",) * 4 + ("10",) * 4 + ("08",) * 4 + ("04",) * 4
 
 
 def terms_of(text: Column) -> Column:
     return F.array_distinct(words_of(F.lower(text)))
 
 
+def _among(terms: list[str]) -> str:
+    """The terms as an SQL list; parsed at once, where a Column per term would take a call each."""
+    escaped = (t.replace("\\", "\\\\").replace("'", "\\'") for t in terms)
+    return ", ".join(f"'{t}'" for t in escaped)
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
     """Terms of the band; at most mean-distinct-terms / low of them."""
     n = docs.count()
@@ -45,9 +52,13 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
             .select("term").collect()]
 
 
-def fingerprint(text: Column, terms: list[str]) -> Column:
-    """Fingerprint of a text under a lexicon."""
-    known = F.filter(terms_of(text), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+def fingerprint(name: str, terms: list[str]) -> Column:
+    """Fingerprint of the text column ``name`` under a lexicon."""
+    text = F.col(name)
+    known = F.array().cast("array<string>")
+    if terms:
+        known = F.expr(f"filter(array_distinct(filter(split(lower(`{name}`), '{_SQL_WHITE}'), w -> w != '')), "
+                       f"w -> w IN ({_among(terms)}))")
     coded = F.transform(F.sort_array(known),
                         lambda w: F.struct(F.md5(w.cast("binary")).alias("h"), w.alias("w")))
 
@@ -114,9 +125,8 @@ def with_next(rows: DataFrame, columns: tuple[str, ...] = ("text",), slices: int
 def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, with likenesses."""
     terms = lexicon(docs, low, high)
-    text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-                       fingerprint(text, terms).alias("fingerprint"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.withColumn("fingerprint", fingerprint("text", terms))
     rows = with_next(rows, ("text", "fingerprint")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(
@@ -124,7 +134,7 @@ def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH)
         F.substring(F.col("next.text"), F.lit(1), half)))
     done = edited.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint", fingerprint(F.col("edited"), terms).alias("edited_fingerprint"),
+        "fingerprint", fingerprint("edited", terms).alias("edited_fingerprint"),
         F.col("next.fingerprint").alias("_next"))
     return done.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -35,7 +35,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-_RATES = ["80"] * 4 + ["20"] * 4 + ["08"] * 4 + ["02"] * 4
+_RATES = ["40"] * 4 + ["10"] * 4 + ["08"] * 4 + ["04"] * 4
 _PART_COLUMNS = ",\n    ".join(
     f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (WHERE known AND substr(md5(term), {2 * r + 1}, 2) < '{top}')), 1, 12), '') AS p{r}"
     for r, top in enumerate(_RATES))
