@@ -13,9 +13,13 @@ member meets the list's least member and its neighbour in an order of the
 list's own, cut into pieces of bounded size.  Collisions of the two signatures
 are counted over all values, pairs below ``MATCHES`` are dropped, and the rest
 are confirmed on the full shingle sets.  The second pass skips every list whose
-members are in one component by then and merges the others: members outside the
-list's largest component meet all members of other components, so no link
-between components is lost, and what is left over is confirmed the same way.
+members are in one component by then.  The others are dealt into blocks of at
+most two pieces, so that any two members meet in one block of bounded size.
+A block merges in memory: it compares signatures of members in different
+components, each pair only at the first coordinate that it shares, confirms
+candidates on the full sets, and skips a pair once a link has joined its
+components.  What leaves a block is links alone, fewer than it has members,
+and no link between components is lost.
 
 Components are found by min-label propagation with pointer jumping, each round
 checkpointed.  Nothing but counts reaches the driver.
@@ -40,9 +44,9 @@ from pyspark.sql import functions as F
 from emoscope.llm.common import saved, text_of
 
 ROWS, BANDS = 4, 28
-#: Signature values of 112 on which a pair has to agree; 0.8 agrees on 90 on average, 62 or fewer in one of a billion.
-MATCHES = 62
-PIECE = 256
+#: Signature values of 112 on which a pair has to agree; at 0.8 it agrees on 90 on average, on fewer than 67 in one of ten million.
+MATCHES = 67
+PIECE = 512
 BROADCAST_ROWS = 300_000
 _SPACE = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_SPACE, _SPACE.lower())
@@ -117,10 +121,10 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``key, node``: the posting lists with at least two members."""
+    """``key, band, node, n, least``: the posting lists with at least two members."""
     coordinates = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)])
                             for b in range(BANDS)])
-    posts = classes.select("node", F.explode(coordinates).alias("key"))
+    posts = classes.select("node", F.posexplode(coordinates).alias("band", "key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     return saved(posts.join(lists, "key"))
 
@@ -141,19 +145,118 @@ def first_pairs(posts: DataFrame) -> DataFrame:
     return star.unionByName(chain).distinct()
 
 
-def cross_pairs(posts: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components, at least one of them
-    outside the list's largest component."""
-    at = posts.select("key", "node").join(component, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label"))
-    per = at.groupBy("key", "label").count()
-    top = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("count", "label")).alias("m"))
-    top = top.filter("labels > 1").select("key", F.col("m.label").alias("main"))
-    open_ = saved(at.join(top, "key"))
-    out = open_.filter("label != main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    met = out.join(open_, "key").filter((F.col("label") != F.col("lx"))
-                                        & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))))
-    return met.select(*_ordered(F.col("x"), F.col("node"))).distinct()
+def open_blocks(posts: DataFrame, component: DataFrame) -> DataFrame:
+    """``g, band, cross, side, lab, node``: members of the lists that hold more than
+    one component, dealt into blocks ``g``.  A block takes one piece of a list
+    with itself or two with each other (``cross``; ``side`` tells them apart)."""
+    at = posts.select("key", "band", "n", "node").join(component, "node", "left").select(
+        "key", "band", "n", "node", F.xxhash64(F.coalesce("label", "node")).alias("lab"))
+    several = at.groupBy("key").agg((F.min("lab") != F.max("lab")).alias("several")).filter("several").select("key")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    rows = at.join(several, "key").withColumn("piece", F.pmod(F.xxhash64("node", "key"), pieces).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    low, high = F.least("piece", "other"), F.greatest("piece", "other")
+    return rows.select(F.xxhash64("key", low, high).alias("g"), "band", (low != high).alias("cross"),
+                       (F.col("piece") == low).alias("side"), "lab", "node")
+
+
+class _Block:
+    """The members of one block, and its candidate pairs."""
+
+    def __init__(self, rows: pa.Table, sig: np.ndarray):
+        self.band = rows.column("band")[0].as_py()
+        self.cross = rows.column("cross")[0].as_py()
+        self.side = rows.column("side").to_numpy()
+        self.lab = rows.column("lab").to_numpy()
+        self.nodes = rows.column("node").to_pylist()
+        self.sig = sig
+
+    def candidates(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members after ``x`` that it may link with, and their collisions."""
+        same = self.sig[x + 1:] == self.sig[x]
+        hits = same.sum(1)
+        good = (hits >= MATCHES) & (self.lab[x + 1:] != self.lab[x])
+        if self.cross:
+            good &= self.side[x + 1:] != self.side[x]
+        at = np.flatnonzero(good)
+        if len(at):  # a pair belongs to the first coordinate that it shares
+            first = same[at].reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+            at = at[first == self.band]
+        return at + x + 1, hits[at]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``g`` as one table for each block."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        g = table.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _sorted_blocks(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "g").sortWithinPartitions("g", "node")
+
+
+def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of ``blocks`` that have a candidate partner in their block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            flat = pa.concat_arrays([c.flatten() for c in rows.column("sig").chunks]).to_numpy()
+            rows = rows.drop_columns("sig")
+            block, keep = _Block(rows, flat.reshape(len(rows), -1)), set()
+            for x in range(len(rows) - 1):
+                found = block.candidates(x)[0].tolist()
+                keep.update(found)
+                if found:
+                    keep.add(x)
+            if keep:
+                yield from rows.take(sorted(keep)).to_batches()
+
+    rows = blocks.join(classes.select("node", "sig"), "node").select(
+        "g", "band", "cross", "side", "lab", "node", "sig")
+    return _sorted_blocks(rows).mapInArrow(run, rows.drop("sig").schema)
+
+
+def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: confirmed links between components, block by block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            # signatures are computed anew: cheaper than to carry them along
+            lists = [np.asarray(x, np.int64) for x in rows.column("shingles").to_pylist()]
+            block = _Block(rows, np.stack([signature(x.view(np.uint64)) for x in lists]))
+            full = [set(x.tolist()) for x in lists]
+            root = {int(v): int(v) for v in block.lab}
+
+            def find(v: int) -> int:
+                while root[v] != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            links = []
+            for x in range(len(rows) - 1):
+                at, hits = block.candidates(x)
+                for y in at[np.argsort(-hits, kind="stable")].tolist():  # likeliest first
+                    p, q = find(int(block.lab[x])), find(int(block.lab[y]))
+                    if p == q:
+                        continue
+                    both = len(full[x] & full[y])
+                    if 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
+                        root[p] = q
+                        links.append(sorted((block.nodes[x], block.nodes[y])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["a", "b"])
+
+    return _sorted_blocks(members.join(sets, "node")).mapInArrow(run, "a binary, b binary")
 
 
 def similar_signatures(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -190,14 +293,14 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The representative documents of the classes in ``pairs``."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = saved(nodes.join(classes.select("node", "rep"), "node").select("rep").distinct())
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of the classes in ``nodes``, from their representative documents."""
+    ids = saved(nodes.distinct().join(classes.select("node", "rep"), "node").select("rep").distinct())
     # a bound that is checked; beyond it the join shuffles
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return thin.join(ids, thin["doc_id"].eqNullSafe(ids["rep"]), "leftsemi")
+    texts = thin.join(ids, thin["doc_id"].eqNullSafe(ids["rep"]), "leftsemi")
+    return saved(shingle_sets(texts, size).dropDuplicates(["node"]))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -207,13 +310,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     posts = postings(classes)
 
-    def link(pairs: DataFrame) -> DataFrame:
-        close = saved(similar_signatures(pairs, classes))
-        sets = saved(shingle_sets(_texts_of(docs, classes, close), size).dropDuplicates(["node"]))
-        return saved(confirmed(close, sets, percent))
-
-    links = link(first_pairs(posts))
-    more = link(cross_pairs(posts, components(links)))
+    close = saved(similar_signatures(first_pairs(posts), classes))
+    nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node")))
+    links = saved(confirmed(close, _sets_of(docs, classes, nodes, size), percent))
+    members = saved(open_members(open_blocks(posts, components(links)), classes))
+    more = saved(merged_links(members, _sets_of(docs, classes, members.select("node"), size), percent))
     label = components(links.unionByName(more))
     named = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
