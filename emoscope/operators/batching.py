@@ -1,11 +1,10 @@
 """Length-aware batching and silence segmentation (WIN07, WIN08, WIN12).
 
 WIN07 and WIN08 are greedy recurrences: where a batch closes depends on every
-earlier item of the same sequence, so no window expresses them.  Two exact
-forms: per shard with ``applyInPandas`` while every shard is bounded
-(``MAX_ROWS_PER_TASK``), and a fully parallel form (successor pointers,
-pointer jumping, running counts) for larger shards, chosen automatically.
-``length_shards`` cuts a table into range shards of bounded size.
+earlier item of the same sequence, so no window expresses them.  There is one
+form at every size: successor pointers found by a range-sharded running count,
+pointer jumping along them, and a count of the batch starts before each item.
+No task holds a shard or a bucket.
 
 WIN12 (gaps and islands) is fully parallel: run ids are running sums of
 change flags from the range-sharded scan.
@@ -15,136 +14,18 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emoscope.operators.ordered import ordered_scan
 
 
-def length_shards(df: DataFrame, length: str, id_col: str, rows_per_shard: int) -> DataFrame:
-    """Shard key for WIN07: consecutive ranges of the length order with at
-    most ``rows_per_shard`` rows each (range-sharded row number)."""
-    numbered = ordered_scan(df, [], [length, id_col], row_number="__rn")
-    return numbered.withColumn("shard", F.floor((F.col("__rn") - 1) / rows_per_shard).cast("bigint")).drop("__rn")
-
-
-def _greedy_batches(lengths: np.ndarray, budget: float, max_n: int) -> np.ndarray:
-    """Batch number per item (sorted order), -1 for items over budget."""
-    out = np.full(len(lengths), -1, dtype=np.int64)
-    batch, frames, count = 0, 0.0, 0
-    for i, ln in enumerate(lengths):
-        if frames + ln <= budget and (max_n == 0 or count < max_n):
-            out[i] = batch
-            frames += ln
-            count += 1
-        else:
-            if count > 0:
-                batch += 1
-            if ln <= budget:
-                out[i] = batch
-                frames, count = ln, 1
-            else:
-                frames, count = 0.0, 0
-    return out
-
-
-# Largest group handed to one task by the per-shard path; bigger groups take
-# the pointer-jumping path.
-MAX_ROWS_PER_TASK = 1_000_000
-
-
-def _largest_group(df: DataFrame, key: str) -> int:
-    return int(df.groupBy(key).count().agg(F.max("count")).first()[0] or 0)
-
-
-def dynamic_batches(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
-                    max_n: int = 0, drop_last: bool = False, method: str = "auto") -> DataFrame:
-    """WIN07 sort by length (id tie-break) within each shard, then pack
-    greedily: an item joins the batch while the frame total stays within
-    ``budget`` and the batch has fewer than ``max_n`` items; longer items are
-    dropped; ``drop_last`` drops the last partial batch of the shard.
-    Output: id, shard, batch (numbered per shard), batch_frames.
-
-    ``method``: ``per_shard`` (one Arrow task per shard), ``parallel``
-    (pointer jumping), or ``auto`` (per shard while every shard fits
-    ``MAX_ROWS_PER_TASK`` rows)."""
-    if method == "parallel" or (method == "auto" and _largest_group(df, shard) > MAX_ROWS_PER_TASK):
-        return dynamic_batches_parallel(df, shard, length, id_col, budget, max_n, drop_last)
-    schema = T.StructType([
-        T.StructField(id_col, df.schema[id_col].dataType),
-        T.StructField(shard, df.schema[shard].dataType),
-        T.StructField("batch", T.LongType()),
-        T.StructField(length, T.DoubleType()),
-    ])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, id_col], kind="mergesort")
-        b = _greedy_batches(pdf[length].to_numpy(dtype=float), budget, max_n)
-        res = pd.DataFrame({id_col: pdf[id_col].to_numpy(), shard: pdf[shard].to_numpy(), "batch": b,
-                            length: pdf[length].to_numpy(dtype=float)})
-        res = res[res["batch"] >= 0]
-        if drop_last and len(res):
-            res = res[res["batch"] < res["batch"].max()]
-        return res
-
-    packed = df.select(id_col, shard, F.col(length).cast("double").alias(length)) \
-        .groupBy(shard).applyInPandas(pack, schema)
-    return packed
-
-
-def _bucket_batches(lengths: np.ndarray, budget: float) -> np.ndarray:
-    """Batch number per item in input order: a batch closes once its total
-    reaches ``budget``; the residual batch stays open."""
-    out = np.empty(len(lengths), dtype=np.int64)
-    acc, batch = 0.0, 0
-    for i, ln in enumerate(lengths):
-        out[i] = batch
-        acc += ln
-        if acc >= budget:
-            batch += 1
-            acc = 0.0
-    return out
-
-
 def bucket_index(length, min_len: float, max_len: float, buckets: int = 200):
     """WIN08 bucket = floor((len - min) / (max - min + 1) * buckets)."""
     c = F.col(length) if isinstance(length, str) else length
     return F.floor((c - F.lit(min_len)) / F.lit(max_len - min_len + 1) * F.lit(buckets)).cast("int")
 
 
-def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
-                   budget: float, buckets: int = 200, method: str = "auto") -> DataFrame:
-    """WIN08 bucketed batching in input order (``order``): rows outside
-    [min, max] are rejected upstream; within each bucket a batch closes as
-    soon as its running total reaches ``budget``; the residual is the last
-    batch of the bucket.  Buckets are the parallel unit, as in the reference;
-    a bucket larger than ``MAX_ROWS_PER_TASK`` (``method="auto"``) or
-    ``method="parallel"`` switches to pointer jumping."""
-    if method == "parallel":
-        return bucket_batches_parallel(df, length, order, min_len, max_len, budget, buckets)
-    b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
-    schema = T.StructType([
-        T.StructField(order, df.schema[order].dataType),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("batch", T.LongType()),
-        T.StructField(length, T.DoubleType()),
-    ])
-
-    if method == "auto" and _largest_group(b, "bucket") > MAX_ROWS_PER_TASK:
-        return bucket_batches_parallel(df, length, order, min_len, max_len, budget, buckets)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        return pd.DataFrame({order: pdf[order].to_numpy(), "bucket": pdf["bucket"].to_numpy(),
-                             "batch": _bucket_batches(pdf[length].to_numpy(dtype=float), budget),
-                             length: pdf[length].to_numpy(dtype=float)})
-
-    return b.select(order, "bucket", F.col(length).cast("double").alias(length)).groupBy("bucket").applyInPandas(pack, schema)
-
-
 def silent_runs(frames: DataFrame, utt: str, order: Sequence[str], rms: str, threshold: float,
                 min_run: int = 1) -> DataFrame:
     """WIN12 gaps and islands over a frame-energy series: frames below
@@ -245,9 +126,11 @@ def _prefix(df: DataFrame, key: str, order, length: str, budget: float) -> DataF
     return pref.checkpoint()
 
 
-def bucket_batches_parallel(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
-                            budget: float, buckets: int = 200) -> DataFrame:
-    """WIN08 exactly as ``bucket_batches``, with no per-bucket task."""
+def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
+                   budget: float, buckets: int = 200) -> DataFrame:
+    """WIN08 bucketed batching in input order (``order``): within each bucket of
+    lengths in [min, max] a batch closes as soon as its running total reaches
+    ``budget``; the residual is the last batch of the bucket."""
     b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
     b = b.select(order, "bucket", F.col(length).cast("double").alias(length))
     pref = _prefix(b, "bucket", [order], length, budget)
@@ -258,10 +141,12 @@ def bucket_batches_parallel(df: DataFrame, length: str, order: str, min_len: flo
     return out.select(order, "bucket", "batch", length)
 
 
-def dynamic_batches_parallel(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
-                             max_n: int = 0, drop_last: bool = False) -> DataFrame:
-    """WIN07 exactly as ``dynamic_batches``, with no per-shard task.  Items
-    longer than the budget sort last and are dropped first."""
+def dynamic_batches(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
+                    max_n: int = 0, drop_last: bool = False) -> DataFrame:
+    """WIN07 batches by length (id tie-break) within each shard: the frame total
+    stays within ``budget`` and the count within ``max_n`` (0: no limit).  Items
+    longer than the budget sort last and are dropped first; ``drop_last`` drops
+    the last batch of a shard.  Output: id, shard, batch (per shard), length."""
     keep = df.select(id_col, shard, F.col(length).cast("double").alias(length)).where(F.col(length) <= budget)
     pref = _prefix(keep, shard, [length, id_col], length, budget)
     cnt = _successors(pref, shard, "__target", points_first=True)

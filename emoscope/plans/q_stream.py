@@ -46,9 +46,8 @@ SELECT doc_id, CAST(batch AS BIGINT) AS batch FROM r WHERE kept"""
 
 @register("win07_dynamic_batches", WIN07_SQL)
 def q_win07(spark, sf):
-    """Length-sorted greedy batches of at most 12,000 frames and 16 items;
-    shards are consecutive length ranges of at most 100,000 rows."""
-    f = B.length_shards(_frames(spark, sf), "frames", "doc_id", 100_000)
+    """Length-sorted greedy batches of at most 12,000 frames and 16 items over the whole table."""
+    f = _frames(spark, sf).withColumn("shard", F.lit(0).cast("bigint"))
     b = B.dynamic_batches(f, "shard", "frames", "doc_id", budget=12000, max_n=16)
     return b.select("doc_id", (F.col("shard") * 1_000_000 + F.col("batch")).alias("batch"))
 
@@ -223,12 +222,12 @@ def q_str06(spark, sf):
 def q_win07p(spark, sf):
     """WIN07 by successor pointers and pointer jumping: no task holds a shard."""
     f = _frames(spark, sf).withColumn("shard", F.lit(0).cast("bigint"))
-    b = B.dynamic_batches_parallel(f, "shard", "frames", "doc_id", budget=12000, max_n=16)
+    b = B.dynamic_batches(f, "shard", "frames", "doc_id", budget=12000, max_n=16)
     return b.select("doc_id", (F.col("shard") * 1_000_000 + F.col("batch")).alias("batch"))
 
 
 @register("win08_bucket_batches_parallel", WIN08_SQL)
 def q_win08p(spark, sf):
     """WIN08 by successor pointers and pointer jumping: no task holds a bucket."""
-    b = B.bucket_batches_parallel(_frames(spark, sf), "frames", "doc_id", 93, 2812, budget=6000, buckets=20)
+    b = B.bucket_batches(_frames(spark, sf), "frames", "doc_id", 93, 2812, budget=6000, buckets=20)
     return b.select("doc_id", "bucket", "batch")

@@ -43,20 +43,23 @@ def get_spark(app: str = "emoscope", cpus: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    A cluster sets this to a shared file system.  Only when it is unset (a
-    local test run) is a fresh scratch folder created and registered.
+    A folder that the launcher has set on the context stays; else the setting
+    ``spark.checkpoint.dir`` names it.  Only a local session may go without
+    either (tests) and gets a fresh scratch folder; on a cluster that would be
+    a folder no other machine sees, so it is an error.
     """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        # the context reports a folder of its own inside the one it was given
+        return current
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="emoscope-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001 - a static conf on some deployments
-            pass
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001 - no classic SparkContext (e.g. Spark Connect)
-        pass
+        spark.conf.set("spark.checkpoint.dir", current)
+    context.setCheckpointDir(current)
     return current

@@ -219,7 +219,7 @@ def read_metrics_report(spark: SparkSession, glob: str) -> DataFrame:
     lines = lines.withColumn("__hln", F.last("__h", ignorenulls=True).over(w))
     heads = lines.where(F.col("__h").isNotNull()).select(
         "report", F.col("ln").alias("__hln"), F.lower(header).alias("target"),
-        F.slice(F.split("line", "\t"), 2, 1000).alias("labels"))
+        F.expr("slice(split(line, '\\t'), 2, size(split(line, '\\t')))").alias("labels"))
     rows = lines.where(F.col("line").rlike(r"^[^\t]+\t\t[0-9]")).select(
         "report", "__hln", F.substring_index("line", "\t", 1).alias("actual"),
         F.split(F.regexp_replace("line", r"^[^\t]+\t\t", ""), "\t").alias("counts"))
