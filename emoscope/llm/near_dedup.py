@@ -46,7 +46,7 @@ from emoscope.llm.common import saved, text_of
 ROWS, BANDS = 4, 28
 #: Signature values of 112 on which a pair has to agree; at 0.8 it agrees on 90 on average, on fewer than 67 in one of ten million.
 MATCHES = 67
-PIECE = 512
+PIECE = 1024
 BROADCAST_ROWS = 300_000
 _SPACE = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_SPACE, _SPACE.lower())
@@ -85,25 +85,37 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for lo in range(0, len(shingles), 4096):
         part = shingles[lo:lo + 4096]
         out = np.minimum(out, (_A[:, None] * part + _B[:, None]).min(1))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out >> np.uint64(32)
+
+
+def coordinates(values: np.ndarray) -> np.ndarray:
+    """A hash of each coordinate (by its place) and the signature values it takes."""
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + values[r::ROWS])
+    return out.view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, node, sig``: set size, 128-bit set hash (null for the
-    empty set) and signature."""
+    """``doc_id, n_shingles, node, keys, sig``: set size, 128-bit set hash (null for
+    the empty set), the coordinate-value pairs as hashes, and a sketch of the
+    signature, the low byte of every value, which collides wherever the values do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, nodes, sigs = [], [], []
+            counts, nodes, keys, sigs = [], [], [], []
             for x in batch.column(1):
                 s = shingle_hashes(x.as_py() or "", size)
                 counts.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
+                values = signature(s) if len(s) else None
+                keys.append(coordinates(values) if len(s) else None)
+                sigs.append(values.astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "sig"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "keys", "sig"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, sig array<int>")
+        run, "doc_id long, n_shingles long, node binary, keys array<long>, sig binary")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,9 +134,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def postings(classes: DataFrame) -> DataFrame:
     """``key, band, node, n, least``: the posting lists with at least two members."""
-    coordinates = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)])
-                            for b in range(BANDS)])
-    posts = classes.select("node", F.posexplode(coordinates).alias("band", "key"))
+    posts = classes.select("node", F.posexplode("keys").alias("band", "key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     return saved(posts.join(lists, "key"))
 
@@ -209,9 +219,8 @@ def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of ``blocks`` that have a candidate partner in their block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            flat = pa.concat_arrays([c.flatten() for c in rows.column("sig").chunks]).to_numpy()
-            rows = rows.drop_columns("sig")
-            block, keep = _Block(rows, flat.reshape(len(rows), -1)), set()
+            sig, rows = _matrix(rows.column("sig")), rows.drop_columns("sig")
+            block, keep = _Block(rows, sig), set()
             for x in range(len(rows) - 1):
                 found = block.candidates(x)[0].tolist()
                 keep.update(found)
@@ -230,9 +239,8 @@ def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
             # signatures are computed anew: cheaper than to carry them along
-            lists = [np.asarray(x, np.int64) for x in rows.column("shingles").to_pylist()]
-            block = _Block(rows, np.stack([signature(x.view(np.uint64)) for x in lists]))
-            full = [set(x.tolist()) for x in lists]
+            full = [x.values.to_numpy() for x in rows.column("shingles")]
+            block = _Block(rows, np.stack([signature(x.view(np.uint64)).astype(np.uint8) for x in full]))
             root = {int(v): int(v) for v in block.lab}
 
             def find(v: int) -> int:
@@ -247,7 +255,7 @@ def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                     p, q = find(int(block.lab[x])), find(int(block.lab[y]))
                     if p == q:
                         continue
-                    both = len(full[x] & full[y])
+                    both = len(np.intersect1d(full[x], full[y], assume_unique=True))
                     if 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
                         root[p] = q
                         links.append(sorted((block.nodes[x], block.nodes[y])))
@@ -263,8 +271,19 @@ def similar_signatures(pairs: DataFrame, classes: DataFrame, matches: int = MATC
     """Pairs whose signatures collide on at least ``matches`` values."""
     left = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    return pairs.join(left, "a").join(right, "b").filter(same >= matches).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hits = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(1)
+                yield batch.select(["a", "b"]).filter(pa.array(hits >= matches))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     signed = saved(signatures(docs, size))
     classes = saved(signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     posts = postings(classes)
 
     close = saved(similar_signatures(first_pairs(posts), classes))
