@@ -9,8 +9,8 @@ them, and two classes with a similarity of 0.8 share no coordinate with a
 chance of (1 - 0.8 ** ROWS) ** BANDS, below one in a million.
 
 A posting list is not expanded into all its pairs.  In the first pass each
-member meets the list's least member and its neighbour in an order of the
-list's own, cut into pieces of bounded size.  Collisions of the two signatures
+member meets the list's least member and, under a quarter of the coordinates,
+its neighbour in an order of the list's own, cut into pieces of bounded size.  Collisions of the two signatures
 are counted over all values, pairs below ``MATCHES`` are dropped, and the rest
 are confirmed on the full shingle sets.  The second pass skips every list whose
 members are in one component by then.  The others are dealt into blocks of at
@@ -146,10 +146,12 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def first_pairs(posts: DataFrame) -> DataFrame:
     """Each member with its list's least member and with its neighbour in the list's own order."""
     star = posts.filter("node != least").select(*_ordered(F.col("least"), F.col("node")))
+    # neighbours under a quarter of the coordinates join most families; the second pass finds the rest
+    some = posts.filter(F.col("band") % 4 == 0)
     own = F.xxhash64("key", "node")
     piece = F.pmod(own, F.ceil(F.col("n") / PIECE))
     order = Window.partitionBy("key", "_piece").orderBy("_own", "node")
-    chain = (posts.withColumn("_own", own).withColumn("_piece", piece)
+    chain = (some.withColumn("_own", own).withColumn("_piece", piece)
              .withColumn("next", F.lead("node").over(order)).filter("next is not null")
              .select(*_ordered(F.col("node"), F.col("next"))))
     return star.unionByName(chain).distinct()
