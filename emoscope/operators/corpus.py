@@ -23,7 +23,7 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     table (one row per distinct value)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     total = df.groupBy().agg(F.count(F.lit(1))).scalar()
-    ranked = global_row_number(counts, [F.desc("n"), F.asc(col)], "rank")
+    ranked = global_row_number(counts, [-F.col("n"), F.col(col)], "rank")
     return ranked.withColumn("share", F.col("n") / total)
 
 

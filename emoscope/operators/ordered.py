@@ -2,20 +2,26 @@
 
 A window ``PARTITION BY key ORDER BY ...`` sends every row of a key to one
 task.  For population keys (user, speaker, source, split) one key can be huge,
-so the scans here shard by *range* over ``(keys, order)`` instead:
-
-1. ``repartitionByRange(keys + order)`` cuts the sorted sequence into
-   balanced slices; a hot key simply spans several slices.
-2. One Arrow-batched ``mapInPandas`` pass computes the local result inside
-   each slice (row number, running sum, previous/next value within the key).
-3. The local result is checkpointed once (shared folder), so every later
-   branch reads the same slices whether or not Spark reuses the exchange.
-4. A per-slice summary (one row per slice, so its size is bounded by the
-   partition count) carries the running values across slice borders; it is
-   the only broadcast side.
+so the scans here cut the sequence of ``(keys, order)`` into slices:
+
+1. Slice bounds come from a bounded sample, the rows with the smallest hash of
+   ``(keys, order)``.  It is a scalar subquery that gives the same bounds on
+   every evaluation; the bounds set the balance, never the result.
+2. A row finds its slice by binary search in the bounds.  Native windows over
+   ``(keys, slice)`` give the local row number, sum, and neighbours; a hot key
+   spans several slices, so no task holds it whole.
+3. One aggregate per ``(keys, slice)``, combined on the map side, and a window
+   over its rows give what crosses slice borders.  Only a key's later slices
+   need it: at most one row for each border, joined back on ``(keys, slice)``,
+   by which the rows are partitioned already.
+
+Everything is a DataFrame expression: no Python, no job at build, no
+checkpoint, and values keep their types.  NULL keys form one key; NULLs sort
+first in ``order``.
 
 The order must be total (add a unique id as the last order column) so that
-results are deterministic when a task is retried.
+results are deterministic when a task is retried.  All order columns ascend;
+negate a number to have it descend.
 
 Windows over naturally bounded entities (the turns of one conversation, the
 frames of one utterance) use plain Spark windows elsewhere in the library.
@@ -25,26 +31,51 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_PID = "__pid"
-_POS = "__pos"
+#: Sampled rows for each slice; more only make the slices more even.
+SAMPLE_PER_SLICE = 8
 
 
-def _shard_count(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    conf = df.sparkSession.conf
-    return int(conf.get("spark.sql.shuffle.partitions", "200"))
+def _slice_count(df: DataFrame, num_slices: int | None) -> int:
+    """Twice the shuffle partitions, as slices are dealt out by hash."""
+    return num_slices or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _bounds(df: DataFrame, place: Column, n: int) -> Column:
+    """``n - 1`` ascending bounds of the slices, as one array (empty for no rows)."""
+    rows = df.select(place.alias("p")).orderBy(F.xxhash64("p"), "p").limit(n * SAMPLE_PER_SLICE)
+    picked = F.transform(F.sequence(F.lit(1), F.lit(n - 1)),
+                         lambda i: F.get("a", F.floor(i * F.size("a") / n).cast("int")))
+    return (rows.agg(F.array_sort(F.collect_list("p")).alias("a"))
+            .select(F.when(F.size("a") > 0, picked)).scalar())
+
+
+def _with_slice(df: DataFrame, n_keys: int, place: Column, n: int) -> DataFrame:
+    """Adds ``__g``: the row's key and slice, the slice being the number of
+    bounds at or below the row's place, found by binary search."""
+    steps = [1 << k for k in reversed(range((n - 1).bit_length()))]
+    # a column of its own first, as a lambda may not hold a subquery; read once, the optimizer folds it in
+    start = F.struct(F.lit(0).alias("at"), F.col("__b").alias("b"), place.alias("p"))
+
+    def step(s: Column, by: Column) -> Column:
+        low = (s["at"] + by <= n - 1) & (F.get(s["b"], s["at"] + by - 1) <= s["p"])
+        return F.struct(F.when(low, s["at"] + by).otherwise(s["at"]).alias("at"), s["b"].alias("b"), s["p"].alias("p"))
+
+    def done(s: Column) -> Column:
+        # a struct is never NULL, so NULL keys group and join like any other
+        key = F.struct(F.lit(0).alias("all"), *[s["p"][f"k{i}"].alias(f"k{i}") for i in range(n_keys)])
+        return F.struct(key.alias("key"), s["at"].alias("slice"))
+
+    g = F.aggregate(F.array(*[F.lit(x) for x in steps]).cast("array<int>"), start, step, done)
+    return df.withColumn("__b", _bounds(df, place, n)).select(*df.columns, g.alias("__g"))
 
 
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str | object],
+    order: Sequence[str | Column],
     *,
     row_number: str | None = None,
     running_sum: tuple[str, str] | None = None,
@@ -55,202 +86,78 @@ def ordered_scan(
     """Add per-key ordered columns without a per-key task.
 
     ``row_number``  name of a 1-based position within the key.
-    ``running_sum`` ``(value_col, out_col)``: inclusive running sum within the key.
+    ``running_sum`` ``(value_col, out_col)``: inclusive running sum within the
+    key, NULL values counting as 0; the type is that of Spark's ``sum``.
     ``lag`` / ``lead`` ``(col, out_col)`` pairs: the value of the previous /
     next row of the same key (NULL at the key's first / last row).
+    ``num_partitions`` is the number of slices.
     """
-    keys = list(keys)
-    lag = list(lag)
-    lead = list(lead)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n_parts = _shard_count(df, num_partitions)
-
-    key_cols = keys or []
-    src = df
-    if not key_cols:
-        src = src.withColumn("__k0", F.lit(0))
-        key_cols = ["__k0"]
-
-    sharded = (
-        src.repartitionByRange(n_parts, *[F.col(k) for k in key_cols], *order_cols)
-        .sortWithinPartitions(*[F.col(k) for k in key_cols], *order_cols)
-        .withColumn(_PID, F.spark_partition_id())
-    )
-
-    value_col = running_sum[0] if running_sum else None
-    local_fields = [
-        T.StructField(_POS, T.LongType(), False),
-        T.StructField("__lrn", T.LongType(), False),
-    ]
-    schema_by_name = {f.name: f for f in sharded.schema.fields}
-    if value_col:
-        local_fields.append(T.StructField("__lcs", T.DoubleType(), True))
-    for c, _ in lag:
-        local_fields.append(T.StructField(f"__lag_{c}", schema_by_name[c].dataType, True))
-    for c, _ in lead:
-        local_fields.append(T.StructField(f"__lead_{c}", schema_by_name[c].dataType, True))
-    out_schema = T.StructType(list(sharded.schema.fields) + local_fields)
-
-    lag_names = [c for c, _ in lag]
-    lead_names = [c for c, _ in lead]
-
-    def local_pass(batches):
-        # Rows arrive sorted by (keys, order) inside one slice; state crosses
-        # Arrow batches: position, last key, its count and sum, and one batch
-        # of look-ahead for ``lead``.
-        pos = 0
-        prev_key = None
-        prev_rn = 0
-        prev_cs = 0.0
-        prev_last = {}
-        pending = None
-
-        def finish(pdf, next_first):
-            if next_first is not None and lead_names:
-                last_idx = pdf.index[-1]
-                same = pdf.loc[last_idx, key_cols].tolist() == next_first[0]
-                for c in lead_names:
-                    pdf.loc[last_idx, f"__lead_{c}"] = next_first[1][c] if same else None
-            return pdf
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            n = len(pdf)
-            keyframe = pdf[key_cols]
-            same_prev = (keyframe == keyframe.shift(1)).all(axis=1)
-            same_prev.iloc[0] = prev_key is not None and keyframe.iloc[0].tolist() == prev_key
-            group = (~same_prev).cumsum()
-            rn = pdf.groupby(group, sort=False).cumcount() + 1
-            first_group = group == group.iloc[0]
-            if same_prev.iloc[0]:
-                rn = rn + first_group.astype("int64") * prev_rn
-            pdf[_POS] = range(pos, pos + n)
-            pdf["__lrn"] = rn.astype("int64")
-            if value_col:
-                vals = pdf[value_col].astype("float64").fillna(0.0)
-                cs = vals.groupby(group, sort=False).cumsum()
-                if same_prev.iloc[0]:
-                    cs = cs + first_group.astype("float64") * prev_cs
-                pdf["__lcs"] = cs
-            for c in lag_names:
-                shifted = pdf[c].shift(1).astype(object)
-                first_val = prev_last.get(c) if same_prev.iloc[0] else None
-                shifted.iloc[0] = first_val
-                pdf[f"__lag_{c}"] = shifted.where(same_prev, None)
-            same_next = (keyframe == keyframe.shift(-1)).all(axis=1)
-            for c in lead_names:
-                shifted = pdf[c].shift(-1).astype(object)
-                pdf[f"__lead_{c}"] = shifted.where(same_next, None)
-                pdf.loc[n - 1, f"__lead_{c}"] = None
-            # state for the next batch
-            prev_key = keyframe.iloc[-1].tolist()
-            prev_rn = int(pdf["__lrn"].iloc[-1])
-            prev_cs = float(pdf["__lcs"].iloc[-1]) if value_col else 0.0
-            prev_last = {c: pdf[c].iloc[-1] for c in lag_names}
-            pos += n
-            if pending is not None:
-                yield finish(pending, (keyframe.iloc[0].tolist(), pdf.iloc[0]))
-            pending = pdf
-        if pending is not None:
-            yield pending
-
-    # Materialise the local pass once in the shared checkpoint folder.  Both
-    # the summary branch and the row branch must see the same slicing, and
-    # Spark's range partitioner samples with a seed taken from the RDD id, so
-    # two evaluations of the exchange may cut different slices unless the
-    # exchange happens to be reused.  Reading one checkpoint makes the result
-    # independent of exchange reuse, runs the Arrow pass once, and cuts the
-    # lineage for executor loss.
-    from emoscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    local = sharded.mapInPandas(local_pass, out_schema).checkpoint()
-
-    # One summary row per slice: first and last key, the running values of the
-    # last key, the last / first row's values.  Size <= number of slices.
-    key_struct = F.struct(*[F.col(k) for k in key_cols])
-    summary_aggs = [
-        F.min_by(key_struct, F.col(_POS)).alias("first_key"),
-        F.max_by(key_struct, F.col(_POS)).alias("last_key"),
-        F.max_by(F.col("__lrn"), F.col(_POS)).alias("last_rn"),
-        F.max(F.col(_POS)).alias("last_pos"),
-    ]
-    if value_col:
-        summary_aggs.append(F.max_by(F.col("__lcs"), F.col(_POS)).alias("last_cs"))
-    for c in lag_names:
-        summary_aggs.append(F.max_by(F.col(c), F.col(_POS)).alias(f"last_{c}"))
-    for c in lead_names:
-        summary_aggs.append(F.min_by(F.col(c), F.col(_POS)).alias(f"first_{c}"))
-    summary = local.groupBy(_PID).agg(*summary_aggs)
-
-    by_pid = Window.orderBy(_PID)
-    by_last_key = Window.partitionBy("last_key").orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    carry = summary.withColumn("cum_rn", F.sum("last_rn").over(by_last_key))
-    if value_col:
-        carry = carry.withColumn("cum_cs", F.sum("last_cs").over(by_last_key))
-    prev_matches = F.lag("last_key").over(by_pid).eqNullSafe(F.col("first_key"))
-    next_matches = F.lead("first_key").over(by_pid).eqNullSafe(F.col("last_key"))
-    carry_cols = [
-        F.col(_PID),
-        F.col("first_key").alias("__first_key"),
-        F.col("last_key").alias("__last_key"),
-        F.col("last_pos").alias("__last_pos"),
-        F.when(prev_matches, F.lag("cum_rn").over(by_pid)).otherwise(F.lit(0)).alias("__carry_rn"),
-    ]
-    if value_col:
-        carry_cols.append(
-            F.when(prev_matches, F.lag("cum_cs").over(by_pid)).otherwise(F.lit(0.0)).alias("__carry_cs"))
-    for c in lag_names:
-        carry_cols.append(F.when(prev_matches, F.lag(f"last_{c}").over(by_pid)).alias(f"__carry_lag_{c}"))
-    for c in lead_names:
-        carry_cols.append(F.when(next_matches, F.lead(f"first_{c}").over(by_pid)).alias(f"__carry_lead_{c}"))
-    carry = carry.select(*carry_cols)
-
-    joined = local.join(F.broadcast(carry), on=_PID, how="left")
-    in_first_key = key_struct.eqNullSafe(F.col("__first_key"))
-    out = joined
+    keys, lag, lead = list(keys), list(lag), list(lead)
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+                     *[c.alias(f"o{i}") for i, c in enumerate(by)])
+    placed = _with_slice(df, len(keys), place, _slice_count(df, num_partitions))
+
+    value = None
+    if running_sum:
+        value = F.coalesce(F.col(running_sum[0]), F.lit(0).cast(df.schema[running_sum[0]].dataType))
+
+    ahead = Window.partitionBy("__g").orderBy(*by)
+    local = placed.withColumn("__rn", F.row_number().over(ahead).cast("long"))
+    if running_sum:
+        local = local.withColumn("__cs", F.sum(value).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    for i, (c, _) in enumerate(lag):
+        local = local.withColumn(f"__lag{i}", F.lag(c).over(ahead))
+    if lead:
+        local = local.withColumn("__end", F.lead(F.lit(1)).over(ahead).isNull())
+    for i, (c, _) in enumerate(lead):
+        local = local.withColumn(f"__lead{i}", F.lead(c).over(ahead))
+
+    totals = [F.count(F.lit(1)).alias("n")]
+    if running_sum:
+        totals.append(F.sum(value).alias("s"))
+    totals += [F.max_by(F.struct(c), F.struct(*by))[c].alias(f"last{i}") for i, (c, _) in enumerate(lag)]
+    totals += [F.min_by(F.struct(c), F.struct(*by))[c].alias(f"first{i}") for i, (c, _) in enumerate(lead)]
+    slices = placed.groupBy("__g").agg(*totals)
+    along = Window.partitionBy("__g.key").orderBy("__g.slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.sum("n").over(before).alias("__n0")]
+    if running_sum:
+        carry.append(F.sum("s").over(before).alias("__s0"))
+    carry += [F.lag(f"last{i}").over(along).alias(f"__last{i}") for i in range(len(lag))]
+    carry += [F.lead(f"first{i}").over(along).alias(f"__first{i}") for i in range(len(lead))]
+    later = F.lead(F.lit(1)).over(along).alias("__later")
+    carry = slices.select("__g", *carry, later)
+    needed = F.col("__n0").isNotNull()
+    carry = carry.where(needed | F.col("__later").isNotNull() if lead else needed).drop("__later")
+
+    out = local.join(carry, "__g", "left")
+    extra = []
     if row_number:
-        out = out.withColumn(
-            row_number,
-            F.col("__lrn") + F.when(in_first_key, F.col("__carry_rn")).otherwise(F.lit(0)),
-        )
-    if value_col:
-        out = out.withColumn(
-            running_sum[1],
-            F.col("__lcs") + F.when(in_first_key, F.col("__carry_cs")).otherwise(F.lit(0.0)),
-        )
-    for c, name in lag:
-        out = out.withColumn(
-            name,
-            F.when(F.col(_POS) == 0, F.col(f"__carry_lag_{c}")).otherwise(F.col(f"__lag_{c}")),
-        )
-    for c, name in lead:
-        out = out.withColumn(
-            name,
-            F.when(F.col(_POS) == F.col("__last_pos"), F.col(f"__carry_lead_{c}"))
-            .otherwise(F.col(f"__lead_{c}")),
-        )
-    keep = [c for c in df.columns]
-    extra = ([row_number] if row_number else []) + ([running_sum[1]] if value_col else [])
-    extra += [name for _, name in lag] + [name for _, name in lead]
-    return out.select(*keep, *extra)
-
-
-def global_row_number(df: DataFrame, order: Sequence[str | object], name: str = "row_no",
+        extra.append((F.col("__rn") + F.coalesce("__n0", F.lit(0))).alias(row_number))
+    if running_sum:
+        extra.append(F.when(F.col("__s0").isNull(), F.col("__cs")).otherwise(F.col("__cs") + F.col("__s0"))
+                     .alias(running_sum[1]))
+    for i, (_, name) in enumerate(lag):
+        extra.append(F.when(F.col("__rn") == 1, F.col(f"__last{i}")).otherwise(F.col(f"__lag{i}")).alias(name))
+    for i, (_, name) in enumerate(lead):
+        extra.append(F.when(F.col("__end"), F.col(f"__first{i}")).otherwise(F.col(f"__lead{i}")).alias(name))
+    return out.select(*df.columns, *extra)
+
+
+def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_no",
                       num_partitions: int | None = None) -> DataFrame:
     """1-based position in a total order, without a single-task window."""
     return ordered_scan(df, [], order, row_number=name, num_partitions=num_partitions)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | object],
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                 value: str, name: str, num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` in ``order``."""
     return ordered_scan(df, keys, order, running_sum=(value, name), num_partitions=num_partitions)
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str | object],
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                lag: Iterable[tuple[str, str]] = (), lead: Iterable[tuple[str, str]] = (),
                num_partitions: int | None = None) -> DataFrame:
     """Previous / next value within the key (``lag`` / ``lead`` of one row)."""
@@ -267,5 +174,3 @@ def key_sizes(df: DataFrame, keys: Sequence[str], name: str = "key_rows") -> Dat
 
 
 __all__ = ["ordered_scan", "global_row_number", "running_sum", "neighbours", "key_sizes"]
-
-_ = pd  # pandas is used inside the Arrow tasks

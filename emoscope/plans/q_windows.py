@@ -64,7 +64,7 @@ SELECT doc_id, speaker, round(taken, 6) AS taken FROM (
 WHERE prev < 600""", ["utterances"]))
 def q_win05(spark, sf):
     u = V.utterances(spark, sf).select("doc_id", "speaker", "duration")
-    t = R.take_until(u, ["speaker"], [F.desc("duration"), F.asc("doc_id")], "duration", 600.0)
+    t = R.take_until(u, ["speaker"], [-F.col("duration"), F.col("doc_id")], "duration", 600.0)
     return rounded(t.select("doc_id", "speaker", "taken"))
 
 
