@@ -99,8 +99,11 @@ def fmt_bytes(n) -> Column:
 
 
 # Punctuation removed before scoring, ASCII (Python's
-# string.punctuation) followed by the common CJK / full-width marks.
-CJK_PUNCT = "，。！？；：、（）《》〈〉【】「」『』“”‘’…—～·"
+# string.punctuation) followed by the full-width and CJK marks, in code order
+# by block.
+CJK_PUNCT = ("＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､"
+             "\u3000、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿"
+             "–—‘’‛“”„‟…‧﹏﹑﹔·！？｡。")
 WER_PUNCT = string.punctuation + CJK_PUNCT
 
 

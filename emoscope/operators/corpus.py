@@ -48,7 +48,7 @@ def text_stats(df: DataFrame, text_col: str, class_col: str, line_col: str) -> D
 def coverage(df: DataFrame, speaker: str = "speaker", emotion: str = "emotion",
              duration: str = "duration", order: str = "audio_path", head: int = 5) -> DataFrame:
     """AGG14 per speaker x emotion: files, average duration of the first
-    ``head`` files (file order), and speakers per emotion.  The first-N
+    ``head`` files (file order), speakers per emotion, and all files.  The first-N
     filter is a ``row_number() <= N`` window, which Spark pre-limits per map
     partition (WindowGroupLimit), so a hot group never sorts in one task."""
     w = Window.partitionBy(speaker, emotion).orderBy(order)
@@ -56,7 +56,8 @@ def coverage(df: DataFrame, speaker: str = "speaker", emotion: str = "emotion",
     files = df.groupBy(speaker, emotion).agg(F.count(F.lit(1)).alias("files"))
     firsts = first.groupBy(speaker, emotion).agg(F.avg(duration).alias(f"avg_first{head}_duration"))
     per_emotion = df.groupBy(emotion).agg(F.count_distinct(speaker).alias("speakers_with_emotion"))
-    return files.join(firsts, [speaker, emotion]).join(per_emotion, emotion)
+    total = df.groupBy().agg(F.count(F.lit(1))).scalar()
+    return files.join(firsts, [speaker, emotion]).join(per_emotion, emotion).withColumn("total_files", total)
 
 
 def manifest_summary(df: DataFrame, duration: str = "duration", text: str = "text") -> DataFrame:
@@ -183,13 +184,17 @@ def training_plan(df: DataFrame, duration: str, workers: int, frames_per_worker:
                   warmup_share: float = 0.05) -> DataFrame:
     """AGG26 numbers for a training run from the duration list: max frame
     length, samples, hours, frames, updates per epoch (total frames / frames
-    per update), warm-up updates."""
+    per update), warm-up updates; with ``epochs_updates``, the epochs that so
+    many updates take (``epochs``)."""
     frames = F.col(duration) * sample_rate / hop
     agg = df.agg(F.max(frames).alias("max_frame_len"), F.count(F.lit(1)).alias("samples"),
                  (F.sum(duration) / 3600).alias("hours"), F.sum(frames).alias("total_frames"))
     per_update = workers * frames_per_worker
     agg = agg.withColumn("updates_per_epoch", F.ceil(F.col("total_frames") / per_update).cast("bigint"))
-    return agg.withColumn("warmup_updates", F.ceil(F.col("updates_per_epoch") * warmup_share).cast("bigint"))
+    agg = agg.withColumn("warmup_updates", F.ceil(F.col("updates_per_epoch") * warmup_share).cast("bigint"))
+    if epochs_updates is None:
+        return agg
+    return agg.withColumn("epochs", F.try_divide(F.lit(float(epochs_updates)), F.col("total_frames") / per_update))
 
 
 def epoch_log(df: DataFrame, epoch: str = "epoch", loss: str = "loss") -> DataFrame:

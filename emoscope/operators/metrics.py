@@ -4,9 +4,8 @@ Design: every metric starts from one grouped count (partial aggregation on
 the map side, so the shuffle carries at most groups x labels rows), and the
 rest is arithmetic on that small table.  Per-class counts come from a single
 pass in which each row contributes to its true label and to its predicted
-label; no join and no cross product is needed.  Zero-count cells, when a
-metric needs them (chi-square), are generated from per-group label arrays
-whose length is the label cardinality.
+label; no join and no cross product is needed.  Zero-count cells are made only
+where the result is the full matrix; chi-square needs the seen cells alone.
 """
 
 from __future__ import annotations
@@ -27,11 +26,24 @@ def _keys(by: Sequence[str] | None) -> list[str]:
     return list(by or [])
 
 
-def confusion(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+def confusion(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
+              label_cols: Sequence[str] = ()) -> DataFrame:
     """AGG01 long-form confusion matrix ``(by..., actual, predicted, n)``.
-    Cells with zero count are implicit (absent rows)."""
-    return (df.groupBy(*_keys(by), F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
+
+    Without ``label_cols`` cells with zero count are implicit (absent rows).
+    With them, every group gets the full matrix over the labels found in any of
+    those columns, zero cells included; the label list is one scalar, as long
+    as the label cardinality.  Rows with a NULL label keep their own cell."""
+    keys = _keys(by)
+    cells = (df.groupBy(*keys, F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    if not label_cols:
+        return cells
+    known = label_domain(df, label_cols).agg(F.array_sort(F.collect_list("label"))).scalar()
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_labels", known)
+    zeros = (groups.select(*keys, F.explode("_labels").alias("actual"), "_labels")
+             .select(*keys, "actual", F.explode("_labels").alias("predicted"), F.lit(0).cast("long").alias("n")))
+    return cells.unionByName(zeros).groupBy(*keys, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def accuracy(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), name: str = "accuracy") -> DataFrame:
@@ -179,17 +191,6 @@ def crosstab_norm(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
     return ct.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
-def _full_grid(ct: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Every (row label, column label) cell of each group, zero-filled.
-
-    The label lists are per-group arrays (length = label cardinality); the grid
-    is generated by ``explode`` on the aggregated table, not by a join."""
-    rows = ct.groupBy(*keys).agg(F.collect_set(a).alias("__rows"), F.collect_set(b).alias("__cols"))
-    grid = (rows.select(*keys, F.explode("__rows").alias(a), "__cols")
-            .select(*keys, a, F.explode("__cols").alias(b)))
-    return grid.join(ct, on=keys + [a, b], how="left").fillna(0, subset=["n"])
-
-
 def _chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution: Q(dof/2, stat/2)."""
     out = []
@@ -235,37 +236,49 @@ def _gammaincc(a: float, x: float) -> float:
     return math.exp(-x + a * math.log(x) - gln) * h
 
 
+def _margins(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """Cells with their row and column totals (windows over the counted table)."""
+    return (cells.withColumn("_ra", F.sum("n").over(Window.partitionBy(*keys, a)))
+            .withColumn("_cb", F.sum("n").over(Window.partitionBy(*keys, b))))
+
+
+def expected_counts(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """AGG10 ``(by..., actual, predicted, n, expected)`` for every label pair of
+    a group, zero cells included: expected = row total x column total / n.
+    Labels are those of both columns; a label absent from a margin expects 0."""
+    keys = _keys(by)
+    cells = _margins(confusion(df, a, b, by, label_cols=[a, b]), "actual", "predicted", keys)
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot"))
+    cells = cells.join(totals, keys) if keys else cells.withColumn("_tot", totals.scalar())
+    return cells.withColumn("expected", F.col("_ra") * F.col("_cb") / F.col("_tot")).drop("_ra", "_cb", "_tot")
+
+
 def chi2_test(df: DataFrame, a: str, b: str, by: Sequence[str] = (), correction: bool = True) -> DataFrame:
     """AGG10 Pearson chi-square of the a x b table: statistic, dof, p-value.
 
-    Expected counts are row total x column total / n.  As in the usual
-    contingency test, the Yates continuity correction applies only when
-    dof == 1.  Aggregates first, so the work after the scan is on the
-    contingency table only.  The p-value is the only Python step (one row
-    per group, Arrow-batched)."""
+    With row totals r, column totals c and N rows, chi2 = N * (sum(n^2 / (r c)) - 1),
+    and the sum needs the seen cells only, so no zero cell is made.  In a 2 x 2
+    table every cell is equally far from its expected count, so the Yates
+    correction (only at dof 1, as usual) needs one cell's distance d:
+    max(d - 0.5, 0)^2 * N * sum(1 / r) * sum(1 / c).  The p-value is the only
+    Python step (one row per group, Arrow-batched)."""
     keys = _keys(by)
-    ct = crosstab(df, a, b, by)
-    grid = _full_grid(ct, a, b, keys)
-    wa = Window.partitionBy(*keys, a)
-    wb = Window.partitionBy(*keys, b)
-    wall = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    g = (grid.withColumn("__ra", F.sum("n").over(wa)).withColumn("__cb", F.sum("n").over(wb))
-         .withColumn("__tot", F.sum("n").over(wall))
-         .withColumn("__r", F.size(F.collect_set(a).over(wall)))
-         .withColumn("__c", F.size(F.collect_set(b).over(wall))))
-    g = g.withColumn("expected", F.col("__ra") * F.col("__cb") / F.col("__tot"))
-    g = g.withColumn("dof", ((F.col("__r") - 1) * (F.col("__c") - 1)).cast("bigint"))
-    obs = F.col("n").cast("double")
-    diff = F.col("expected") - obs
+    cells = _margins(crosstab(df, a, b, by), a, b, keys)
+    n, r, c = F.col("n").cast("double"), F.col("_ra"), F.col("_cb")
+    stat = cells.groupBy(*keys).agg(
+        F.sum("n").alias("n_total"), F.sum(n * n / r / c).alias("_q"),
+        F.round(F.sum(n / r)).cast("int").alias("n_rows"), F.round(F.sum(n / c)).cast("int").alias("n_cols"),
+        F.sum(n / r / r).alias("_ir"), F.sum(n / c / c).alias("_ic"),
+        F.min(F.struct("n", "_ra", "_cb")).alias("_one"))
+    dof = ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("bigint")
+    chi2 = F.greatest(F.lit(0.0), F.col("n_total") * (F.col("_q") - 1))
     if correction:
-        adj = obs + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
-        obs = F.when(F.col("dof") == 1, adj).otherwise(obs)
-    term = F.pow(obs - F.col("expected"), 2) / F.col("expected")
-    stat = g.groupBy(*keys).agg(
-        F.sum(term).alias("chi2"), F.first("dof").alias("dof"), F.first("__tot").alias("n_total"),
-        F.first("__r").alias("n_rows"), F.first("__c").alias("n_cols"))
+        off = F.abs(F.col("_one.n") - F.col("_one._ra") * F.col("_one._cb") / F.col("n_total"))
+        yates = F.pow(F.greatest(off - 0.5, F.lit(0.0)), 2) * F.col("n_total") * F.col("_ir") * F.col("_ic")
+        chi2 = F.when(dof == 1, yates).otherwise(chi2)
     sf = F.pandas_udf(_chi2_sf, "double")
-    return stat.withColumn("p_value", sf(F.col("chi2"), F.col("dof")))
+    out = stat.select(*keys, chi2.alias("chi2"), dof.alias("dof"), "n_total", "n_rows", "n_cols")
+    return out.withColumn("p_value", sf(F.col("chi2"), F.col("dof")))
 
 
 def cramers_v(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -283,10 +296,13 @@ def label_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def same_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """AGG28 one row: do all columns carry the same label set?"""
-    sets = [F.array_sort(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    agg = df.agg(*sets)
-    eq = F.lit(True)
-    for i in range(1, len(cols)):
-        eq = eq & (F.col("s0") == F.col(f"s{i}"))
-    return agg.select(eq.alias("same_labels"), F.size("s0").alias("n_labels"))
+    """AGG28 one row: do all columns carry the same label set?  Counted per
+    label (partial aggregates), so no set is gathered in one row."""
+    seen = F.inline(F.array(*[F.struct(F.col(c).alias("label"), F.lit(i).alias("i")) for i, c in enumerate(cols)]))
+    of = [F.max(F.col("i") == i).alias(f"s{i}") for i in range(len(cols))]
+    per_label = df.select(seen).where(F.col("label").isNotNull()).groupBy("label").agg(*of)
+    every = F.lit(True)
+    for i in range(len(cols)):
+        every = every & F.col(f"s{i}")
+    return per_label.agg(F.coalesce(F.bool_and(every), F.lit(True)).alias("same_labels"),
+                         F.count_if("s0").cast("int").alias("n_labels"))

@@ -159,7 +159,8 @@ def q_agg13(spark, sf):
 
 @register("agg14_coverage", oracle("""
 SELECT f.speaker, f.emotion, CAST(f.files AS BIGINT) AS files, round(h.a, 6) AS avg_first5_duration,
-       CAST(e.s AS BIGINT) AS speakers_with_emotion
+       CAST(e.s AS BIGINT) AS speakers_with_emotion,
+       (SELECT CAST(count(*) AS BIGINT) FROM utterances) AS total_files
 FROM f JOIN h USING (speaker, emotion) JOIN e USING (emotion)""", ["utterances"], [
     ("f", "SELECT speaker, emotion, count(*) AS files FROM utterances GROUP BY ALL"),
     ("h", """SELECT speaker, emotion, avg(duration) AS a FROM (
@@ -288,10 +289,12 @@ def q_agg25(spark, sf):
 SELECT round(max(duration * 24000 / 256), 6) AS max_frame_len, CAST(count(*) AS BIGINT) AS samples,
        round(sum(duration) / 3600, 6) AS hours, round(sum(duration * 24000 / 256), 6) AS total_frames,
        CAST(ceil(sum(duration * 24000 / 256) / (8 * 38400)) AS BIGINT) AS updates_per_epoch,
-       CAST(ceil(ceil(sum(duration * 24000 / 256) / (8 * 38400)) * 0.05) AS BIGINT) AS warmup_updates
+       CAST(ceil(ceil(sum(duration * 24000 / 256) / (8 * 38400)) * 0.05) AS BIGINT) AS warmup_updates,
+       round(1200000 / (sum(duration * 24000 / 256) / (8 * 38400)), 6) AS epochs
 FROM utterances""", ["utterances"]))
 def q_agg26(spark, sf):
-    return rounded(C.training_plan(V.utterances(spark, sf), "duration", workers=8, frames_per_worker=38400))
+    return rounded(C.training_plan(V.utterances(spark, sf), "duration", workers=8, frames_per_worker=38400,
+                                   epochs_updates=1_200_000))
 
 
 @register("agg27_validate", oracle("""

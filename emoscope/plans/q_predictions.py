@@ -301,6 +301,37 @@ def q_agg10(spark, sf):
     return rounded(t.select("tts_model", "chi2", "dof", "n_total"))
 
 
+@register("agg10_expected_counts", oracle("""
+SELECT g.tts_model, x.l AS actual, y.l AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+       round(coalesce(r.n, 0) * coalesce(k.n, 0) / g.n, 6) AS expected
+FROM g CROSS JOIN l x CROSS JOIN l y
+LEFT JOIN c ON c.tts_model = g.tts_model AND c.pred_emo = x.l AND c.wav_emo = y.l
+LEFT JOIN r ON r.tts_model = g.tts_model AND r.pred_emo = x.l
+LEFT JOIN k ON k.tts_model = g.tts_model AND k.wav_emo = y.l""", ["predictions"], [
+    ("g", "SELECT tts_model, CAST(count(*) AS DOUBLE) AS n FROM predictions GROUP BY tts_model"),
+    ("l", "SELECT pred_emo AS l FROM predictions UNION SELECT wav_emo FROM predictions"),
+    ("c", "SELECT tts_model, pred_emo, wav_emo, count(*) AS n FROM predictions GROUP BY ALL"),
+    ("r", "SELECT tts_model, pred_emo, count(*) AS n FROM predictions GROUP BY ALL"),
+    ("k", "SELECT tts_model, wav_emo, count(*) AS n FROM predictions GROUP BY ALL"),
+]))
+def q_agg10_expected(spark, sf):
+    return rounded(M.expected_counts(parsed_predictions(spark, sf), "pred_emo", "wav_emo", ["tts_model"]))
+
+
+@register("agg01_confusion_full", oracle("""
+SELECT g.slm, x.l AS actual, y.l AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM g CROSS JOIN l x CROSS JOIN l y
+LEFT JOIN c ON c.slm = g.slm AND c.wav_emo = x.l AND c.pred_emo = y.l""", ["predictions"], [
+    ("g", "SELECT DISTINCT slm FROM predictions"),
+    ("l", "SELECT pred_emo AS l FROM predictions UNION SELECT wav_emo FROM predictions"),
+    ("c", "SELECT slm, wav_emo, pred_emo, count(*) AS n FROM predictions GROUP BY ALL"),
+]))
+def q_agg01_full(spark, sf):
+    """The full matrix over the labels of both columns, zero cells included."""
+    return M.confusion(parsed_predictions(spark, sf), "wav_emo", "pred_emo", ["slm"],
+                       label_cols=["wav_emo", "pred_emo"])
+
+
 @register("agg11_cramers_v", oracle("""
 SELECT tts_model, round(sqrt(sum((n - e) * (n - e) / e) / any_value(tot) / (least(any_value(r), any_value(c)) - 1)), 6)
        AS cramers_v
