@@ -323,13 +323,14 @@ SELECT g.slm, x.l AS actual, y.l AS predicted, CAST(coalesce(c.n, 0) AS BIGINT)
 FROM g CROSS JOIN l x CROSS JOIN l y
 LEFT JOIN c ON c.slm = g.slm AND c.wav_emo = x.l AND c.pred_emo = y.l""", ["predictions"], [
     ("g", "SELECT DISTINCT slm FROM predictions"),
-    ("l", "SELECT pred_emo AS l FROM predictions UNION SELECT wav_emo FROM predictions"),
+    ("l", """SELECT pred_emo AS l FROM predictions UNION SELECT wav_emo FROM predictions
+             UNION SELECT string_split(file_name, '_')[2] FROM predictions"""),
     ("c", "SELECT slm, wav_emo, pred_emo, count(*) AS n FROM predictions GROUP BY ALL"),
 ]))
 def q_agg01_full(spark, sf):
-    """The full matrix over the labels of both columns, zero cells included."""
+    """The full matrix over the labels of three columns, zero cells included."""
     return M.confusion(parsed_predictions(spark, sf), "wav_emo", "pred_emo", ["slm"],
-                       label_cols=["wav_emo", "pred_emo"])
+                       label_cols=["wav_emo", "pred_emo", "txt_emo"])
 
 
 @register("agg11_cramers_v", oracle("""
