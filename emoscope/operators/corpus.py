@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emoscope.functions.text import tokenize_char
-from emoscope.operators.ordered import global_row_number
+from emoscope.operators.ordered import global_row_number, ordered_scan
 from emoscope.operators.parallel import spread
 
 
@@ -71,7 +71,7 @@ def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]
     """AGG16 distinct characters of the texts (plus forced code-point ranges,
     e.g. 32-126 and 192-255), sorted by code point, indexed from 0."""
     # distinct per row first: the explode emits each character once per text
-    chars = spread(df).select(F.explode(F.array_distinct(tokenize_char(text))).alias("token")).distinct()
+    chars = df.select(F.explode(F.array_distinct(tokenize_char(text))).alias("token")).distinct()
     spark = df.sparkSession
     for lo, hi in extra_ranges:
         rng = spark.range(lo, hi + 1).select(
@@ -85,7 +85,7 @@ def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]
 def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """ARR02 for vocabularies of any size: explode, join to (token, idx),
     unknown -> 0, collect back in position order per row."""
-    ex = spread(df).select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    ex = spread(df, id_col).select(id_col, F.posexplode(tokens).alias("pos", "token"))
     j = ex.join(vocab.select("token", "idx"), "token", "left").fillna(0, subset=["idx"])
     coll = F.array_sort(F.collect_list(F.struct("pos", "idx")))
     return j.groupBy(id_col).agg(F.transform(coll, lambda s: s["idx"]).alias("ids"))
@@ -94,7 +94,7 @@ def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) ->
 def oov(df: DataFrame, id_col: str, text: str, vocab: DataFrame) -> DataFrame:
     """AGG17 characters not in the vocabulary, in first-seen order (by row
     id, then position): an anti join, then ``min(struct(id, pos))``."""
-    ex = spread(df).select(id_col, F.posexplode(tokenize_char(text)).alias("pos", "token"))
+    ex = df.select(id_col, F.posexplode(tokenize_char(text)).alias("pos", "token"))
     miss = ex.join(vocab.select("token"), "token", "left_anti")
     first = miss.groupBy("token").agg(F.min(F.struct(id_col, "pos")).alias("__first"), F.count(F.lit(1)).alias("n"))
     return first.select("token", "n", F.col(f"__first.{id_col}").alias("first_row"), F.col("__first.pos").alias("first_pos"))
@@ -120,6 +120,32 @@ def mean_score(df: DataFrame, col: str, digits: int, by: Sequence[str] = (), emp
     return df.groupBy(*by).agg(F.bround(m, digits).alias(f"mean_{col}"), F.count(col).alias("n"))
 
 
+def _group_key(by: Sequence[str]) -> Column:
+    """The grouping columns as one struct, which is never NULL and so joins like any value."""
+    return F.struct(F.lit(0).alias("__all"), *by)
+
+
+def exact_quantiles(df: DataFrame, key: str, col: str, qs: Sequence[float], out: str) -> DataFrame:
+    """Quantiles (linear interpolation) of ``col`` per ``key`` as an array column.
+
+    Rows are counted per (key, value), combined on the map side; a range-sharded
+    running count over the values gives each its span of positions, and a
+    quantile is read off the two spans that its position falls between."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("__c"))
+    spans = ordered_scan(counts, [key], [col], running_sum=("__c", "__upto"))
+    sizes = counts.groupBy(key).agg(F.sum("__c").alias("__n"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__upto") - F.col("__c") <= place) & (place < F.col("__upto")), F.col(col)))
+
+    places = [(F.col("__n") - 1) * F.lit(float(q)) for q in qs]
+    found = spans.join(sizes, key).groupBy(key).agg(
+        F.array(*[at(F.floor(p)) for p in places]).alias("__lo"), F.array(*[at(F.ceil(p)) for p in places]).alias("__hi"),
+        F.array(*[F.max(p - F.floor(p)) for p in places]).alias("__part"))
+    return found.select(key, F.array(*[
+        F.col("__lo")[i] + (F.col("__hi")[i] - F.col("__lo")[i]) * F.col("__part")[i] for i in range(len(qs))]).alias(out))
+
+
 def latency_report(df: DataFrame, latency: str = "latency_s", audio: str = "audio_s",
                    by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """AGG20 RTF = processing seconds / audio seconds (here the sum of request
@@ -127,21 +153,20 @@ def latency_report(df: DataFrame, latency: str = "latency_s", audio: str = "audi
     the latencies in seconds x1000 (population, as the reference prints it),
     p50/p90/p95/p99 in ms (linear interpolation like numpy).
 
-    ``exact=True`` keeps a value histogram per group (fine for per-run logs);
-    ``exact=False`` uses the mergeable ``percentile_approx`` sketch, whose
-    memory is bounded whatever the group size."""
+    ``exact=True`` finds the percentiles with ``exact_quantiles``, so no group
+    is held by one task; ``exact=False`` uses the mergeable
+    ``percentile_approx`` sketch.  An empty log gives no rows."""
     qs = [0.5, 0.9, 0.95, 0.99]
-    if exact:
-        pct = F.percentile(latency, qs)
-    else:
-        pct = F.percentile_approx(latency, qs, 10000)
-    agg = df.groupBy(*by).agg(
+    keyed = df.withColumn("__key", _group_key(by))
+    agg = keyed.groupBy("__key").agg(
         F.count(F.lit(1)).alias("requests"),
         (F.sum(latency) / F.sum(audio)).alias("rtf"),
         (F.avg(latency) * 1000).alias("mean_latency_ms"),
         (F.var_pop(latency) * 1000).alias("latency_variance"),
-        pct.alias("__p"))
-    return agg.select(*by, "requests", "rtf", "mean_latency_ms", "latency_variance",
+        *([] if exact else [F.percentile_approx(latency, qs, 10000).alias("__p")]))
+    if exact:
+        agg = agg.join(exact_quantiles(keyed, "__key", latency, qs, "__p"), "__key", "left")
+    return agg.select(*[F.col("__key")[c].alias(c) for c in by], "requests", "rtf", "mean_latency_ms", "latency_variance",
                       *[(F.col("__p")[i] * 1000).alias(f"p{int(q * 100)}_ms") for i, q in enumerate(qs)])
 
 

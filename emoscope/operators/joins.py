@@ -90,8 +90,8 @@ def pair_similarity(pairs: DataFrame, emb: DataFrame, left_key: str, right_key:
 
 def _code_point(idx: Column) -> Column:
     """Map a 1-based index to one supplementary-plane code point (U+10000 +
-    idx), as a one-character string.  Supplementary planes hold over a million
-    code points, far more than the distinct words of any pair of texts."""
+    idx), as a one-character string: room for 1,048,576 spellings common to both
+    texts of one pair, whose distance table would have over 10^12 cells."""
     return F.decode(F.unhex(F.lpad(F.hex(idx + F.lit(0xFFFF)), 8, "0")), "UTF-32")
 
 
@@ -117,20 +117,29 @@ def edit_distance_words(ref_words: Column, hyp_words: Column) -> Column:
 
 
 def _encoded_words(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """Per pair, both texts as strings of word codes: every word gets the
-    dense rank of its spelling within the pair (a per-pair window, bounded by
-    the pair's length), then the codes are put back in word order."""
-    df = spread(df)
-    toks = (df.select(key, F.posexplode(words(F.col(ref))).alias("pos", "w")).withColumn("side", F.lit(0))
-            .unionByName(df.select(key, F.posexplode(words(F.col(hyp))).alias("pos", "w")).withColumn("side", F.lit(1))))
-    toks = toks.withColumn("code", F.dense_rank().over(Window.partitionBy(key).orderBy("w")))
-    seq = F.array_sort(F.collect_list(F.struct("side", "pos", _code_point(F.col("code")).alias("ch"))))
-
-    def side(arr, s):
-        return F.array_join(F.transform(F.filter(arr, lambda t: t["side"] == s), lambda t: t["ch"]), "")
-
-    enc = toks.groupBy(key).agg(seq.alias("__seq"))
-    return enc.select(key, side(F.col("__seq"), 0).alias("__ref_enc"), side(F.col("__seq"), 1).alias("__hyp_enc"))
+    """Per pair, both texts as strings of word codes, put back in word order.
+
+    A word found on both sides gets the dense rank of its spelling among the
+    pair's common words; words of one side only can match nothing, so each side
+    has one code for all of them, which leaves the distance as it is.  Pairs
+    are dealt out by ``key`` once; windows and grouping stay in the partition."""
+    none = F.array().cast("array<string>")
+    both = spread(df.select(key, ref, hyp), key).select(
+        key, F.coalesce(words(F.col(ref)), none).alias("__r"), F.coalesce(words(F.col(hyp)), none).alias("__h"))
+    toks = both.select(key, F.size("__r").alias("__n"), F.posexplode(F.concat("__r", "__h")).alias("pos", "w"))
+    toks = toks.withColumn("side", (F.col("pos") >= F.col("__n")).cast("int"))
+    same = Window.partitionBy(key, "w")
+    toks = toks.withColumn("one", (F.min("side").over(same) == F.max("side").over(same)).cast("int"))
+    rank = F.dense_rank().over(Window.partitionBy(key).orderBy("one", "w"))
+    toks = toks.withColumn("code", F.when(F.col("one") == 1, F.col("side") + 1).otherwise(rank + 2))
+    enc = toks.groupBy(key).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(
+        F.struct("pos", _code_point(F.col("code")).alias("ch")))).alias("__seq"))
+
+    def text(part):
+        return F.array_join(F.transform(part, lambda t: t["ch"]), "")
+
+    return enc.select(key, text(F.slice("__seq", F.lit(1), F.col("__n"))).alias("__ref_enc"),
+                      text(F.slice("__seq", F.col("__n") + 1, F.size("__seq") - F.col("__n"))).alias("__hyp_enc"))
 
 
 def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool = False,

@@ -1,10 +1,9 @@
-"""Parallelism guard for fan-out operators.
+"""Partitioning for fan-out operators.
 
-Operators that expand one row into thousands (one row per character or per
-n-gram) must not run in a single task because the input happened to be one
-small file.  ``spread`` round-robins the input only when it has fewer
-partitions than the session's shuffle parallelism; a large table already has
-many partitions and is left alone (no extra shuffle at scale).
+Operators that expand a row into thousands (one per character, word or n-gram)
+and then group by the row's id deal the rows out by that id first: whole rows
+travel once, and the grouping by (id, ...) afterwards needs no exchange of the
+expanded rows.  The plan is the same whatever the input's size.
 """
 
 from __future__ import annotations
@@ -12,10 +11,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - planning not available: keep the plan as is
-        return df
-    return df.repartition(target) if current < target else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)

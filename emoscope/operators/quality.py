@@ -58,12 +58,12 @@ def repetition_hits(df: DataFrame, id_col: str, col: str, n: int = 2, tolerance:
     """FLT06 ids of rows where some n-gram of characters occurs more than
     ``tolerance`` times (overlapping count).
 
-    One row per character position is generated and combined map-side by
-    ``groupBy(id, gram)`` (partial aggregation), so the shuffle carries
-    distinct (id, gram) pairs only; whole texts are scanned."""
+    Rows are dealt out by id once; the grouping of their n-grams by (id, gram)
+    and of the hits by id then stay in the partition, so no n-gram is ever
+    shuffled.  Whole texts are scanned."""
     # n-grams from the character array, materialised once per row: element
     # access is O(1), so a text of k characters costs O(k * n)
-    chars = spread(df).select(F.col(id_col).alias("__id"), F.split(F.col(col), "").alias("__c"))
+    chars = spread(df, id_col).select(F.col(id_col).alias("__id"), F.split(F.col(col), "").alias("__c"))
     k = F.size("__c") - n + 1
     starts = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
     gram = lambda i: F.concat(*[F.element_at(F.col("__c"), i + j) for j in range(n)])

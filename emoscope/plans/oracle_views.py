@@ -43,8 +43,8 @@ VIEW_SQL = {
     "waves": """
         SELECT vec_id AS utt_id, embedding AS wave, label FROM embeddings""",
     "text_pairs": """
-        SELECT b.item_id AS pair_id, b.text AS ref_text, d.text AS hyp_text, d.lang
-        FROM benchmark b JOIN documents d ON d.doc_id = b.item_id""",
+        SELECT d.doc_id AS pair_id, b.text AS ref_text, d.text AS hyp_text, d.lang
+        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""",
     "latency_log": """
         SELECT event_id AS request_id, value / 1000e0 AS latency_s,
                CAST(1 + event_id % 10 AS DOUBLE) AS audio_s, ts, event_type AS kind

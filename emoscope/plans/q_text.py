@@ -8,6 +8,7 @@ from emoscope.functions import names as N
 from emoscope.functions import text as T
 from emoscope.operators import segments as G
 from emoscope.operators.corpus import build_vocab, encode_by_join
+from emoscope.operators.parallel import spread
 from emoscope.plans import views as V
 from emoscope.plans.registry import oracle, register, rounded
 from emoscope.sources.tables import table
@@ -277,7 +278,7 @@ def q_arr04(spark, sf):
 @register("tvf01_chunk_text", None, "greedy byte packing; checked against a brute-force packer in tests")
 def q_tvf01(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    c = G.chunk_text(d, "text", 135)
+    c = G.chunk_text(spread(d, "doc_id"), "text", 135)
     return c.select("doc_id", "chunk_idx", F.octet_length("chunk").alias("chunk_bytes"), F.md5("chunk").alias("chunk_md5"))
 
 
@@ -327,7 +328,7 @@ def q_tvf03(spark, sf):
 @register("tvf04_chunk_progressive", None, "re-chunking of the first chunk; checked in tests")
 def q_tvf04(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    c = G.chunk_text_progressive(d, "text", 135, 60, 30)
+    c = G.chunk_text_progressive(spread(d, "doc_id"), "text", 135, 60, 30)
     return c.select("doc_id", "chunk_idx", F.octet_length("chunk").alias("chunk_bytes"))
 
 

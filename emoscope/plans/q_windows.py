@@ -268,11 +268,11 @@ def q_jn02(spark, sf):
 
 
 @register("jn03_zip_by_line", oracle("""
-SELECT b.item_id AS line_no, length(b.text) AS ref_chars, length(d.text) AS hyp_chars
-FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"""))
+SELECT d.doc_id AS line_no, length(d.text) AS hyp_chars, l.quality
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""))
 def q_jn03(spark, sf):
-    a = table(spark, sf, "benchmark").select(F.col("item_id").alias("line_no"), F.char_length("text").alias("ref_chars"))
-    b = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.char_length("text").alias("hyp_chars"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.char_length("text").alias("hyp_chars"))
+    b = table(spark, sf, "labels").select(F.col("doc_id").alias("line_no"), "quality")
     return J.zip_by_line(a, b)
 
 
