@@ -8,7 +8,7 @@ from emoscope.functions.hashing import stable_hash_sql
 from emoscope.operators import joins as J
 from emoscope.operators import ranking as R
 from emoscope.operators import splits as S
-from emoscope.operators.batching import silent_runs
+from emoscope.operators.batching import silence_clips, silent_runs
 from emoscope.plans import views as V
 from emoscope.plans.registry import oracle, register, rounded
 from emoscope.sources.tables import table
@@ -121,6 +121,41 @@ def q_win12(spark, sf):
     return silent_runs(V.frames(spark, sf), "utt_id", ["ts", "frame_id"], "rms", 0.1, min_run=2)
 
 
+@register("win12_silence_clips", oracle("""
+SELECT utt_id, CAST(row_number() OVER (PARTITION BY utt_id ORDER BY k) - 1 AS BIGINT) AS clip,
+       CAST(b AS BIGINT) AS clip_begin, CAST(e AS BIGINT) AS clip_end
+FROM (SELECT utt_id, k, coalesce(lag(e) OVER (PARTITION BY utt_id ORDER BY k), 0) AS b, b AS e,
+             row_number() OVER (PARTITION BY utt_id ORDER BY k) AS i FROM walk WHERE taken)
+WHERE i > 1 OR e > 0
+UNION ALL
+SELECT n.utt_id, CAST(count(w.k) - count(w.k) FILTER (WHERE w.b = 0 AND w.k = w.k1) AS BIGINT), CAST(coalesce(max(w.e), 0) AS BIGINT), CAST(n.n AS BIGINT)
+FROM n LEFT JOIN (SELECT *, min(k) OVER (PARTITION BY utt_id) AS k1 FROM walk WHERE taken) w USING (utt_id)
+GROUP BY n.utt_id, n.n HAVING coalesce(max(w.e), 0) < n.n""", ["frames"], [
+    ("f", "SELECT utt_id, rms, row_number() OVER (PARTITION BY utt_id ORDER BY ts, frame_id) - 1 AS p FROM frames"),
+    ("n", "SELECT utt_id, count(*) AS n FROM f GROUP BY utt_id"),
+    ("g", "SELECT utt_id, rms, p, p - row_number() OVER (PARTITION BY utt_id ORDER BY p) AS island FROM f WHERE rms < 0.1"),
+    ("r", """SELECT g.*, min(p) OVER w AS s, max(p) OVER w + 1 AS z, n.n FROM g JOIN n USING (utt_id)
+             WINDOW w AS (PARTITION BY g.utt_id, island)"""),
+    ("q", """SELECT utt_id, s, z, n, arg_min(p, rms) FILTER (p <= s + 4) AS lo, arg_min(p, rms) FILTER (p >= z - 4) AS hi,
+                    arg_min(p, rms) FILTER (p BETWEEN z - 4 AND s + 4) AS mid
+             FROM (SELECT * FROM r ORDER BY utt_id, p) WHERE z - s >= 3 OR (s = 0 AND z > 4 AND z < n) GROUP BY ALL"""),
+    ("c", """SELECT utt_id, z, row_number() OVER (PARTITION BY utt_id ORDER BY s) AS k, z = n OR (s = 0 AND z > 4) AS must,
+                    CASE WHEN z = n THEN lo WHEN s = 0 THEN 0 WHEN z - s BETWEEN 5 AND 8 THEN least(lo, mid) ELSE lo END AS b,
+                    CASE WHEN z = n THEN n + 1 WHEN z - s <= 4 THEN lo WHEN s > 0 AND z - s <= 8 THEN greatest(hi, mid)
+                         ELSE hi END AS e FROM q"""),
+    ("walk", """SELECT utt_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS e,
+                       false AS taken FROM n
+                UNION ALL
+                SELECT c.utt_id, c.k, CASE WHEN c.must OR c.z - walk.since >= 8 THEN c.e ELSE walk.since END, c.b, c.e,
+                       c.must OR c.z - walk.since >= 8 FROM walk JOIN c ON c.utt_id = walk.utt_id AND c.k = walk.k + 1"""),
+]).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_win12_clips(spark, sf):
+    """Clips between silences: rms below 0.1 for 3 frames or more, clips of 8
+    frames or more, at most 4 silent frames kept on a side."""
+    c = silence_clips(V.frames(spark, sf), "utt_id", ["ts", "frame_id"], "rms", 0.1, 8, 3, 4)
+    return c.select("utt_id", "clip", F.col("begin").alias("clip_begin"), F.col("end").alias("clip_end"))
+
+
 @register("win13_dedupe_text", oracle("""
 SELECT doc_id, lang FROM (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS rn FROM documents)
