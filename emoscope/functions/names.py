@@ -218,12 +218,12 @@ def resolve_path(df: DataFrame, path_col: str, inventory: DataFrame, root: str,
     base = absolute_or_join(p, root)
     cands = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(base, F.lit(s)).alias("cand"))
                       for i, s in enumerate(suffixes)])
-    keyed = df.withColumn("__rid", F.monotonically_increasing_id())
-    bare = keyed.where(~has_suffix).select("__rid", F.inline(cands))
+    # by the path itself: equal paths resolve alike, and no row id has to be stable
+    bare = df.where(~has_suffix).select(p.alias("__path"), F.inline(cands)).distinct()
     inv = inventory.select(F.regexp_replace("path", "^file:", "").alias("cand")).distinct()
     found = (bare.join(inv, "cand", "left_semi")
-             .groupBy("__rid").agg(F.min_by("cand", "rank").alias("__found")))
-    out = keyed.join(found, "__rid", "left")
+             .groupBy("__path").agg(F.min_by("cand", "rank").alias("__found")))
+    out = df.join(found, p == F.col("__path"), "left")
     resolved = (F.when(has_suffix, base)
                 .otherwise(F.coalesce(F.col("__found"), F.concat(base, F.lit(suffixes[0])))))
-    return out.withColumn("resolved_path", resolved).drop("__rid", "__found")
+    return out.withColumn("resolved_path", resolved).drop("__path", "__found")

@@ -9,6 +9,7 @@ group is ever gathered into one task.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Sequence
 
 import pandas as pd
@@ -17,24 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MODELS: dict = {}
+_MODEL: dict = {}
+
+
+def _worker_model(key: str, make_model: Callable):
+    """The model of this Python worker; workers import this module, so it outlives a task."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make_model()
+    return _MODEL[key]
 
 
 def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Series]],
           input_cols: Sequence[str], value_type: T.DataType = T.DoubleType(), key: str | None = None) -> DataFrame:
     """UDF01 score every row with a user model.  The model is built once per
-    Python worker (``make_model``), applied to whole Arrow batches; if a batch
+    Python worker (``make_model``) and kept under ``key`` (a name and version the
+    caller vouches for; by default one of this call alone), applied to whole Arrow batches; if a batch
     fails, its rows are scored one by one so that a failing row yields
     ``error`` and does not stop the run."""
-    model_key = id(make_model)
+    model_key = key or uuid.uuid4().hex
     cols = list(input_cols)
     schema = T.StructType(list(df.schema.fields) + [T.StructField("value", value_type),
                                                     T.StructField("error", T.StringType())])
 
     def run(batches):
-        model = _MODELS.get(model_key)
-        if model is None:
-            model = _MODELS[model_key] = make_model()
+        model = _worker_model(model_key, make_model)
         for pdf in batches:
             try:
                 vals = pd.Series(model(pdf[cols]), index=pdf.index)

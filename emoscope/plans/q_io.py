@@ -23,10 +23,10 @@ MODEL_OF = {"m0": "desta2", "m1": "qwen", "m2": "salmonn", "m3": "flamingo3"}
 
 
 @register("src01_read_predictions", oracle("""
-SELECT lower(pred_emo) AS pred_label, CAST(count(*) AS BIGINT) AS n FROM predictions WHERE slm = 'm1' GROUP BY ALL""",
+SELECT lower(pred_emo) AS pred_label, CAST(count(*) AS BIGINT) AS n FROM predictions GROUP BY ALL""",
                                             ["predictions"]))
 def q_src01(spark, sf):
-    p = V.predictions(spark, sf).where(F.col("slm") == "m1")
+    p = V.predictions(spark, sf)
     out = K.scratch_dir(spark, "src01")
     K.write_csv(p.select(F.col("file_name").alias("file_path"), F.col("file_name").alias("filename"),
                          F.col("pred_emo").alias("emotion"), F.lit("2024-01-01T00:00:00").alias("processed_at")), out)
