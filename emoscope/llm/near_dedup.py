@@ -175,13 +175,13 @@ def open_blocks(posts: DataFrame, component: DataFrame) -> DataFrame:
 class _Block:
     """The members of one block, and its candidate pairs."""
 
-    def __init__(self, rows: pa.Table, sig: np.ndarray):
+    def __init__(self, rows: pa.Table, sig: np.ndarray, keys: np.ndarray):
         self.band = rows.column("band")[0].as_py()
         self.cross = rows.column("cross")[0].as_py()
         self.side = rows.column("side").to_numpy()
         self.lab = rows.column("lab").to_numpy()
         self.nodes = rows.column("node").to_pylist()
-        self.sig = sig
+        self.sig, self.keys = sig, keys
 
     def candidates(self, x: int) -> tuple[np.ndarray, np.ndarray]:
         """Members after ``x`` that it may link with, and their collisions."""
@@ -191,8 +191,8 @@ class _Block:
         if self.cross:
             good &= self.side[x + 1:] != self.side[x]
         at = np.flatnonzero(good)
-        if len(at):  # a pair belongs to the first coordinate that it shares
-            first = same[at].reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+        if len(at):  # a pair belongs to the first list that it shares; sketches may collide where values do not
+            first = (self.keys[at + x + 1] == self.keys[x]).argmax(1)
             at = at[first == self.band]
         return at + x + 1, hits[at]
 
@@ -221,8 +221,10 @@ def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of ``blocks`` that have a candidate partner in their block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            sig, rows = _matrix(rows.column("sig")), rows.drop_columns("sig")
-            block, keep = _Block(rows, sig), set()
+            sig = _matrix(rows.column("sig"))
+            keys = np.concatenate([x.values.to_numpy() for x in rows.column("keys")]).reshape(-1, BANDS)
+            rows = rows.drop_columns(["sig", "keys"])
+            block, keep = _Block(rows, sig, keys), set()
             for x in range(len(rows) - 1):
                 found = block.candidates(x)[0].tolist()
                 keep.update(found)
@@ -231,9 +233,9 @@ def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
             if keep:
                 yield from rows.take(sorted(keep)).to_batches()
 
-    rows = blocks.join(classes.select("node", "sig"), "node").select(
-        "g", "band", "cross", "side", "lab", "node", "sig")
-    return _sorted_blocks(rows).mapInArrow(run, rows.drop("sig").schema)
+    rows = blocks.join(classes.select("node", "sig", "keys"), "node").select(
+        "g", "band", "cross", "side", "lab", "node", "sig", "keys")
+    return _sorted_blocks(rows).mapInArrow(run, rows.drop("sig", "keys").schema)
 
 
 def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,7 +244,8 @@ def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         for rows in _blocks(batches):
             # signatures are computed anew: cheaper than to carry them along
             full = [x.values.to_numpy() for x in rows.column("shingles")]
-            block = _Block(rows, np.stack([signature(x.view(np.uint64)).astype(np.uint8) for x in full]))
+            values = [signature(x.view(np.uint64)) for x in full]
+            block = _Block(rows, np.stack(values).astype(np.uint8), np.stack([coordinates(v) for v in values]))
             root = {int(v): int(v) for v in block.lab}
 
             def find(v: int) -> int:

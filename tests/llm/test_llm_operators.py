@@ -354,6 +354,29 @@ def test_near_dedup_second_pass_blocks(spark, monkeypatch):
     assert Counter(tuple(r)[:3] for r in got) == brute_components(rows, 4, 80)
 
 
+def test_near_dedup_byte_collision_in_an_earlier_band(spark, monkeypatch):
+    """A pair is found in its first shared list also where the sketches agree in an earlier band by chance."""
+    import numpy as np
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 6:
+        base = [f"w{rng.random()}" for _ in range(120)]
+        near = list(base)
+        near[rng.randrange(10, 110)] = "x"
+        near[rng.randrange(10, 110)] = "y"
+        a, b = (near_dedup.signature(near_dedup.shingle_hashes(" ".join(t), 4)) for t in (base, near))
+        shared = near_dedup.coordinates(a) == near_dedup.coordinates(b)
+        sketch = (a.astype(np.uint8) == b.astype(np.uint8)).reshape(near_dedup.BANDS, near_dedup.ROWS).all(1)
+        if shared.any() and sketch.argmax() < shared.argmax():
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "first_pairs", lambda posts: posts.select(
+        F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    got = near_dedup.near_duplicates(df).collect()
+    want = brute_components(rows, 4, 80)
+    assert len({c for _, _, c in want}) == 3 and Counter(tuple(r)[:3] for r in got) == want
+
+
 def test_near_dedup_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(TEXTS) and {r.component_id for r in rows if r.doc_id == 2} == {1}
