@@ -12,9 +12,10 @@ Words are maximal runs of letters in lower case; a word longer than
 words of a batch at once in numpy and a bounded table per worker remembers
 them; that table affects speed only.
 
-Bounds: word counts come from at most ``sample_docs`` training documents and at
-most ``words_each`` most frequent words of a language.  Scoring reads all texts
-whole.
+Bounds: word counts come from at most ``sample_docs`` training documents of each
+language, chosen by a hash of the id, and at most ``words_each`` most frequent
+words of a language; every language with a training document is learned.
+Scoring reads all texts whole.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 where nothing can be learned (no row with a language) every text is ``und``;
@@ -171,10 +172,13 @@ class Memory:
 def fit(docs: DataFrame, train: Column, pieces: Sequence[bytes], sample_docs: int = 3000,
         words_each: int = 20_000, rounds: int = 3) -> Model | None:
     """Learn from rows where ``train`` holds and ``lang`` is not null."""
-    ids = (docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id")
-           .distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    sample = docs.filter(train & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id")
-    words = sample.select(F.col("lang").cast("string").alias("lang"), F.explode(
+    known = docs.filter(train & F.col("lang").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # a bounded row_number: at most sample_docs ids of a language leave a task
+    ids = (known.filter("doc_id is not null").select("lang", "doc_id").distinct()
+           .withColumn("_n", first).filter(F.col("_n") <= sample_docs).drop("_n"))
+    sample = known.join(F.broadcast(ids), ["lang", "doc_id"])
+    words = sample.select("lang", F.explode(
         F.split(F.lower(text_of()), "[^\\p{L}]+")).alias("w")).filter("w != ''")
     counts = words.groupBy("lang", "w").count()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "w"))

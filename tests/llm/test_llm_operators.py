@@ -467,6 +467,17 @@ def test_language_held_out(spark, docs, odd, empty):
     assert language_id.language_id(empty, pieces).collect() == []
 
 
+def test_language_rare_beside_a_common_one(spark):
+    """A language with few rows is learned however many rows the others have."""
+    pieces = list(bpe.Vocabulary(bpe.tokenizer_path()).bytes_of.values())
+    rows = [(i, f"the house and the garden of number {i % 7}", "en") for i in range(400)]
+    rows += [(1000 + i, "jezioro i las nad rzeką w cieniu drzew", "pl") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.language_id(df, pieces, sample_docs=20).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 1000} == {"pl"}
+    assert {r.lang_pred for r in got if r.doc_id < 1000} == {"en"}
+
+
 # --- pipeline
 
 def test_pipeline_stages_brute_force(spark, tmp_path):
