@@ -5,7 +5,9 @@ text.  A whole text is cut into pieces (so that a long text cannot teach itself
 to the compressor) and every piece is compressed with either dictionary.  The
 evidence is (bad size - good size) / (bad size + good size), summed over the
 pieces; a logistic curve, fitted on labelled texts that the dictionaries have
-not seen and shifted to the true share of good labels, makes it a score.
+not seen and shifted to the true share of good labels, makes it a score.  Every
+third document of a class by the rank of a hash calibrates; a class of fewer than
+three documents teaches and calibrates with all of them.
 
 Bounds: at most ``per_class`` labelled documents of each class and
 ``pieces_each`` evenly spaced pieces of each document are used for learning.
@@ -19,6 +21,7 @@ empty) nothing can be learned and every score is the share of good labels, or
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -106,10 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     rows = labelled_sample(docs, labels, label, train, per_class)
     rows = _thinned(rows, pieces_each).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    fold = [r.doc_id % 3 == 0 for r in rows]  # these calibrate, the others make dictionaries
-    taught = {y: [r.text for r, f in zip(rows, fold) if not f and r.y == y] for y in (0, 1)}
-    held = [r for r, f in zip(rows, fold) if f]
-    if not all(taught.values()) or len({r.y for r in held}) < 2:
+    taught, held = {}, []
+    for y in (0, 1):
+        ids = sorted({r.doc_id for r in rows if r.y == y}, key=_hash_of)
+        own = set(ids[::3] if len(ids) > 2 else ids)  # these calibrate, the others make dictionaries
+        held += [r for r in rows if r.doc_id in own]
+        taught[y] = [r.text for r in rows if r.y == y and (r.doc_id not in own or len(ids) < 3)]
+    if not all(taught.values()):
         return Model(b"", b"", 0.0, shift)
     d1, d0 = (_dictionary(taught[y], dict_bytes, pieces_each) for y in (1, 0))
     x = np.array([evidence(r.text, d1, d0) for r in held])
@@ -117,6 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     return Model(d1, d0, slope, offset + shift)
 
 
+def _hash_of(doc_id: int) -> bytes:
+    return hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest()
+
+
 def _thinned(rows: DataFrame, pieces_each: int) -> DataFrame:
     """Sample texts cut to ``pieces_each`` evenly spaced pieces before they go to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

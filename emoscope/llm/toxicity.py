@@ -6,7 +6,11 @@ short fixed list of public English insults.  Each whole text then gives a dense
 vector: lexicon densities, hits near a second-person word, capitals,
 punctuation, and words with letters and digits or symbols mixed (obfuscation).
 Spark ML's gradient-boosted trees learn from a second part of the sample and
-its isotonic regression calibrates on a third, which neither has seen.
+its isotonic regression calibrates on a third, which neither has seen.  The
+documents of each class are dealt to the parts by the rank of a hash, 4:3:1.
+Where the rarer class has fewer than ``ENOUGH`` of them, all documents teach both
+lexicon and trees (the trees see either half by a lexicon of the other half),
+and the trees' own probability is the score.
 
 Bounds: at most ``per_class`` labelled documents of each class are learned
 from, and the lexicon keeps at most ``lexicon_size`` entries.  Scoring reads
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emoscope.llm.common import in_fold, labelled_sample, saved, text_of
@@ -38,6 +42,9 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein ihr euch tu
                           "usted ustedes tus vosotros".split())
 BEGINNINGS = (4, 5, 6)
 NEAR = 3
+#: The part of each rank of a document in its class: lexicon, trees, calibration.
+PARTS = [0, 1, 0, 1, 0, 1, 0, 2]
+ENOUGH = 40
 NAMES = ("lexicon_sum", "lexicon_density", "lexicon_top", "hits", "insults", "insult_density", "near_second_person",
          "capitals", "punctuation", "obfuscation", "shouting", "log_words")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,7 +108,8 @@ def _weight(word: str, lexicon: Mapping[str, float]) -> float:
 
 
 class Model:
-    """Lexicon, trees and calibration; None for the last two where nothing could be learned."""
+    """Lexicon, trees and calibration; None for the last two where nothing could be
+    learned, and for the last where too few rows were left to calibrate on."""
 
     def __init__(self, lexicon, trees, curve):
         self.lexicon, self.trees, self.curve = lexicon, trees, curve
@@ -120,7 +128,7 @@ class Model:
         if self.trees is None:
             return docs.withColumn(name, F.lit(0.0))
         raw = self.trees.transform(self.vectors(docs)).withColumn("_p", vector_to_array("_prob")[1])
-        scored = self.curve.transform(raw)
+        scored = self.curve.transform(raw) if self.curve else raw.withColumn("_score", F.col("_p"))
         return scored.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score")))
                                  ).drop("_x", "_raw", "_prob", "_pred", "_p", "_score")
 
@@ -128,20 +136,35 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", per_class: int = 3000,
         trees: int = 12, depth: int = 3, lexicon_size: int = 4000) -> Model:
     """Learn from label rows where ``train`` holds."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8))
-    sample = saved(labelled_sample(docs, labels, label, train, per_class).withColumn("part", part))
-    classes = {(r.k, r.y) for r in sample.select("y", F.when(F.col("part") < 4, 0).when(
-        F.col("part") < 7, 1).otherwise(2).alias("k")).distinct().collect()}
-    if len(classes) < 6:  # some part has no text of some class
+    sample = saved(labelled_sample(docs, labels, label, train, per_class))
+    # by rank, so that each part has documents of each class; at most per_class ids of a class
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit("part")), "doc_id"))
+    ranks = saved(sample.select("doc_id", "y").distinct().withColumn("rank", rank))
+    ids = dict(ranks.groupBy("y").count().collect())
+    if len(ids) < 2:  # no text of some class
         return Model({}, None, None)
-    lexicon = learn_lexicon(sample.filter("part < 4"), lexicon_size=lexicon_size)
-    model = Model(lexicon, None, None)
-    vectors = saved(model.vectors(sample.filter("part >= 4")).select("part", F.col("y").cast("double").alias("y"), "_x"))
+    least = min(ids.values())
+    parts = PARTS if least >= ENOUGH else [0, 1]
+    part = F.element_at(F.lit(parts), (F.col("rank") % len(parts) + 1).cast("int"))
+    sample = sample.join(F.broadcast(ranks), ["doc_id", "y"]).withColumn("part", part)
+
+    def taught(rows: DataFrame) -> Model:
+        return Model(learn_lexicon(rows, lexicon_size=lexicon_size), None, None)
+
+    model = half = taught(sample.filter("part = 0"))
+    vectors = half.vectors(sample.filter("part > 0"))
+    if least < ENOUGH:
+        model, other = taught(sample), taught(sample.filter("part = 1"))
+        vectors = vectors.unionByName(other.vectors(sample.filter("part = 0")))
+    vectors = saved(vectors.select("part", F.col("y").cast("double").alias("y"), "_x"))
     learner = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3,
-                            seed=7, minInstancesPerNode=2)
+                            seed=7, minInstancesPerNode=min(2, least))
     learner.setPredictionCol("_pred").setProbabilityCol("_prob").setRawPredictionCol("_raw")
-    model.trees = learner.fit(vectors.filter("part < 7"))
-    held = model.trees.transform(vectors.filter("part = 7")).withColumn("_p", vector_to_array("_prob")[1])
+    if least < ENOUGH:
+        model.trees = learner.fit(vectors)
+        return model
+    model.trees = learner.fit(vectors.filter("part < 2"))
+    held = model.trees.transform(vectors.filter("part = 2")).withColumn("_p", vector_to_array("_prob")[1])
     model.curve = IsotonicRegression(featuresCol="_p", labelCol="y", predictionCol="_score").fit(held)
     return model
 

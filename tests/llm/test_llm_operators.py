@@ -246,6 +246,28 @@ def test_classifiers_odd_rows(op, odd, empty, no_labels, labels):
     assert len({r.score for r in rows}) == 1
 
 
+@pytest.mark.parametrize("n", [2, 10, 39])
+def test_toxicity_learns_from_few_labels(docs, labels, n):
+    """Few toxic labels, all of them on one side of a fixed split by hash."""
+    ids = [r.doc_id for r in labels.filter("toxic = 1 and pmod(xxhash64(doc_id, 'part'), 8L) < 7L")
+           .orderBy("doc_id").collect()]
+    few = labels.filter(F.col("toxic") == 0).unionByName(labels.filter(F.col("doc_id").isin(ids[:n])))
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    model = toxicity.fit(docs, few, F.lit(True))
+    caught = model.add_score(docs.join(toxic, "doc_id"), "s").filter("s >= 0.5").count()
+    assert caught >= 0.6 * toxic.count()
+    clean = docs.join(labels.filter("toxic = 0").select("doc_id"), "doc_id")
+    assert model.add_score(clean, "s").filter("s >= 0.5").count() < 0.02 * clean.count()
+
+
+def test_quality_learns_from_few_labels_of_any_ids(docs, labels):
+    for n in (1, 2, 3, 6):
+        good = labels.filter("quality = 1 and doc_id % 3 = 1").orderBy("doc_id").limit(n)
+        few = good.unionByName(labels.filter("quality = 0"))
+        model = quality_classifier.fit(docs, few, F.lit(True))
+        assert model.good and model.slope > 0
+
+
 def test_toxicity_scores_odd_texts(odd, docs, labels):
     model = toxicity.fit(docs, labels, F.lit(True))
     rows = model.add_score(odd.select("doc_id", "text"), "s").collect()
