@@ -530,6 +530,16 @@ def test_pipeline_stages_brute_force(spark, tmp_path):
         previous = result
 
 
+def test_pipeline_delivers_token_ids(spark, odd):
+    """The last stage holds the ids of every document and whether they decode to its text."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    rows = corpus_pipeline.stage_bpe(spark, odd, SMALL).collect()
+    want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _, _ in TEXTS)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
+    assert all(r.decodes for r in rows)
+
+
 def test_pipeline_edge_tables(spark, odd, empty):
     for rows in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
