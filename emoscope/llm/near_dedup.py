@@ -97,13 +97,13 @@ def coordinates(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, node, keys, sig``: set size, 128-bit set hash (null for
+    """``doc_id, text_hash, n_shingles, node, keys, sig``: set size, 128-bit set hash (null for
     the empty set), the coordinate-value pairs as hashes, and a sketch of the
     signature, the low byte of every value, which collides wherever the values do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes, keys, sigs = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = shingle_hashes(x.as_py() or "", size)
                 counts.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -111,11 +111,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(coordinates(values) if len(s) else None)
                 sigs.append(values.astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "keys", "sig"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, keys array<long>, sig binary")
+                names=["doc_id", "text_hash", "n_shingles", "node", "keys", "sig"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"),
+                       "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, node binary, keys array<long>, sig binary")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -327,8 +328,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -
     return saved(shingle_sets(texts, size).dropDuplicates(["node"]))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document."""
+def labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``signatures`` of every document, and ``node, rep, label`` of every class
+    (the least id of its documents and its component)."""
     signed = saved(signatures(docs, size))
     classes = saved(signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
@@ -340,7 +342,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     members = saved(open_members(open_blocks(posts, components(links)), classes))
     more = saved(merged_links(members, _sets_of(docs, classes, members.select("node"), size), percent))
     label = components(links.unionByName(more))
-    named = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return signed, classes.select("node", "rep").join(label, "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document."""
+    signed, named = labelled(docs, size, percent)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "label").select(F.col("node").alias("_node"), F.col("component_id").alias("_c"))
     # null nodes (empty sets) match nothing and keep their own id
@@ -351,10 +359,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near-duplicates: the document with the least id of
-    each component stays (rows repeated under one id stay together, and so do
-    rows without an id)."""
-    marks = near_duplicates(docs, size, percent)
-    gone = marks.filter("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_rid"))
-    return packed.join(gone, F.col("_rid") == F.col("_id"), "leftanti").select("_row.*")
+    """``docs`` without the near-duplicates: one row of each component stays, the
+    one with the least id (none sorts last) and then the least text hash.  Rows
+    without words are in no component and stay."""
+    signed, named = labelled(docs, size, percent)
+    rows = saved(signed.filter("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    of = saved(rows.groupBy("node").agg(F.min(key).alias("own")).join(named.select("node", "label"), "node"))
+    best = of.join(of.groupBy("label").agg(F.min("own").alias("best")), "label").select("node", "best")
+    marks = rows.join(best, "node").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "n",
+                                            (key != F.col("best")).alias("_gone"))
+    marks = saved(marks.filter("_gone or n > 1"))  # what is not in here stays as it is
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_rid"),
+                         F.xxhash64(text_of()).alias("_rth"))
+    same = F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rth") == F.col("_th"))
+    single = packed.join(marks, same, "leftanti").select("_row.*")
+    repeated = marks.filter("not _gone")
+    if not repeated.limit(1).count():
+        return single
+    one = packed.join(repeated, same, "leftsemi").dropDuplicates(["_rid", "_rth"])
+    return single.unionByName(one.select("_row.*"))

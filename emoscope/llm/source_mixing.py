@@ -155,7 +155,7 @@ def pivotal_round(items: DataFrame, most: int, fanin: int = 64, seed: int = 1) -
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, multiple: float = 1.5, cap: float = 2.0,
         fanin: int = 64, seed: int = 1) -> DataFrame:
-    """``doc_id, text_hash, size, source_size, target, copies`` for every document."""
+    """``doc_id, source, text_hash, size, source_size, target, copies`` for every document."""
     text = text_of()
     sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               n_words_of(text).alias("size"), F.xxhash64(text).alias("text_hash")))
@@ -179,8 +179,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, multiple: float = 1
     every = rows.filter(~open_).select("sid", "doc_id", "text_hash", "size", F.lit(0).alias("bit"))
     for part in (large, last, small.filter(whole).withColumn("bit", F.col("p").cast("int")), rest, end):
         every = every.unionByName(part.select(*columns).withColumn("size", F.col("size").cast("long")))
-    done = every.join(t.select("sid", "source_size", "target", "base"), "sid")
-    return done.select("doc_id", "text_hash", "size", F.col("source_size").cast("long").alias("source_size"),
+    done = every.join(t.select("sid", "_source", "source_size", "target", "base"), "sid")
+    return done.select("doc_id", F.col("_source").alias("source"), "text_hash", "size", F.col("source_size").cast("long").alias("source_size"),
                        "target", F.when(F.col("size") > 0, F.col("base") + F.col("bit")).otherwise(0).alias("copies"))
 
 
@@ -191,12 +191,15 @@ def source_mixing(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (rows equal in id
-    and text are interchangeable: their copies are added up over one of them)."""
-    copies = (mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
+    """The rows of ``docs``, each as often as the mix takes it (rows equal in id,
+    text and source are interchangeable: their copies are added up over one of them)."""
+    copies = (mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"),
+                                       F.col("source").alias("_src"))
               .agg(F.sum("copies").alias("_n")).filter("_n > 0"))
     # the row travels as one struct, so no column of it can clash with the copies'
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_rid"),
-                       F.xxhash64(text_of()).alias("_rth")).dropDuplicates(["_rid", "_rth"])
-    both = rows.join(copies, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rth") == F.col("_th")))
+                       F.xxhash64(text_of()).alias("_rth"), F.col("source").cast("string").alias("_rsrc")
+                       ).dropDuplicates(["_rid", "_rth", "_rsrc"])
+    both = rows.join(copies, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rth") == F.col("_th"))
+                     & F.col("_rsrc").eqNullSafe(F.col("_src")))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")

@@ -407,6 +407,30 @@ def test_near_dedup_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, None, 6, 7, 8, 9, 10, 11}
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    """One row of each group stays, and no text goes because of its id alone."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, a + " more"), (None, "own"), (None, "own"),
+            (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (2, b), (3, c), (None, "own"), (4, ""), (4, "")]
+    assert Counter(tuple(r) for r in near_dedup.keep_one(df).collect()) == Counter(want)
+    unique = df.filter("doc_id < 3")
+    assert Counter(tuple(r) for r in near_dedup.keep_one(unique).collect()) == Counter(want[:2])
+
+
+def test_mixed_rows_of_two_sources(spark):
+    """Rows equal in id and text but not in source keep the copies of their own source."""
+    rows = [(1, "one two three", "a"), (1, "one two three", "b"), (1, "one two three", None)]
+    rows += [(10 + i, f"x y z {i}", s) for i, s in enumerate("ab" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in source_mixing.mix(df).collect():
+        if r.copies:
+            want[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in source_mixing.mixed_rows(df).collect()) == want
+
+
 # --- operator 8
 
 def test_bpe_equals_library(spark, odd):
