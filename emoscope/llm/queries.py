@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 
 import corpus_pipeline
-from emoscope.llm import (bpe, fingerprints, language_id, line_dedup, near_dedup, quality_classifier,
-                          quality_rules, source_mixing, token_counts, toxicity)
+from emoscope.llm import (bpe, fingerprints, language_id, license_scan, line_dedup, near_dedup, oracles_scan,
+                          quality_classifier, quality_rules, source_mixing, token_counts, toxicity)
 from emoscope.llm.oracles import SQL
 from emoscope.session import ensure_checkpoint_dir
 from emoscope.sources.tables import table
@@ -61,11 +61,16 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op11_license_scan(spark, sf_dir):
+    return license_scan.license_scan(_docs(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_document_fingerprints, op3_line_dedup, op4_source_mixing, op5_quality_classifier,
-    op6_token_counts, op7_minhash_near_dedup, op8_bpe_codec, op9_language_id, op10_toxicity)}
+    op6_token_counts, op7_minhash_near_dedup, op8_bpe_codec, op9_language_id, op10_toxicity,
+    op11_license_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES = dict(SQL)
+ORACLES = SQL | oracles_scan.SQL
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
