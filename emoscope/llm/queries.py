@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from emoscope.llm import (bpe, fingerprints, language_id, license_scan, line_dedup, near_dedup, oracles_scan,
-                          quality_classifier, quality_rules, source_mixing, token_counts, toxicity)
+from emoscope.llm import (bpe, fingerprints, hard_negatives, language_id, license_scan, line_dedup, near_dedup, oracles_scan,
+                          quality_classifier, quality_rules, source_divergence, source_mixing, token_counts, toxicity)
 from emoscope.llm.oracles import SQL
 from emoscope.session import ensure_checkpoint_dir
 from emoscope.sources.tables import table
@@ -65,10 +67,21 @@ def op11_license_scan(spark, sf_dir):
     return license_scan.license_scan(_docs(spark, sf_dir))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence.source_divergence(_docs(spark, sf_dir), min_docs=3, top=200)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        hard_negatives.scaled(F.col("embedding"), 256).alias("v"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_document_fingerprints, op3_line_dedup, op4_source_mixing, op5_quality_classifier,
     op6_token_counts, op7_minhash_near_dedup, op8_bpe_codec, op9_language_id, op10_toxicity,
-    op11_license_scan)}
+    op11_license_scan, op12_source_divergence, op13_hard_negatives)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = SQL | oracles_scan.SQL
