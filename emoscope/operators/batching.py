@@ -1,10 +1,8 @@
 """Length-aware batching and silence segmentation (WIN07, WIN08, WIN12).
 
 WIN07 and WIN08 are greedy recurrences: where a batch closes depends on every
-earlier item of the same sequence, so no window expresses them.  There is one
-form at every size: successor pointers found by a range-sharded running count,
-pointer jumping along them, and a count of the batch starts before each item.
-No task holds a shard or a bucket.
+earlier item of the same sequence, so no window expresses them.  They run as
+slice transducers (``greedy.py``), so no task holds a shard or a bucket.
 
 WIN12 (gaps and islands) is fully parallel: run ids are running sums of
 change flags from the range-sharded scan.
@@ -17,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emoscope.operators.greedy import Rule, greedy_batches
 from emoscope.operators.ordered import ordered_scan
 
 
@@ -107,117 +106,25 @@ def silence_clips(frames: DataFrame, utt: str, order: Sequence[str], rms: str, t
         F.col("__u")[utt].alias(utt), F.col("clip").cast("long").alias("clip"), "__x.begin", "__x.end")
 
 
-# ---- exact parallel form: successor pointers + pointer jumping ------------------------
-#
-# With prefix sums S_0 = 0 <= S_1 <= ... <= S_n of the lengths in order, a
-# batch that starts after item t ends at item next(t):
-#   WIN08 (close once the total reaches B):   next(t) = #{j : S_j <  S_t + B}
-#   WIN07 (stay within budget and max_n):     next(t) = min(#{j : S_j <= S_t + budget} - 1, t + max_n)
-# next(t) > t always, and values past n mean "no further boundary".  The batch
-# boundaries are the chain 0 -> next(0) -> next(next(0)) -> ...; it is found by
-# pointer jumping (O(log n) rounds of joins) and each item's batch is the number
-# of chain nodes before it.  Every step is a join, an aggregate or a
-# range-sharded scan, so a key with a third of all rows is spread over the cluster.
-
-def _chain_batches(items: DataFrame, key: str, pos: str, nxt: DataFrame, n_rows: DataFrame) -> DataFrame:
-    """Batch number per item from successor pointers.
-
-    ``items``: (key, pos 1..n, payload...); ``nxt``: (key, t 0..n, nxt) with
-    nxt > t; ``n_rows``: (key, __n).  No frame is joined back to a frame of
-    its own lineage: n travels inside the pointer rows and the item columns
-    travel through the final running count."""
-    sizes = n_rows
-    rounds = int(sizes.agg(F.max("__n")).first()[0] or 0).bit_length() + 1
-    # node n+1 is the terminal; it points to itself
-    jump = nxt.join(sizes, key).select(key, "t", F.least("nxt", F.col("__n") + 1).alias("nxt"), "__n")
-    jump = jump.unionByName(sizes.select(key, (F.col("__n") + 1).alias("t"), (F.col("__n") + 1).alias("nxt"), "__n"))
-    chain = sizes.select(key, F.lit(0).cast("long").alias("t"), "__n")
-    levels = []
-    level = jump.checkpoint()
-    for r in range(rounds):
-        levels.append(level)
-        # J_{r+1}(t) = J_r(J_r(t))
-        right = level.select(F.col(key).alias("__rk"), F.col("t").alias("__rt"), F.col("nxt").alias("__rn"))
-        level = (level.join(right, (F.col(key) == F.col("__rk")) & (F.col("nxt") == F.col("__rt")))
-                 .select(key, "t", F.col("__rn").alias("nxt"), "__n"))
-        if r % 3 == 2:
-            level = level.checkpoint()
-    for r, lv in enumerate(levels):
-        step = chain.join(lv.select(key, "t", F.col("nxt").alias("__to")), [key, "t"]).select(
-            key, F.col("__to").alias("t"), "__n")
-        chain = chain.unionByName(step).distinct()
-        if r % 3 == 2:
-            chain = chain.checkpoint()
-    chain = chain.where((F.col("t") > 0) & (F.col("t") <= F.col("__n"))).select(key, "t")
-    # batch(i) = number of chain nodes c with c < i: one running count per key;
-    # the item columns ride along (NULL on chain rows)
-    payload = [c for c in items.columns if c not in (key, pos)]
-    item_rows = items.select(key, F.col(pos).alias("__p"), F.lit(0).alias("__kind"), F.lit(0.0).alias("__c"), *payload)
-    chain_rows = chain.select(key, F.col("t").alias("__p"), F.lit(1).alias("__kind"), F.lit(1.0).alias("__c"),
-                              *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in payload])
-    counted = ordered_scan(item_rows.unionByName(chain_rows), [key], ["__p", "__kind"], running_sum=("__c", "__before"))
-    return counted.where(F.col("__kind") == 0).select(key, F.col("__p").alias(pos), *payload,
-                                                      F.col("__before").cast("long").alias("batch"))
-
-
-def _successors(pref: DataFrame, key: str, target: str, points_first: bool) -> DataFrame:
-    """#points S_j (j = 0..n) below each target (or at most it, with
-    ``points_first``), by one range-sharded running count over the merged,
-    value-ordered sequence of points and targets."""
-    pts = pref.select(key, F.col("__S").alias("__v"), F.lit(1.0).alias("__pt"), F.lit(None).cast("long").alias("t"))
-    zero = pref.select(key).distinct().select(key, F.lit(0.0).alias("__v"), F.lit(1.0).alias("__pt"),
-                                              F.lit(None).cast("long").alias("t"))
-    qs = pref.select(key, F.col(target).alias("__v"), F.lit(0.0).alias("__pt"), F.col("__t").alias("t"))
-    q0 = pref.select(key, "__B0").distinct().select(key, F.col("__B0").alias("__v"), F.lit(0.0).alias("__pt"),
-                                                     F.lit(0).cast("long").alias("t"))
-    merged = pts.unionByName(zero).unionByName(qs).unionByName(q0)
-    kind = F.when(F.col("__pt") == 1, 0 if points_first else 1).otherwise(1 if points_first else 0)
-    scanned = ordered_scan(merged.withColumn("__kind", kind), [key], ["__v", "__kind", "t"],
-                           running_sum=("__pt", "__cnt"))
-    return scanned.where(F.col("__pt") == 0).select(key, "t", F.col("__cnt").cast("long").alias("cnt"))
-
-
-def _prefix(df: DataFrame, key: str, order, length: str, budget: float) -> DataFrame:
-    """Positions and prefix sums per key, materialised once (checkpoint in
-    the shared folder) so that every later step reads the same rows."""
-    from emoscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    pref = ordered_scan(df, [key], list(order), row_number="__t", running_sum=(length, "__S"))
-    pref = pref.withColumn("__target", F.col("__S") + F.lit(float(budget))).withColumn("__B0", F.lit(float(budget)))
-    return pref.checkpoint()
-
-
 def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_len: float,
-                   budget: float, buckets: int = 200) -> DataFrame:
+                   budget: float, buckets: int = 200, num_slices: int | None = None) -> DataFrame:
     """WIN08 bucketed batching in input order (``order``): within each bucket of
     lengths in [min, max] a batch closes as soon as its running total reaches
     ``budget``; the residual is the last batch of the bucket."""
-    b = df.where(F.col(length).between(min_len, max_len)).withColumn("bucket", bucket_index(length, min_len, max_len, buckets))
-    b = b.select(order, "bucket", F.col(length).cast("double").alias(length))
-    pref = _prefix(b, "bucket", [order], length, budget)
-    nxt = _successors(pref, "bucket", "__target", points_first=False).withColumnRenamed("cnt", "nxt").checkpoint()
-    items = pref.select(order, "bucket", length, F.col("__t").alias("__pos"))
-    sizes = pref.groupBy("bucket").agg(F.max("__t").alias("__n"))
-    out = _chain_batches(items, "bucket", "__pos", nxt, sizes)
+    b = df.where(F.col(length).between(min_len, max_len)).select(
+        order, bucket_index(length, min_len, max_len, buckets).alias("bucket"), length)
+    out = greedy_batches(b, ["bucket"], [order], length, Rule(budget, closing=True), num_slices=num_slices)
     return out.select(order, "bucket", "batch", length)
 
 
 def dynamic_batches(df: DataFrame, shard: str, length: str, id_col: str, budget: float,
-                    max_n: int = 0, drop_last: bool = False) -> DataFrame:
+                    max_n: int = 0, drop_last: bool = False, num_slices: int | None = None) -> DataFrame:
     """WIN07 batches by length (id tie-break) within each shard: the frame total
     stays within ``budget`` and the count within ``max_n`` (0: no limit).  Items
     longer than the budget sort last and are dropped first; ``drop_last`` drops
     the last batch of a shard.  Output: id, shard, batch (per shard), length."""
-    keep = df.select(id_col, shard, F.col(length).cast("double").alias(length)).where(F.col(length) <= budget)
-    pref = _prefix(keep, shard, [length, id_col], length, budget)
-    cnt = _successors(pref, shard, "__target", points_first=True)
-    nxt = cnt.withColumn("nxt", F.col("cnt") - 1)
-    if max_n:
-        nxt = nxt.withColumn("nxt", F.least("nxt", F.col("t") + max_n))
-    nxt = nxt.select(shard, "t", "nxt").checkpoint()
-    items = pref.select(id_col, shard, length, F.col("__t").alias("__pos"))
-    sizes = pref.groupBy(shard).agg(F.max("__t").alias("__n"))
-    out = _chain_batches(items, shard, "__pos", nxt, sizes)
+    keep = df.select(id_col, shard, length).where(F.col(length) <= budget)
+    out = greedy_batches(keep, [shard], [length, id_col], length, Rule(budget, max_n), num_slices=num_slices)
     if drop_last:
         last = out.groupBy(shard).agg(F.max("batch").alias("__last"))
         out = out.join(last, shard).where(F.col("batch") < F.col("__last")).drop("__last")

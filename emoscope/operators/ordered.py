@@ -72,6 +72,13 @@ def _with_slice(df: DataFrame, n_keys: int, place: Column, n: int) -> DataFrame:
     return df.withColumn("__b", _bounds(df, place, n)).select(*df.columns, g.alias("__g"))
 
 
+def slices_of(df: DataFrame, keys: Sequence[str], by: Sequence[Column], num_slices: int) -> DataFrame:
+    """``df`` plus ``__g``, a struct of the row's key and the number of its slice in ``by`` order."""
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+                     *[c.alias(f"o{i}") for i, c in enumerate(by)])
+    return _with_slice(df, len(keys), place, num_slices)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -94,9 +101,7 @@ def ordered_scan(
     """
     keys, lag, lead = list(keys), list(lag), list(lead)
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-                     *[c.alias(f"o{i}") for i, c in enumerate(by)])
-    placed = _with_slice(df, len(keys), place, _slice_count(df, num_partitions))
+    placed = slices_of(df, keys, by, _slice_count(df, num_partitions))
 
     value = None
     if running_sum:
@@ -173,4 +178,4 @@ def key_sizes(df: DataFrame, keys: Sequence[str], name: str = "key_rows") -> Dat
     return df.join(sizes, on=list(keys), how="inner")
 
 
-__all__ = ["ordered_scan", "global_row_number", "running_sum", "neighbours", "key_sizes"]
+__all__ = ["ordered_scan", "slices_of", "global_row_number", "running_sum", "neighbours", "key_sizes"]

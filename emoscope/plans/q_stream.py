@@ -217,17 +217,3 @@ def q_str06(spark, sf):
     return st.select("conv_id", "turns", "last_turn",
                      F.md5(F.coalesce("last_assistant", F.lit(""))).alias("last_assistant_md5"))
 
-
-@register("win07_dynamic_batches_parallel", WIN07_SQL)
-def q_win07p(spark, sf):
-    """WIN07 by successor pointers and pointer jumping: no task holds a shard."""
-    f = _frames(spark, sf).withColumn("shard", F.lit(0).cast("bigint"))
-    b = B.dynamic_batches(f, "shard", "frames", "doc_id", budget=12000, max_n=16)
-    return b.select("doc_id", (F.col("shard") * 1_000_000 + F.col("batch")).alias("batch"))
-
-
-@register("win08_bucket_batches_parallel", WIN08_SQL)
-def q_win08p(spark, sf):
-    """WIN08 by successor pointers and pointer jumping: no task holds a bucket."""
-    b = B.bucket_batches(_frames(spark, sf), "frames", "doc_id", 93, 2812, budget=6000, buckets=20)
-    return b.select("doc_id", "bucket", "batch")
