@@ -11,9 +11,11 @@ so the scans here cut the sequence of ``(keys, order)`` into slices:
    ``(keys, slice)`` give the local row number, sum, and neighbours; a hot key
    spans several slices, so no task holds it whole.
 3. One aggregate per ``(keys, slice)``, combined on the map side, and a window
-   over its rows give what crosses slice borders.  Only a key's later slices
-   need it: at most one row for each border, joined back on ``(keys, slice)``,
-   by which the rows are partitioned already.
+   over its rows give what crosses slice borders: counts, sums, neighbours, and
+   the last or next value that is not NULL.  Only a key's later slices need it:
+   at most one row for each border, joined back on ``(keys, slice)``, by which
+   the rows are partitioned already.  A scan without keys has one row a slice,
+   which is looked up by its number, without a join.
 
 Everything is a DataFrame expression: no Python, no job at build, no
 checkpoint, and values keep their types.  NULL keys form one key; NULLs sort
@@ -88,6 +90,8 @@ def ordered_scan(
     running_sum: tuple[str, str] | None = None,
     lag: Iterable[tuple[str, str]] = (),
     lead: Iterable[tuple[str, str]] = (),
+    last: Iterable[tuple[str, str]] = (),
+    following: Iterable[tuple[str, str]] = (),
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add per-key ordered columns without a per-key task.
@@ -97,9 +101,11 @@ def ordered_scan(
     key, NULL values counting as 0; the type is that of Spark's ``sum``.
     ``lag`` / ``lead`` ``(col, out_col)`` pairs: the value of the previous /
     next row of the same key (NULL at the key's first / last row).
+    ``last`` / ``following`` ``(col, out_col)`` pairs: the last value that is not
+    NULL at or before the row / the first one at or after it, within the key.
     ``num_partitions`` is the number of slices.
     """
-    keys, lag, lead = list(keys), list(lag), list(lead)
+    keys, lag, lead, last, following = list(keys), list(lag), list(lead), list(last), list(following)
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = slices_of(df, keys, by, _slice_count(df, num_partitions))
 
@@ -117,12 +123,22 @@ def ordered_scan(
         local = local.withColumn("__end", F.lead(F.lit(1)).over(ahead).isNull())
     for i, (c, _) in enumerate(lead):
         local = local.withColumn(f"__lead{i}", F.lead(c).over(ahead))
+    # a frame to the end of the slice would be read anew for each row, so the rows run backwards instead
+    back = Window.partitionBy("__g").orderBy(F.desc("__rn"))
+    for window, pairs, kind in ((ahead, last, "past"), (back, following, "next")):
+        for i, (c, _) in enumerate(pairs):
+            local = local.withColumn(f"__{kind}{i}", F.last(c, ignorenulls=True).over(
+                window.rowsBetween(Window.unboundedPreceding, 0)))
 
     totals = [F.count(F.lit(1)).alias("n")]
     if running_sum:
         totals.append(F.sum(value).alias("s"))
     totals += [F.max_by(F.struct(c), F.struct(*by))[c].alias(f"last{i}") for i, (c, _) in enumerate(lag)]
     totals += [F.min_by(F.struct(c), F.struct(*by))[c].alias(f"first{i}") for i, (c, _) in enumerate(lead)]
+    for i, (c, _) in enumerate(last):
+        totals.append(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by))).alias(f"past{i}"))
+    for i, (c, _) in enumerate(following):
+        totals.append(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*by))).alias(f"next{i}"))
     slices = placed.groupBy("__g").agg(*totals)
     along = Window.partitionBy("__g.key").orderBy("__g.slice")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,12 +147,22 @@ def ordered_scan(
         carry.append(F.sum("s").over(before).alias("__s0"))
     carry += [F.lag(f"last{i}").over(along).alias(f"__last{i}") for i in range(len(lag))]
     carry += [F.lead(f"first{i}").over(along).alias(f"__first{i}") for i in range(len(lead))]
+    behind = Window.partitionBy("__g.key").orderBy(F.desc("__g.slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry += [F.last(f"past{i}", ignorenulls=True).over(before).alias(f"__past_{i}") for i in range(len(last))]
+    carry += [F.last(f"next{i}", ignorenulls=True).over(behind).alias(f"__next_{i}") for i in range(len(following))]
     later = F.lead(F.lit(1)).over(along).alias("__later")
     carry = slices.select("__g", *carry, later)
     needed = F.col("__n0").isNotNull()
-    carry = carry.where(needed | F.col("__later").isNotNull() if lead else needed).drop("__later")
-
-    out = local.join(carry, "__g", "left")
+    carry = carry.where(needed | F.col("__later").isNotNull() if lead or following else needed).drop("__later")
+
+    if keys:
+        out = local.join(carry, "__g", "left")
+    else:  # one sequence: a row for each slice, looked up by the slice's number
+        names = [c for c in carry.columns if c != "__g"]
+        known = carry.agg(F.map_from_entries(F.collect_list(F.struct("__g.slice", F.struct(*names)))).alias("m"))
+        n = _slice_count(df, num_partitions)
+        table = known.select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i))).scalar()
+        out = local.withColumn("__c", F.get(table, F.col("__g.slice"))).select("*", *[F.col(f"__c.{c}").alias(c) for c in names])
     extra = []
     if row_number:
         extra.append((F.col("__rn") + F.coalesce("__n0", F.lit(0))).alias(row_number))
@@ -147,6 +173,8 @@ def ordered_scan(
         extra.append(F.when(F.col("__rn") == 1, F.col(f"__last{i}")).otherwise(F.col(f"__lag{i}")).alias(name))
     for i, (_, name) in enumerate(lead):
         extra.append(F.when(F.col("__end"), F.col(f"__first{i}")).otherwise(F.col(f"__lead{i}")).alias(name))
+    for kind, pairs in (("past", last), ("next", following)):
+        extra += [F.coalesce(f"__{kind}{i}", f"__{kind}_{i}").alias(name) for i, (_, name) in enumerate(pairs)]
     return out.select(*df.columns, *extra)
 
 

@@ -119,10 +119,13 @@ def dedupe_text(df: DataFrame, text_col: str, order: Sequence[Column | str]) ->
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], col: str,
                   name: str | None = None) -> DataFrame:
-    """WIN14 carry the last non-NULL value forward within an entity (the
-    segments of one script); a per-entity window."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name or col, F.last(col, ignorenulls=True).over(w))
+    """WIN14 carry the last non-NULL value forward within a key, by the
+    range-sharded scan: a key may be a segment's script or a whole population."""
+    out = ordered_scan(df, keys, order, last=[(col, "__carried")])
+    columns = [c for c in df.columns if c != name]
+    if not name:
+        return out.select(*[F.col("__carried").alias(c) if c == col else c for c in columns])
+    return out.select(*columns, F.col("__carried").alias(name))
 
 
 def shuffle_order(df: DataFrame, id_col: str, seed: int, epoch: int = 0, name: str = "shuffle_key") -> DataFrame:
@@ -166,19 +169,13 @@ def best_reference(df: DataFrame, speaker: str, emotion: str, duration: str, id_
 
 
 def next_valid(df: DataFrame, order: Sequence[Column | str], valid: Column, cols: Sequence[str]) -> DataFrame:
-    """WIN19 replace an invalid row by the next valid one, wrapping to the
-    first valid row at the end.  The next valid position is found by a
-    range-sharded scan: running count of valid rows gives each row the rank
-    of the next valid row, then an equi-join fetches it."""
-    flagged = df.withColumn("__valid", valid.cast("double"))
-    scanned = ordered_scan(flagged, [], order, running_sum=("__valid", "__cum"))
-    # rank (1-based among valid rows) of the first valid row at or after this one
-    target = F.when(F.col("__valid") == 1, F.col("__cum")).otherwise(F.col("__cum") + 1)
-    n_valid = flagged.groupBy().agg(F.sum("__valid")).scalar()
-    scanned = scanned.withColumn("__target", F.when(target > n_valid, F.lit(1.0)).otherwise(target))
-    valid_rows = scanned.where(F.col("__valid") == 1).select(
-        F.col("__cum").alias("__target"), *[F.col(c).alias(f"__v_{c}") for c in cols])
-    out = scanned.join(valid_rows, "__target", "left")
-    for c in cols:
-        out = out.withColumn(c, F.col(f"__v_{c}"))
-    return out.drop("__valid", "__cum", "__target", *[f"__v_{c}" for c in cols])
+    """WIN19 replace an invalid row (NULL counts as invalid) by the next valid
+    one, wrapping to the first valid row at the end; without any valid row the
+    columns are NULL.  One range-sharded scan carries the next valid row's
+    columns backwards, so a long run of invalid rows meets no join and no key."""
+    by = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    flagged = df.withColumn("__v", F.when(F.coalesce(valid, F.lit(False)), F.struct(*cols)))
+    first = flagged.groupBy().agg(F.min_by("__v", F.when(F.col("__v").isNotNull(), by))).scalar()
+    out = ordered_scan(flagged, [], order, following=[("__v", "__next")])
+    out = out.withColumn("__next", F.coalesce("__next", first))
+    return out.select(*[F.col(f"__next.{c}").alias(c) if c in cols else c for c in df.columns])
