@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emoscope.functions.hashing import stable_hash
+from emoscope.operators.edits import edits
 from emoscope.operators.ordered import global_row_number
 from emoscope.operators.parallel import spread
 
@@ -88,79 +89,35 @@ def pair_similarity(pairs: DataFrame, emb: DataFrame, left_key: str, right_key:
     return j.withColumn("sim", cosine(F.col("__e1"), F.col("__e2"))).drop("__e1", "__e2")
 
 
-def _code_point(idx: Column) -> Column:
-    """Map a 1-based index to one supplementary-plane code point (U+10000 +
-    idx), as a one-character string: room for 1,048,576 spellings common to both
-    texts of one pair, whose distance table would have over 10^12 cells."""
-    return F.decode(F.unhex(F.lpad(F.hex(idx + F.lit(0xFFFF)), 8, "0")), "UTF-32")
-
-
 def words(col: Column) -> Column:
     """Whitespace tokens (empty strings removed), as a WER tool splits."""
     return F.filter(F.split(F.trim(col), r"\s+"), lambda w: w != "")
 
 
-def edit_distance_words(ref_words: Column, hyp_words: Column) -> Column:
-    """Word-level Levenshtein distance of two token arrays as one column
-    expression: each distinct word of the pair becomes one code point and the
-    encoded strings go to the built-in ``levenshtein``.  The lookup is linear
-    in the vocabulary per word, so use it for short arrays; ``word_error_rate``
-    encodes long texts with a per-pair rank instead."""
-    from emoscope.functions.arrays import let
-
-    def encode(vocab):
-        def enc(ws):
-            return F.array_join(F.transform(ws, lambda w: _code_point(F.array_position(vocab, w))), "")
-        return F.levenshtein(enc(ref_words), enc(hyp_words))
-
-    return let(F.array_distinct(F.concat(ref_words, hyp_words)), encode)
-
-
-def _encoded_words(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """Per pair, both texts as strings of word codes, put back in word order.
-
-    A word found on both sides gets the dense rank of its spelling among the
-    pair's common words; words of one side only can match nothing, so each side
-    has one code for all of them, which leaves the distance as it is.  Pairs
-    are dealt out by ``key`` once; windows and grouping stay in the partition."""
-    none = F.array().cast("array<string>")
-    both = spread(df.select(key, ref, hyp), key).select(
-        key, F.coalesce(words(F.col(ref)), none).alias("__r"), F.coalesce(words(F.col(hyp)), none).alias("__h"))
-    toks = both.select(key, F.size("__r").alias("__n"), F.posexplode(F.concat("__r", "__h")).alias("pos", "w"))
-    toks = toks.withColumn("side", (F.col("pos") >= F.col("__n")).cast("int"))
-    same = Window.partitionBy(key, "w")
-    toks = toks.withColumn("one", (F.min("side").over(same) == F.max("side").over(same)).cast("int"))
-    rank = F.dense_rank().over(Window.partitionBy(key).orderBy("one", "w"))
-    toks = toks.withColumn("code", F.when(F.col("one") == 1, F.col("side") + 1).otherwise(rank + 2))
-    enc = toks.groupBy(key).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(
-        F.struct("pos", _code_point(F.col("code")).alias("ch")))).alias("__seq"))
-
-    def text(part):
-        return F.array_join(F.transform(part, lambda t: t["ch"]), "")
-
-    return enc.select(key, text(F.slice("__seq", F.lit(1), F.col("__n"))).alias("__ref_enc"),
-                      text(F.slice("__seq", F.col("__n") + 1, F.size("__seq") - F.col("__n"))).alias("__hyp_enc"))
-
-
 def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool = False,
                     key: str = "pair_id") -> DataFrame:
     """JN09 WER = (S + D + I) / N on normalised texts; NULL for an empty
-    reference.  Word level: words are encoded per pair (``_encoded_words``)
-    and scored by the JVM ``levenshtein``; whole texts, no cap.  With
-    ``char_level`` (per row or fixed) characters are scored instead (for
-    Chinese), blanks removed."""
+    reference.  Word level: the bit-parallel distance of ``edits.py``, whole
+    texts, no limit to their words.  With ``char_level`` (per row or fixed)
+    characters are scored instead (for Chinese), blanks removed.  Pairs are
+    dealt out by ``key``, as one may be as much work as thousands of others."""
     cl = char_level if isinstance(char_level, Column) else F.lit(bool(char_level))
-    base = df.withColumn("__cl", cl)
-    enc = _encoded_words(base, key, ref, hyp)
-    out = base.join(enc, key, "left").fillna("", subset=["__ref_enc", "__hyp_enc"])
-    r_chars = F.regexp_replace(F.col(ref), r"\s+", "")
-    h_chars = F.regexp_replace(F.col(hyp), r"\s+", "")
-    dist = F.when(F.col("__cl"), F.levenshtein(r_chars, h_chars)).otherwise(F.levenshtein("__ref_enc", "__hyp_enc"))
-    n = F.when(F.col("__cl"), F.char_length(r_chars)).otherwise(F.char_length("__ref_enc"))
-    return (out.withColumn("edits", dist.cast("bigint"))
-            .withColumn("ref_len", n.cast("bigint"))
+    none = F.array().cast("array<string>")
+
+    def words_of(col: str) -> Column:
+        return F.when(F.col("__cl"), none).otherwise(F.coalesce(words(F.col(col)), none))
+
+    def chars_of(col: str) -> Column:
+        return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"\s+", "")
+
+    base = spread(df.withColumn("__cl", F.coalesce(cl, F.lit(False))), key)
+    base = base.withColumn("__r", words_of(ref)).withColumn("__h", words_of(hyp))
+    chars = F.levenshtein(chars_of(ref), chars_of(hyp))
+    dist = chars if char_level is True else F.when(F.col("__cl"), chars).otherwise(edits("__r", "__h"))
+    n = F.when(F.col("__cl"), F.char_length(chars_of(ref))).otherwise(F.size("__r"))
+    return (base.withColumn("edits", dist.cast("bigint")).withColumn("ref_len", n.cast("bigint"))
             .withColumn("wer", F.when(F.col("ref_len") > 0, F.col("edits") / F.col("ref_len")))
-            .drop("__cl", "__ref_enc", "__hyp_enc"))
+            .drop("__cl", "__r", "__h"))
 
 
 def _hash_rank(seed: int, col: str) -> Column:

@@ -169,10 +169,14 @@ def q_prj25b(spark, sf):
     return d.select("source", T.fmt_bytes("b").alias("size"))
 
 
+#: The punctuation that WER normalisation deletes, as a DuckDB pattern.
+PUNCT_SQL = "'[!-/:-@\\[-`{-~\\x{FF02}-\\x{FF0D}\\x{FF0F}\\x{FF1A}-\\x{FF1E}\\x{FF20}\\x{FF3B}-\\x{FF40}\\x{FF5B}-\\x{FF60}\\x{FF62}-\\x{FF64}\\x{3000}-\\x{3001}\\x{3003}\\x{3008}-\\x{3011}\\x{3014}-\\x{301F}\\x{3030}\\x{303E}\\x{303F}\\x{2013}\\x{2014}\\x{2018}\\x{2019}\\x{201B}-\\x{201F}\\x{2026}\\x{2027}\\x{FE4F}\\x{FE51}\\x{FE54}\\x{00B7}\\x{FF01}\\x{FF1F}\\x{FF61}\\x{3002}]'"
+
+
 @register("prj26_wer_normalise", oracle(f"""
 SELECT doc_id, md5(CASE WHEN lang = 'zh' THEN array_to_string(string_split(t, ''), ' ')
                        WHEN lang = 'en' THEN lower(t) ELSE t END) AS norm_md5 FROM (
-  SELECT doc_id, lang, replace(regexp_replace(text, '[!-/:-@\\[-`{{-~\\x{{FF02}}-\\x{{FF0D}}\\x{{FF0F}}\\x{{FF1A}}-\\x{{FF1E}}\\x{{FF20}}\\x{{FF3B}}-\\x{{FF40}}\\x{{FF5B}}-\\x{{FF60}}\\x{{FF62}}-\\x{{FF64}}\\x{{3000}}-\\x{{3001}}\\x{{3003}}\\x{{3008}}-\\x{{3011}}\\x{{3014}}-\\x{{301F}}\\x{{3030}}\\x{{303E}}\\x{{303F}}\\x{{2013}}\\x{{2014}}\\x{{2018}}\\x{{2019}}\\x{{201B}}-\\x{{201F}}\\x{{2026}}\\x{{2027}}\\x{{FE4F}}\\x{{FE51}}\\x{{FE54}}\\x{{00B7}}\\x{{FF01}}\\x{{FF1F}}\\x{{FF61}}\\x{{3002}}]', '', 'g'), '  ', ' ') AS t FROM documents)"""))
+  SELECT doc_id, lang, replace(regexp_replace(text, {PUNCT_SQL}, '', 'g'), '  ', ' ') AS t FROM documents)"""))
 def q_prj26(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.md5(T.wer_normalise("text", F.col("lang"))).alias("norm_md5"))

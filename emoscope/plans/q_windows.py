@@ -10,6 +10,7 @@ from emoscope.operators import ranking as R
 from emoscope.operators import splits as S
 from emoscope.operators.batching import silence_clips, silent_runs
 from emoscope.plans import views as V
+from emoscope.plans.q_text import PUNCT_SQL
 from emoscope.plans.registry import oracle, register, rounded
 from emoscope.sources.tables import table
 
@@ -367,25 +368,49 @@ def q_jn08(spark, sf):
     return rounded(J.pair_similarity(pairs, emb, "vec_id", "next_id").select("vec_id", "next_id", "sim"))
 
 
-@register("jn09_word_error_rate", None, "word-level edit distance; checked against a brute-force DP in tests")
+def _rate_sql(parts: str) -> str:
+    """Edits over reference length from lists ``r`` and ``h``: a word or character of the reference becomes one
+    ASCII character by its place among the distinct ones (under 120 in the given tables), all others one more."""
+    def coded(x: str) -> str:
+        return f"array_to_string(list_transform({x}, lambda w: chr((coalesce(list_position(rd, w), 0) + 1)::INTEGER)), '')"
+    return f"""
+SELECT pair_id, edits, ref_len, CASE WHEN ref_len > 0 THEN round(edits / ref_len, 6) END AS wer FROM (
+  SELECT pair_id, levenshtein({coded("r")}, {coded("h")})::BIGINT AS edits, len(r)::BIGINT AS ref_len FROM (
+    SELECT *, list_distinct(r) AS rd FROM ({parts})))"""
+
+
+_NORMAL = " ".join(f"""replace(regexp_replace({c}, {PUNCT_SQL}, '', 'g'), '  ', ' ') AS {c[0]}_,""" for c in ("ref_text", "hyp_text"))
+_WORDS = ", ".join(f"list_filter(regexp_split_to_array(CASE WHEN lang = 'en' THEN lower({c}_) ELSE {c}_ END, '[\\s\\x0B]+'), "
+                   f"lambda w: w <> '') AS {c}" for c in "rh")
+_CHARS = ", ".join(f"list_filter(string_split(regexp_replace({c}, '[\\s\\x0B]+', '', 'g'), ''), lambda w: w <> '') AS {c[0]}"
+                   for c in ("ref_text", "hyp_text"))
+
+
+@register("jn09_word_error_rate", oracle(_rate_sql(
+    f"SELECT pair_id, {_WORDS} FROM (SELECT pair_id, lang, {_NORMAL} FROM text_pairs)"), ["text_pairs"]))
 def q_jn09(spark, sf):
     """WER of document text (hypothesis) against benchmark text (reference),
     after WER normalisation; whole texts."""
     from emoscope.functions.text import wer_normalise
     p = V.text_pairs(spark, sf)
-    p = p.select("pair_id", wer_normalise("ref_text", "lang").alias("ref"), wer_normalise("hyp_text", "lang").alias("hyp"),
+    p = p.select("pair_id", wer_normalise("ref_text", F.col("lang")).alias("ref"),
+                 wer_normalise("hyp_text", F.col("lang")).alias("hyp"),
                  "lang")
     return rounded(J.word_error_rate(p, "ref", "hyp", char_level=F.col("lang") == "zh")
                    .select("pair_id", "edits", "ref_len", "wer"))
 
 
-@register("jn09_char_error_rate", None, "character edit distance; DuckDB levenshtein counts bytes, not characters")
+@register("jn09_char_error_rate", oracle(_rate_sql(f"SELECT pair_id, {_CHARS} FROM text_pairs"), ["text_pairs"]))
 def q_jn09c(spark, sf):
     p = V.text_pairs(spark, sf)
     return rounded(J.word_error_rate(p, "ref_text", "hyp_text", char_level=True).select("pair_id", "edits", "ref_len", "wer"))
 
 
-@register("jn10_sample_same_key", None, "hash draw per key; checked for same-key partners in tests")
+@register("jn10_sample_same_key", oracle(f"""
+SELECT a.speaker, a.doc_id, b.doc_id AS partner_id FROM (
+  SELECT speaker, doc_id, {stable_hash_sql("doc_id", 4)} % count(*) OVER (PARTITION BY speaker) + 1 AS want FROM utterances) a
+JOIN (SELECT speaker, doc_id, row_number() OVER (PARTITION BY speaker ORDER BY {stable_hash_sql("doc_id", 3)}, doc_id) AS pos
+      FROM utterances) b ON a.speaker = b.speaker AND a.want = b.pos""", ["utterances"]))
 def q_jn10(spark, sf):
     u = V.utterances(spark, sf).select("doc_id", "speaker")
     return J.sample_same_key(u, "speaker", "doc_id", seed=3)
