@@ -4,18 +4,18 @@ How far does a source's use of words lie from that of the other sources of its
 language, and which words make the difference?  Only terms found in at least
 ``min_docs`` documents of a language count.
 
-They are found by iceberg prefix refinement.  ``write_postings`` writes the
-distinct terms of each document once, in byte order, a terminator behind each,
-with the first level at which the term's prefix differs from its neighbour's.
-Level by level, ``kept_terms`` counts the distinct documents of every byte
-prefix, discards prefixes below the threshold, and extends the others to twice
-the length, until all that is left ends with its terminator, which makes it a
-complete term.  A document counts once for a prefix because only the first of
-its terms with that prefix is a row of that level.  A level counts only prefixes
-whose parents are left; the test for it is a hashed bitmap of ``BITS`` bits, so
-what every task gets has a fixed size at any scale.  It may let a discarded
-prefix through, whose own count is then below the threshold as well: every
-level is exact.
+They are found by iceberg prefix refinement.  ``write_postings`` takes the
+distinct terms of each document in byte order, a terminator behind each, with
+the first level at which the term's prefix differs from its predecessor's, and
+writes them once, added up over some documents at a time.  Level by level,
+``kept_terms`` counts the distinct documents of every byte prefix, discards
+prefixes below the threshold, and extends the others to twice the length, until
+all that is left ends with its terminator, which makes it a complete term.  A
+document counts once for a prefix because only the first of its terms with that
+prefix counts at that level.  A level counts only prefixes whose parents are
+left; the test for it is a hashed bitmap of ``BITS`` bits, so what every task
+gets has a fixed size at any scale.  It may let a discarded prefix through, whose
+own count is then below the threshold as well: every level is exact.
 
 With p and q the smoothed shares (in billionths, rounded down) of a term in two
 places and f = (p - q)^2 / q rounded down, the divergence of a source g from h
@@ -35,13 +35,12 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +49,11 @@ from emoscope.session import ensure_checkpoint_dir
 
 BITS = 1 << 23
 PAIRS = 1 << 19
-FIRST_BYTES = 4
+FIRST_BYTES = 6
+SLICE_BYTES = 1 << 23
 UNIT = 1_000_000_000
-_TERM = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: The bytes of terms (letters, and all bytes of other characters), A-Z in lower case; 0 for the rest.
+_BYTE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 0 for c in range(256)], np.uint8)
 
 
 def _places(docs: DataFrame) -> list[Column]:
@@ -72,24 +72,70 @@ def _fresh(terms: list[bytes]) -> list[int]:
     return out
 
 
+def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Every occurrence of a term in some texts: the text's number, and the term."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    lowered = _BYTE[data]
+    inside = lowered != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = offsets[:-1][np.diff(offsets) > 0]
+    begins[at] = inside[at]  # a term ends with its text
+    letters = np.concatenate([[0], np.cumsum(inside)])
+    starts = np.flatnonzero(begins)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    cuts = np.append(letters[starts], letters[-1]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(lowered[inside])])
+    return row, words.dictionary_encode()
+
+
+def _postings(langs: list[str], sources: list[str], texts: pa.Array) -> pa.RecordBatch:
+    """Some documents' rows of ``write_postings``."""
+    row, words = _terms(texts)
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    terms = [t + b"\0" for t in words.dictionary.take(pa.array(order)).to_pylist()]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    v = max(1, len(terms))
+    # a document's distinct terms in byte order, and where their prefixes first differ
+    found, n = np.unique(row * v + rank[words.indices.to_numpy()], return_counts=True)
+    doc, term = found // v, found % v
+    apart = np.array(_fresh(terms), np.int64)
+    fresh = np.zeros(len(found), np.int64)
+    for level in range(int(apart.max(initial=0))):
+        prefix = np.cumsum(apart <= level)[term]
+        fresh[1:] += (prefix[1:] == prefix[:-1]) & (doc[1:] == doc[:-1]) & (fresh[1:] == level)
+    # added up over the documents of one language and source
+    names: dict[tuple, int] = {}
+    group = np.array([names.setdefault(x, len(names)) for x in zip(langs, sources)], np.int64)
+    levels = int(fresh.max(initial=0)) + 1
+    key, at = np.unique((group[doc] * levels + fresh) * v + term, return_inverse=True)
+    total, docs = np.zeros(len(key), np.int64), np.bincount(at, minlength=len(key))
+    np.add.at(total, at, n)
+    which = pa.array(key // v // levels)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in names], pa.string()).take(which), pa.array([x for _, x in names], pa.string()).take(which),
+         pa.array(terms, pa.binary()).take(pa.array(key % v)), pa.array((key // v % levels).astype(np.int32)),
+         pa.array(total), pa.array(docs.astype(np.int64))], names=["lang", "source", "term", "fresh", "n", "docs"])
+
+
 def write_postings(docs: DataFrame, path: str) -> DataFrame:
-    """``lang, source, term, n, fresh``: a row for each document and distinct term (bytes with
-    a terminator, a zero byte, which no term has), with its occurrences there."""
+    """``lang, source, term, fresh, n, docs``: occurrences of a term (bytes with a terminator, a zero byte, which no
+    term has) in some ``docs`` documents, in which its prefixes are new from level ``fresh`` on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                found = [Counter(_TERM.findall(x.as_py().translate(_LOWER))) for x in part.column(2)]
-                found = [sorted((t.encode() + b"\0", n) for t, n in c.items()) for c in found]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row),
-                     pa.array([t for c in found for t, _ in c], pa.binary()), pa.array([n for c in found for _, n in c], pa.int64()),
-                     pa.array([x for c in found for x in _fresh([t for t, _ in c])], pa.int32())],
-                    names=["lang", "source", "term", "n", "fresh"])
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < len(texts):
+                z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_BYTES, "right")))
+                yield _postings(langs[a:z], sources[a:z], texts.slice(a, z - a))
+                a = z
 
     rows = docs.select(*_places(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows.mapInArrow(run, "lang string, source string, term binary, n long, fresh int").write.parquet(path)
+    rows.mapInArrow(run, "lang string, source string, term binary, fresh int, n long, docs long").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -117,10 +163,10 @@ def kept_terms(posted: DataFrame, min_docs: int = 3) -> DataFrame:
     """``lang, prefix``: the terms (with terminator) found in ``min_docs`` documents of the language."""
     level, size, bitmap, done = 0, FIRST_BYTES, None, None
     while True:
-        rows = posted.filter(F.col("fresh") <= level).select("lang", "term")
+        rows = posted.filter(F.col("fresh") <= level).select("lang", "term", "docs")
         if bitmap is not None:  # terms no longer than the last level's prefix were complete there
             rows = rows.filter(F.octet_length("term") > size // 2).filter(_has_bit(bitmap, "lang", F.substring("term", 1, size // 2)))
-        counted = rows.groupBy("lang", F.substring("term", 1, size).alias("prefix")).agg(F.count("*").alias("n_docs"))
+        counted = rows.groupBy("lang", F.substring("term", 1, size).alias("prefix")).agg(F.sum("docs").alias("n_docs"))
         left = saved(counted.filter(F.col("n_docs") >= min_docs).select("lang", "prefix"))
         complete = F.substring("prefix", -1, 1) == F.lit(b"\0")
         done = left.filter(complete) if done is None else done.unionByName(left.filter(complete))

@@ -78,6 +78,7 @@ def test_empty_tables(spark):
 def test_skewed_corpora_equal_brute_force(spark, monkeypatch, seed):
     """One source with a third of the rows, a term in every document, shared prefixes; little held at a time."""
     monkeypatch.setattr(D, "PAIRS", 50)
+    monkeypatch.setattr(D, "SLICE_BYTES", 2000 * seed)
     monkeypatch.setattr(D, "BITS", 1 << 8)  # a bitmap that lets nearly everything through
     rnd = random.Random(seed)
     stems = ["the", "ther", "thermal", "thermodynamics", "thermodynamical", "un", "une", "über"]
@@ -90,13 +91,14 @@ def test_skewed_corpora_equal_brute_force(spark, monkeypatch, seed):
     assert got(frame(spark, rows)) == brute(rows)
 
 
-def test_levels_keep_prefixes_by_distinct_documents(spark, tmp_path):
+def test_levels_keep_prefixes_by_distinct_documents(spark, tmp_path, monkeypatch):
     """Three terms of one document share a prefix: one document, not three."""
     rows = [("thermala thermalb thermalc", "en", "a"), ("other", "en", "a"), ("other", "en", "b"), ("other", "en", "c")]
     posted = D.write_postings(frame(spark, rows), f"{tmp_path}/p")
     fresh = {bytes(r.term): r.fresh for r in posted.filter("term != encode('other', 'utf-8')").collect() if r.term[:1] == b"t"}
-    assert fresh == {b"thermala\0": 0, b"thermalb\0": 1, b"thermalc\0": 1}
+    assert fresh == {b"thermala\0": 0, b"thermalb\0": 1, b"thermalc\0": 1}  # "therma" counts once
     assert {(r.lang, bytes(r.prefix)) for r in D.kept_terms(posted, 3).collect()} == {("en", b"other\0")}
+    monkeypatch.setattr(D, "FIRST_BYTES", 4)
     assert D._fresh([b"a\0", b"ab\0", b"abcdefgh\0", b"abcdefghi\0", b"abd\0"]) == [0, 0, 0, 2, 0]
 
 
