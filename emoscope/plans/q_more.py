@@ -22,20 +22,62 @@ from emoscope.sources.tables import table
 
 # Queries named after operators that run inside other queries.
 for alias, target in [("prj03_congruence", "prj02_parse_name"), ("set01_union_predictions", "prj05_normalise_predictions"),
-                      ("snk01_write_csv", "src01_read_predictions"), ("snk02_write_prepared", "src15_load_prepared"),
-                      ("snk03_sharded_write", "src15_load_prepared"), ("snk06_write_rooted_manifest", "src12_read_rooted_tsv")]:
+                      ("snk01_write_csv", "src01_read_predictions"), ("snk06_write_rooted_manifest", "src12_read_rooted_tsv")]:
     q = REGISTRY[target]
     register(alias, q.sql, f"same plan as {target}")(q.build)
 
 _ = (q_io, q_predictions)
 
 
-def _table_paths(spark, sf):
+@register("snk02_write_prepared", oracle("""
+SELECT 'vocab' AS part, ch AS item, 1::BIGINT AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM utterances) WHERE ch <> ''
+UNION ALL
+SELECT 'summary', 'hours ' || printf('%.4f', sum(duration) / 3600), count(*) FROM utterances
+UNION ALL
+SELECT 'vocab size', '', (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split(text, '')) AS ch FROM utterances) WHERE ch <> '')
+UNION ALL
+SELECT 'raw', audio_path || ' ' || md5(text) || ' ' || printf('%.4f', duration), 1 FROM utterances""", ["utterances"]))
+def q_snk02(spark, sf):
+    """The prepared set as written: raw rows, vocabulary and summary."""
+    out = K.scratch_dir(spark, "snk02")
+    K.write_prepared(V.utterances(spark, sf).select("audio_path", "text", "duration"), out)
+    summary = spark.read.json(f"{out}/summary")
+    one = F.lit(1).cast("long").alias("n")
+    raw = spark.read.parquet(f"{out}/raw").select(F.lit("raw").alias("part"), F.concat_ws(
+        " ", "audio_path", F.md5("text"), F.format_string("%.4f", "duration")).alias("item"), one)
+    vocab = spark.read.parquet(f"{out}/vocab").select(F.lit("vocab").alias("part"), F.col("token").alias("item"), one)
+    return raw.unionByName(vocab).unionByName(summary.select(
+        F.lit("summary").alias("part"), F.concat(F.lit("hours "), F.format_string("%.4f", "hours")).alias("item"),
+        F.col("rows").alias("n"))).unionByName(summary.select(
+            F.lit("vocab size").alias("part"), F.lit("").alias("item"), F.col("vocab_size").alias("n")))
+
+
+SHARD_BYTES = 1 << 18
+
+
+@register("snk03_sharded_write", f"""
+WITH RECURSIVE s AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS i, strlen(doc_id || chr(9) || regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')) + 1 AS size
+  FROM documents
+), r(i, shard, total, size) AS (
+  SELECT i, 0, size, size FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.i, r.shard + CASE WHEN r.total + s.size > {SHARD_BYTES} THEN 1 ELSE 0 END,
+         CASE WHEN r.total + s.size > {SHARD_BYTES} THEN s.size ELSE r.total + s.size END, s.size FROM r JOIN s ON s.i = r.i + 1)
+SELECT shard::BIGINT AS shard, count(*)::BIGINT AS rows, sum(size)::BIGINT AS bytes, 1::BIGINT AS files FROM r GROUP BY shard""")
+def q_snk03(spark, sf):
+    """Documents as lines in shards of at most 256 KiB; the shards that were written, by file."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\t\n\r]", " "))
+    return K.list_shards(spark, K.write_shards(d, K.scratch_dir(spark, "snk03"), ["doc_id"], line, SHARD_BYTES))
+
+
+def _table_paths(spark, sf, missing="missing_table"):
     """Manifest rows pointing at table files: en -> documents, fr -> pages,
-    de -> labels, others -> a file that does not exist."""
+    de -> labels, others -> ``missing``, a file that may not exist."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
     name = (F.when(F.col("lang") == "en", "documents").when(F.col("lang") == "fr", "pages")
-            .when(F.col("lang") == "de", "labels").otherwise("missing_table"))
+            .when(F.col("lang") == "de", "labels").otherwise(missing))
     return d.withColumn("path", F.concat(F.lit(sf.rstrip("/") + "/"), name, F.lit(".parquet")))
 
 
@@ -48,12 +90,12 @@ def q_flt07(spark, sf):
 
 
 @register("flt08_assert_existing", oracle("""
-SELECT CAST(count(*) AS BIGINT) AS n FROM documents WHERE lang IN ('en', 'fr', 'de')"""))
+SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang"""))
 def q_flt08(spark, sf):
-    """The strict variant over rows whose files exist (it raises on a missing one)."""
+    """The strict variant over all rows, each of which points at a file that exists (it raises on a missing one)."""
     inv = R.file_inventory(spark, sf, ["*.parquet"], recursive=False)
-    rows = _table_paths(spark, sf).where(F.col("lang").isin("en", "fr", "de"))
-    return Q.assert_existing(rows, "path", inv).agg(F.count(F.lit(1)).alias("n"))
+    rows = _table_paths(spark, sf, missing="conversations")
+    return Q.assert_existing(rows, "path", inv).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("flt09_keep_len_with_offsets", oracle("""

@@ -174,23 +174,43 @@ def q_str02(spark, sf):
                              "mean_latency_ms", "max_latency_s"))
 
 
+def _arriving(spark, df, name, part, parts=3):
+    """A stream over ``df`` in as many micro-batches as parts: files that arrive one after the other, by ``part``."""
+    path = scratch_dir(spark, name)
+    for k in range(parts):
+        df.where(part == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(spark, path, df.schema, max_files_per_trigger=1)
+
+
 @register("str03_stream_dedupe", oracle("""
-SELECT CAST(count(DISTINCT md5(props)) AS BIGINT) AS n_unique FROM events"""))
+SELECT DISTINCT md5(props) AS content_key, 1::BIGINT AS n FROM events"""))
 def q_str03(spark, sf):
+    """Contents kept by the dedupe over three micro-batches, and how often; the delay spans the whole log."""
     out, ck = scratch_dir(spark, "str03"), scratch_dir(spark, "str03-ckpt")
-    ev = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    S.run_available(S.stream_dedupe(ev, "props", "ts", "1 hour").select("event_id", "content_key"), out, ck)
-    return spark.read.parquet(out).agg(F.count_distinct("content_key").alias("n_unique"))
+    ev = table(spark, sf, "events").select("event_id", "props", F.col("ts").cast("timestamp").alias("ts"))
+    ev = _arriving(spark, ev, "str03-in", F.col("event_id") % 3)
+    S.run_available(S.stream_dedupe(ev, "props", "ts", "3650 days").select("event_id", "content_key"), out, ck)
+    return spark.read.parquet(out).groupBy("content_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _talk(spark, sf):
+    """Conversation turns a minute apart."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return c.withColumn("ts", F.timestamp_seconds(F.lit(1_767_225_600) + F.col("turn") * 60))
 
 
 @register("str04_stream_first_package", oracle("""
-SELECT conv_id AS conn, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS first_package FROM conversations"""))
+SELECT conn, turn, row_number() OVER (PARTITION BY conn, closed ORDER BY turn) = 1 AS first_package FROM (
+  SELECT conv_id AS conn, turn, count(*) FILTER (WHERE turn % 4 = 3) OVER (PARTITION BY conv_id ORDER BY turn) AS closed
+  FROM conversations) WHERE turn % 4 <> 3"""))
 def q_str04(spark, sf):
-    """Requests per connection (conversation turns); the first one of each
-    connection is marked (and would be chunked smaller, TVF04)."""
+    """Requests per connection (conversation turns; every fourth one closes the
+    connection) in three micro-batches; the first one of each connection is
+    marked (and would be chunked smaller, TVF04)."""
     out, ck = scratch_dir(spark, "str04"), scratch_dir(spark, "str04-ckpt")
-    c = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("conn"), "turn", "text")
-    S.run_available(S.stream_first_package(c), out, ck)
+    c = _talk(spark, sf).withColumnRenamed("conv_id", "conn").drop("role")
+    c = _arriving(spark, c, "str04-in", F.least(F.floor(F.col("turn") / 3), F.lit(2)))
+    S.run_available(S.stream_first_package(c, F.col("turn") % 4 == 3), out, ck)
     return spark.read.parquet(out).select("conn", "turn", "first_package")
 
 
@@ -210,10 +230,10 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, max(turn) AS last_turn,
        md5(coalesce(CASE WHEN arg_max(role, turn) = 'assistant' THEN arg_max(text, turn) END, '')) AS last_assistant_md5
 FROM conversations GROUP BY conv_id"""))
 def q_str06(spark, sf):
+    """Turns in three micro-batches, later turns before earlier ones."""
     out, ck = scratch_dir(spark, "str06"), scratch_dir(spark, "str06-ckpt")
-    c = _stream(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    S.run_available(S.stream_conversation(c), out, ck, mode="update", foreach_batch=S.append_batches(out))
+    c = _arriving(spark, _talk(spark, sf), "str06-in", F.pmod(F.lit(2) - F.col("turn"), F.lit(3)))
+    S.run_available(S.stream_conversation(c, keep=64), out, ck, mode="update", foreach_batch=S.append_batches(out))
     st = S.latest_state(spark, out, ["conv_id"])
     return st.select("conv_id", "turns", "last_turn",
                      F.md5(F.coalesce("last_assistant", F.lit(""))).alias("last_assistant_md5"))
-

@@ -304,11 +304,12 @@ def q_jn02(spark, sf):
 
 
 @register("jn03_zip_by_line", oracle("""
-SELECT d.doc_id AS line_no, length(d.text) AS hyp_chars, l.quality
-FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""))
+SELECT doc_id AS line_no, length(text) AS hyp_chars, lang AS ref_lang, strlen(text) AS ref_bytes FROM documents"""))
 def q_jn03(spark, sf):
-    a = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.char_length("text").alias("hyp_chars"))
-    b = table(spark, sf, "labels").select(F.col("doc_id").alias("line_no"), "quality")
+    """Two column sets of all documents, zipped by line."""
+    d = table(spark, sf, "documents")
+    a = d.select(F.col("doc_id").alias("line_no"), F.char_length("text").alias("hyp_chars"))
+    b = d.select(F.col("doc_id").alias("line_no"), F.col("lang").alias("ref_lang"), F.octet_length("text").alias("ref_bytes"))
     return J.zip_by_line(a, b)
 
 

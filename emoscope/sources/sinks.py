@@ -10,10 +10,12 @@ Scratch output goes under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emoscope.operators.greedy import Rule, greedy_batches
 from emoscope.session import ensure_checkpoint_dir
 
 
@@ -54,6 +56,30 @@ def write_prepared(df: DataFrame, path: str, text: str = "text", duration: str =
     return path
 
 
+def write_shards(df: DataFrame, path: str, order: Sequence[str], line: Column, max_bytes: int) -> str:
+    """SNK03 text shards of at most ``max_bytes``: rows in ``order`` (unique, not
+    NULL), one ``line`` each, cut greedily where the next line would pass the cap.
+
+    Sizes are those of the encoded lines, newline included, so the cap holds for
+    the files.  Only sizes go through the running total; a shard's lines meet in
+    one task and make one file, ``shard=N``.  A line above the cap is an error."""
+    size = F.octet_length(line) + 1
+    fits = F.when(size <= max_bytes, size).otherwise(F.raise_error(F.lit(f"a line is longer than {max_bytes} bytes")).cast("int"))
+    cut = greedy_batches(df.select(*order, fits.alias("__size")), [], order, "__size", Rule(max_bytes), name="shard")
+    lines = df.select(*order, line.alias("value")).join(cut.select(*order, "shard"), list(order))
+    lines.repartition("shard").sortWithinPartitions("shard", *order).select("shard", "value") \
+        .write.mode("overwrite").partitionBy("shard").text(path)
+    return path
+
+
+def list_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``shard, rows, bytes`` of the files that ``write_shards`` left."""
+    files = spark.read.text(path).select("shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    each = files.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("bytes"))
+    return each.groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
 def write_scores(df: DataFrame, path: str, score: str, digits: int = 5) -> str:
     """SNK04 per-sample scores as JSON lines, and the corpus mean written
     apart (the reference appends a non-JSON line; here it is its own file)."""
