@@ -238,6 +238,24 @@ def test_toxicity_held_out(docs, labels):
     assert held_out_accuracy(rows, labels, "toxic") > 0.9
 
 
+def caught_and_false(rows, labels, label, hit):
+    """Shares of the held-out rows that are ``hit``, among those marked so and among the others."""
+    truth = {r.doc_id: r[label] for r in labels.collect()}
+    said = {True: [], False: []}
+    for r in rows:
+        if r.held_out and r.doc_id in truth:
+            said[truth[r.doc_id] == hit].append(r.predicted == hit)
+    return [sum(x) / len(x) for x in (said[True], said[False])]
+
+
+def test_held_out_recall_and_false_alarms(docs, labels):
+    """Either bound fails for a model that always says the same."""
+    caught, false = caught_and_false(toxicity.toxicity(docs, labels).collect(), labels, "toxic", 1)
+    assert caught >= 0.6 and false <= 0.02
+    caught, false = caught_and_false(quality_classifier.quality_classifier(docs, labels).collect(), labels, "quality", 0)
+    assert caught >= 0.8 and false <= 0.05
+
+
 @pytest.mark.parametrize("op", [quality_classifier.quality_classifier, toxicity.toxicity])
 def test_classifiers_odd_rows(op, odd, empty, no_labels, labels):
     assert op(empty, labels).collect() == [] and op(empty, empty).collect() == []
@@ -308,6 +326,40 @@ def test_rollup_commits_are_idempotent(spark, tmp_path):
         roll.commit("../x", delta)
 
 
+def test_rollup_replay_after_compaction(spark, tmp_path):
+    """A batch that was folded into another one does not come back when it is committed again."""
+    roll = token_counts.Rollup(spark, str(tmp_path))
+    delta = spark.createDataFrame([("a", None, "t", 1, 5)], token_counts.SCHEMA)
+    assert roll.totals().collect() == []
+    assert roll.commit("one", delta) and roll.commit("two", delta) and not roll.commit("one", delta)
+    roll.compact(["one", "two"], "both")
+    assert not roll.commit("one", delta) and not roll.commit("both", delta) and roll.commit("three", delta)
+    roll.compact(["both", "three"], "all")
+    for batches in (None, ["one"], ["one", "two", "three", "both", "all"]):
+        assert [tuple(r) for r in roll.totals(batches).collect()] == [("a", None, "t", 3, 15)]
+    for fold in (["one"], ["both", "three"]):
+        with pytest.raises(ValueError):
+            roll.compact(fold, "again")
+
+
+def test_rollup_failed_commit_and_a_second_writer(spark, tmp_path):
+    roll, other = (token_counts.Rollup(spark, str(tmp_path)) for _ in range(2))
+    delta = spark.createDataFrame([("a", None, "t", 1, 5)], token_counts.SCHEMA)
+    roll.commit("one", delta)
+    before = roll.totals()
+    broken = delta.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        roll.commit("two", broken)
+    assert [tuple(r) for r in roll.totals().collect()] == [("a", None, "t", 1, 5)]  # it has not happened
+    version, known = other.manifest()
+    assert roll.commit("two", delta)
+    with pytest.raises(Exception, match="(?i)exists"):  # its version is taken: it reads the manifest again and retries
+        other._publish(version + 1, known)
+    assert other.commit("three", delta)
+    assert [tuple(r) for r in before.collect()] == [("a", None, "t", 1, 5)]  # a reader keeps what it began with
+    assert [tuple(r) for r in other.totals().collect()] == [("a", None, "t", 3, 15)]
+
+
 # --- operator 7
 
 def brute_components(rows, size, percent):
