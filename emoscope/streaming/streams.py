@@ -113,10 +113,16 @@ class _Idle(StatefulProcessor):
         self.until = handle.getValueState("until", "ms long")
 
     def _rows(self, rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-        """The key's rows of this trigger, in order; its timer moves to the end of the idle time."""
+        """The key's rows of this trigger, in order; its timer moves to the end of the idle time.
+
+        Timers fire after a trigger's rows, so a key that comes back when its time is over is forgotten here."""
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-        until = int(pdf["ms"].max()) + self.idle_ms
         before = self.until.get()[0] if self.until.exists() else None
+        if before is not None and int(pdf["ms"].min()) > before:
+            self.handle.deleteTimer(before)
+            self._forget()
+            before = None
+        until = int(pdf["ms"].max()) + self.idle_ms
         if before is None or until > before:
             if before is not None:
                 self.handle.deleteTimer(before)
@@ -144,10 +150,11 @@ class _FirstPackage(_Idle):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = self._rows(rows, "turn")
-        was_open, first = self.open.exists(), []
-        for closes in pdf["closes"].tolist():
+        was_open, first, last = self.open.exists(), [], None
+        for closes, ms in zip(pdf["closes"].tolist(), pdf["ms"].tolist()):
+            was_open = was_open and (last is None or ms - last <= self.idle_ms)
             first.append(not closes and not was_open)
-            was_open = not closes
+            was_open, last = not closes, ms
         if was_open:
             self.open.update((True,))
         else:  # nothing to remember of a closed connection
