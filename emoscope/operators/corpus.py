@@ -82,9 +82,32 @@ def build_vocab(df: DataFrame, text: str, extra_ranges: Sequence[tuple[int, int]
     return global_row_number(keyed, ["__cp"], "idx").select("token", (F.col("idx") - 1).alias("idx"))
 
 
+def _id_pages(vocab: DataFrame) -> Column:
+    """The ids of a character vocabulary as one scalar: by code point, in pages of 256."""
+    one = F.when(F.char_length("token") == 1, F.ascii("token")).otherwise(
+        F.raise_error(F.concat(F.lit("not a single character: "), F.col("token"))).cast("int"))
+    at = vocab.select(one.alias("cp"), F.col("idx").cast("long").alias("idx"))
+    pages = at.groupBy(F.floor(F.col("cp") / 256).cast("int").alias("page")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("cp") % 256, "idx"))).alias("m"))
+    pages = pages.select("page", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.try_element_at("m", i)).alias("ids"))
+    return pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "ids"))).alias("m"), F.max("page").alias("top")).select(
+        F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda p: F.try_element_at("m", p))).scalar()
+
+
+def encode_chars(df: DataFrame, tokens: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
+    """ARR02 for character vocabularies: ``df`` plus the ids of the characters in
+    ``tokens``, unknown -> 0.  A character's code point is its place in one
+    array, at most 1,114,112 ids whatever the data, so rows are neither
+    exploded nor joined nor moved.  For vocabularies of longer tokens use
+    ``encode_by_join``."""
+    ids = F.transform(tokens, lambda t: F.coalesce(
+        F.get(F.get("__pages", F.floor(F.ascii(t) / 256).cast("int")), F.ascii(t) % 256), F.lit(0)))
+    return df.withColumn("__pages", _id_pages(vocab)).select(*df.columns, ids.alias(name))
+
+
 def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    """ARR02 for vocabularies of any size: explode, join to (token, idx),
-    unknown -> 0, collect back in position order per row."""
+    """ARR02 for vocabularies of any tokens and size: explode, join to (token,
+    idx), unknown -> 0, collect back in position order per row."""
     ex = spread(df, id_col).select(id_col, F.posexplode(tokens).alias("pos", "token"))
     j = ex.join(vocab.select("token", "idx"), "token", "left").fillna(0, subset=["idx"])
     coll = F.array_sort(F.collect_list(F.struct("pos", "idx")))
@@ -93,11 +116,15 @@ def encode_by_join(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) ->
 
 def oov(df: DataFrame, id_col: str, text: str, vocab: DataFrame) -> DataFrame:
     """AGG17 characters not in the vocabulary, in first-seen order (by row
-    id, then position): an anti join, then ``min(struct(id, pos))``."""
-    ex = df.select(id_col, F.posexplode(tokenize_char(text)).alias("pos", "token"))
-    miss = ex.join(vocab.select("token"), "token", "left_anti")
-    first = miss.groupBy("token").agg(F.min(F.struct(id_col, "pos")).alias("__first"), F.count(F.lit(1)).alias("n"))
-    return first.select("token", "n", F.col(f"__first.{id_col}").alias("first_row"), F.col("__first.pos").alias("first_pos"))
+    id, then position).  A row gives each of its distinct characters once, with
+    its first place and its number; the minimum over rows is a partial aggregate
+    by character, and only distinct characters meet the vocabulary."""
+    each = df.select(id_col, F.col(text).alias("__t"), F.explode(F.array_distinct(tokenize_char(text))).alias("token"))
+    n = (F.octet_length("__t") - F.octet_length(F.replace("__t", "token"))) / F.octet_length("token")
+    place = F.struct(id_col, (F.position("token", "__t") - 1).alias("pos"))
+    first = each.groupBy("token").agg(F.min(place).alias("__first"), F.sum(n.cast("long")).alias("n"))
+    miss = first.join(vocab.select("token"), "token", "left_anti")
+    return miss.select("token", "n", F.col(f"__first.{id_col}").alias("first_row"), F.col("__first.pos").alias("first_pos"))
 
 
 def extend_vocab(vocab: DataFrame, requested: DataFrame, order_col: str) -> DataFrame:

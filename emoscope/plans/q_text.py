@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emoscope.functions import names as N
 from emoscope.functions import text as T
 from emoscope.operators import segments as G
-from emoscope.operators.corpus import build_vocab, encode_by_join
+from emoscope.operators.corpus import build_vocab, encode_chars
 from emoscope.operators.parallel import spread
 from emoscope.plans import views as V
 from emoscope.plans.registry import oracle, register, rounded
@@ -249,7 +249,7 @@ def q_arr02(spark, sf):
     unknown -> 0)."""
     vocab = build_vocab(table(spark, sf, "benchmark"), "text")
     d = table(spark, sf, "documents").select("doc_id", T.tokenize_char("text").alias("t"))
-    enc = encode_by_join(d, "doc_id", "t", vocab)
+    enc = encode_chars(d, "t", vocab)
     return enc.select("doc_id", F.size("ids").alias("n_ids"),
                       F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
