@@ -43,31 +43,37 @@ def file_inventory(spark: SparkSession, base: str, patterns: Sequence[str] = ("*
                       F.regexp_extract(path_basename("path"), r"(\.[^.]*)$", 1).alias("suffix"))
 
 
-def scan_results(spark: SparkSession, base: str, version: str) -> DataFrame:
+def scan_results(spark: SparkSession, base: str, version: str, max_columns: int = 64) -> DataFrame:
     """SRC02 prediction tables under ``base/results_<...>_<model>/`` whose
     file stem ends in ``_<version>``; adds ``model`` and ``source_file``.
 
-    Tables of different models have different columns, so each model
-    directory is read on its own and the results are unioned by name.  Only
-    the (small) list of result directories reaches the driver."""
-    inv = file_inventory(spark, base, ["*.csv"])
+    Tables of different models have different columns.  One scan reads the
+    files of all folders by position (up to ``max_columns``); the first row of
+    each file is its header, and the others are put under its names.  A later
+    row that repeats the header word for word counts as a header too, and a
+    name that a file lacks is NULL in its rows.  Files are chosen by their paths
+    inside the scan; only the distinct column names reach the driver."""
+    columns = [f"_{i}" for i in range(max_columns)]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in columns)).option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.csv").csv(base))
+    path = F.col("_metadata.file_path")
     # a table is a CSV file, or a directory named like one holding part files
-    is_dir_table = path_basename("parent").endswith(".csv")
-    table_name = F.when(is_dir_table, path_basename("parent")).otherwise(F.col("name"))
-    results_dir = F.when(is_dir_table, path_parent("parent")).otherwise(F.col("parent"))
-    inv = inv.select(table_name.alias("table_name"), results_dir.alias("results_dir"))
-    inv = inv.where(F.regexp_extract(path_basename("results_dir"), r"^([^_]*)", 1) == "results")
-    inv = inv.where(F.substring_index(F.regexp_replace("table_name", r"\.[^.]*$", ""), "_", -1) == version)
-    dirs = [r.results_dir for r in inv.select("results_dir").distinct().collect()]
-    out = None
-    for d in sorted(dirs):
-        model = d.rstrip("/").split("/")[-1].split("_")[-1]
-        t = (spark.read.option("header", True).csv(f"{d}/*_{version}.csv")
-             .withColumn("model", F.lit(model)).withColumn("source_file", F.col("_metadata.file_path")))
-        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-    if out is None:
+    is_dir_table = path_basename(path_parent(path)).endswith(".csv")
+    table_path = F.when(is_dir_table, path_parent(path)).otherwise(path)
+    folder = path_basename(path_parent(table_path))
+    stem = F.regexp_replace(path_basename(table_path), r"\.[^.]*$", "")
+    chosen = (F.regexp_extract(folder, r"^([^_]*)", 1) == "results") & (F.substring_index(stem, "_", -1) == version)
+    rows = raw.where(chosen).select(F.array(*columns).alias("row"), path.alias("source_file"),
+                                    F.substring_index(folder, "_", -1).alias("model"),
+                                    F.col("_metadata.file_block_start").alias("start"))
+    heads = (rows.where("start = 0").withColumn("place", F.monotonically_increasing_id())
+             .groupBy("source_file").agg(F.min_by("row", "place").alias("head")))
+    names = [r.name for r in heads.select(F.explode("head").alias("name")).where("name is not null").distinct().collect()]
+    if not names:
         raise FileNotFoundError(f"no result tables for version {version} under {base}")
-    return out
+    data = rows.join(heads, "source_file").where(~F.col("row").eqNullSafe(F.col("head")))
+    values = [F.get("row", F.array_position("head", F.lit(c)).cast("int") - 1).alias(c) for c in sorted(names)]
+    return data.select(*values, "model", "source_file")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
