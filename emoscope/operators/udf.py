@@ -12,8 +12,10 @@ from __future__ import annotations
 import uuid
 from typing import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +31,45 @@ def _worker_model(key: str, make_model: Callable):
     return _MODEL[key]
 
 
-def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Series]],
+def per_row(fn: Callable[[pd.Series], object]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A batch model from a function of one row: an exception is that row's ``error``."""
+    def model(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, errors = [], []
+        for _, row in pdf.iterrows():
+            try:
+                values.append(fn(row))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001 - the row's own failure
+                values.append(None)
+                errors.append(f"ERROR: {type(e).__name__}: {e}")
+        return pd.DataFrame({"value": pd.Series(values, index=pdf.index, dtype=object),
+                             "error": pd.Series(errors, index=pdf.index, dtype=object)})
+    return model
+
+
+def _parts(made, index: pd.Index) -> tuple[pd.Series, pd.Series]:
+    """Values and errors of what a model returned, for the rows of ``index``."""
+    if not isinstance(made, pd.DataFrame):
+        return pd.Series(made, index=index), pd.Series([None] * len(index), index=index, dtype=object)
+    if len(made) != len(index):
+        raise ValueError(f"the model gave {len(made)} rows for {len(index)}")
+    errors = made["error"].astype(object).where(made["error"].notna(), None)
+    values = made["value"].where(made["error"].isna(), None)  # a failed row has no value
+    return values.set_axis(index), errors.set_axis(index)
+
+
+def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Series | pd.DataFrame]],
           input_cols: Sequence[str], value_type: T.DataType = T.DoubleType(), key: str | None = None) -> DataFrame:
     """UDF01 score every row with a user model.  The model is built once per
     Python worker (``make_model``) and kept under ``key`` (a name and version the
-    caller vouches for; by default one of this call alone), applied to whole Arrow batches; if a batch
-    fails, its rows are scored one by one so that a failing row yields
-    ``error`` and does not stop the run."""
+    caller vouches for; by default one of this call alone), and called once for
+    each Arrow batch.
+
+    A model returns the values, or a frame with a ``value`` and an ``error``
+    for each row, so that rows that fail cost no further call and do not stop
+    the run (``per_row`` makes such a model of a function of one row).  A
+    model that raises instead fails as a whole for the batch; its rows are then
+    given to it one by one, to find those that fail."""
     model_key = key or uuid.uuid4().hex
     cols = list(input_cols)
     schema = T.StructType(list(df.schema.fields) + [T.StructField("value", value_type),
@@ -45,22 +79,11 @@ def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Se
         model = _worker_model(model_key, make_model)
         for pdf in batches:
             try:
-                vals = pd.Series(model(pdf[cols]), index=pdf.index)
-                errs = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:  # noqa: BLE001 - isolate the failing rows
-                # one call per row of the failing batch: linear in the batch
-                # (halving the batch was measured slower when failures are dense)
-                vals, errs = [], []
-                for i in range(len(pdf)):
-                    try:
-                        vals.append(pd.Series(model(pdf[cols].iloc[i:i + 1])).iloc[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        vals.append(None)
-                        errs.append(f"ERROR: {type(e).__name__}: {e}")
-                vals = pd.Series(vals, index=pdf.index)
-                errs = pd.Series(errs, index=pdf.index, dtype=object)
-            yield pdf.assign(value=vals, error=errs)
+                values, errors = _parts(model(pdf[cols]), pdf.index)
+            except Exception:  # noqa: BLE001 - the model cannot tell which rows fail
+                rows = per_row(lambda row: _parts(model(pdf[cols].loc[[row.name]]), pd.Index([row.name]))[0].iloc[0])
+                values, errors = _parts(rows(pdf[cols]), pdf.index)
+            yield pdf.assign(value=values, error=errors)
 
     return df.mapInPandas(run, schema)
 
@@ -119,8 +142,10 @@ def train_classifier(df: DataFrame, features: str, label: str, id_col: str, seed
                      F.col(label).cast("double").alias("label"))
     split = random_split(data, id_col, 0.8, seed)
     train = split.where(F.col("split") == "train")
-    width = len(df.select(features).first()[0])
-    n_classes = int(df.agg(F.max(label)).first()[0]) + 1
+    shape = df.agg(F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most"), F.max(label).alias("top")).first()
+    if shape.most is None or shape.least != shape.most:
+        raise ValueError(f"vectors must have one length, not {shape.least} to {shape.most}")
+    width, n_classes = shape.most, int(shape.top) + 1
     mlp = MultilayerPerceptronClassifier(layers=[width, hidden, n_classes], maxIter=max_iter, seed=seed)
     model = mlp.fit(train)
     pred = model.transform(split).select("split", F.col("label").cast("int").cast("string").alias("y"),
@@ -142,20 +167,25 @@ def with_parsed(df: DataFrame, col: str, parser: Callable[[pd.Series], pd.DataFr
 
 
 def python_segments(df: DataFrame, col: str, keep: Sequence[str], splitter: Callable[[str], list[str]]) -> DataFrame:
-    """UDT01 user one-row-to-many function as a Python UDTF (Arrow-optimised),
-    joined laterally to its input rows; the native TVF operators are the
-    default, this is the hook for user segmenters."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="segment_idx: int, segment: string", useArrow=True)
-    class Segments:
-        def eval(self, text: str):
-            for i, s in enumerate(splitter(text) if text is not None else []):
-                yield i, s
-
-    spark = df.sparkSession
-    spark.udtf.register("emoscope_segments", Segments)
-    view = f"emoscope_udt_{abs(hash((col, tuple(keep)))) % 10**8}"
-    df.createOrReplaceTempView(view)
-    cols = ", ".join(f"t.`{k}`" for k in keep)
-    return spark.sql(f"SELECT {cols}, s.segment_idx, s.segment FROM {view} t, LATERAL emoscope_segments(t.`{col}`) s")
+    """UDT01 user one-row-to-many function over Arrow batches: the columns
+    ``keep`` of each row beside ``segment_idx, segment``, a row for each segment
+    (none for NULL).  The texts of a batch go through the hook and come back as
+    one list array; the kept columns are taken by row, never touched in Python.
+    The native TVF operators are the default, this is the hook for user
+    segmenters."""
+    keep = list(keep)
+    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("segment_idx", T.IntegerType()),
+                                                          T.StructField("segment", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            lists = pa.array([None if t is None else splitter(t) for t in batch.column(len(keep)).to_pylist()],
+                             pa.list_(pa.string()))
+            row = pc.list_parent_indices(lists)
+            first = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            at = np.arange(len(row)) - np.concatenate([[0], first])[row.to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).take(row) for i in range(len(keep))], pa.array(at.astype(np.int32)), pc.list_flatten(lists)],
+                names=[*keep, "segment_idx", "segment"])
+
+    return df.select(*keep, F.col(col).alias("__text")).mapInArrow(run, schema)
