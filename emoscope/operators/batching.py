@@ -4,8 +4,8 @@ WIN07 and WIN08 are greedy recurrences: where a batch closes depends on every
 earlier item of the same sequence, so no window expresses them.  They run as
 slice transducers (``greedy.py``), so no task holds a shard or a bucket.
 
-WIN12 (gaps and islands) is fully parallel: run ids are running sums of
-change flags from the range-sharded scan.
+WIN12 (gaps and islands): run ids are running sums of change flags from the
+range-sharded scan, and the choice among long silences is greedy, too.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emoscope.operators.greedy import Rule, greedy_batches
+from emoscope.operators.greedy import Cuts, Rule, greedy_batches
 from emoscope.operators.ordered import ordered_scan
+from emoscope.session import ensure_checkpoint_dir
 
 
 def bucket_index(length, min_len: float, max_len: float, buckets: int = 200):
@@ -59,8 +60,8 @@ def silence_clips(frames: DataFrame, utt: str, order: Sequence[str], rms: str, t
     series without cuts is one clip.
 
     The cut places depend on their own silence alone and come from aggregates.
-    Only the choice among long silences is sequential; it folds the array of one
-    recording's long silences (a few numbers each)."""
+    Only the choice among long silences is sequential; it runs as slice
+    transducers (``greedy.Cuts``), so an endless recording spreads as well."""
     f = frames.select(F.struct(utt).alias("__u"), *order, rms).withColumn(
         "__quiet", F.coalesce((F.col(rms) < threshold).cast("long"), F.lit(0)))
     sizes = f.groupBy("__u").agg(F.count(F.lit(1)).alias("__n"))
@@ -83,27 +84,23 @@ def silence_clips(frames: DataFrame, utt: str, order: Sequence[str], rms: str, t
         .otherwise(F.least("__lo", "__mid"))
     end = F.when(trailing, F.col("__n") + 1).when(short, F.col("__lo")).when((F.col("__s") == 0) | long, F.col("__hi")) \
         .otherwise(F.greatest("__hi", "__mid"))
-    cuts = cuts.groupBy("__u").agg(F.array_sort(F.collect_list(F.struct(
-        "__s", "__e", (trailing | leading).alias("always"), begin.cast("long").alias("b"), end.cast("long").alias("e"))))
-        .alias("__cuts"))
-
-    gap = "array<struct<b:long,e:long>>"
-
-    def choose(state, cut):
-        taken = F.struct(cut["e"].alias("at"), F.concat(
-            state["gaps"], F.array(F.struct(cut["b"].alias("b"), cut["e"].alias("e")))).alias("gaps"))
-        return F.when(cut["always"] | (cut["__e"] - state["at"] >= min_length), taken).otherwise(state)
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(gap).alias("gaps"))
-    gaps = F.aggregate("__cuts", start, choose, lambda state: state["gaps"])
-    per = sizes.join(cuts.select("__u", gaps.alias("__gaps")), "__u", "left").withColumn(
-        "__gaps", F.coalesce("__gaps", F.array().cast(gap)))
-    spans = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.col("__gaps.e")),
-                       F.concat(F.col("__gaps.b"), F.array("__n")),
-                       lambda b, e: F.struct(b.alias("begin"), e.alias("end")))
-    spans = F.filter(spans, lambda x, i: ((i > 0) | (x["end"] > 0)) & ((i < F.size("__gaps")) | (x["begin"] < F.col("__n"))))
-    return per.select("__u", F.posexplode(spans).alias("clip", "__x")).select(
-        F.col("__u")[utt].alias(utt), F.col("clip").cast("long").alias("clip"), "__x.begin", "__x.end")
+    cuts = cuts.select("__u", "__s", "__e", "__n", (trailing | leading).alias("__always"), begin.cast("long").alias("__from"),
+                       end.cast("long").alias("__to"))
+    ensure_checkpoint_dir(frames.sparkSession)
+    cuts = cuts.checkpoint()  # a row for each long silence; the frames are not read again
+    taken = greedy_batches(cuts, ["__u"], ["__s"], None, Cuts("__s", "__e", "__to", "__always", min_length),
+                           starts_name="__taken").where("__taken").checkpoint()
+    # what lies between the taken cuts: from the one before to this one, and from the last one to the end
+    inner = ordered_scan(taken, ["__u"], ["__s"], lag=[("__to", "__before")])
+    inner = inner.where(F.col("__before").isNotNull() | (F.col("__from") > 0)).select(
+        "__u", F.coalesce("__before", F.lit(0)).cast("long").alias("begin"), F.col("__from").alias("end"))
+    inner = ordered_scan(inner, ["__u"], ["begin", "end"], row_number="__k").select(
+        "__u", (F.col("__k") - 1).alias("clip"), "begin", "end")
+    per = taken.groupBy("__u").agg(F.max_by("__to", "__s").alias("__last"), (F.count(F.lit(1)) - F.when(
+        F.min_by("__from", "__s") <= 0, 1).otherwise(0)).alias("__clips"))
+    rest = sizes.join(per, "__u", "left").select("__u", F.coalesce("__clips", F.lit(0)).cast("long").alias("clip"),
+                                                F.coalesce("__last", F.lit(0)).cast("long").alias("begin"), F.col("__n").alias("end"))
+    return inner.unionByName(rest.where("begin < end")).select(F.col("__u")[utt].alias(utt), "clip", "begin", "end")
 
 
 def bucket_batches(df: DataFrame, length: str, order: str, min_len: float, max_len: float,

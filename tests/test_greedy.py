@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from emoscope.operators.greedy import Rule, greedy_batches
+from emoscope.operators.batching import silence_clips
+from emoscope.operators.greedy import Cuts, Rule, greedy_batches
 
 
 def loop(lengths, rule):
@@ -79,3 +80,46 @@ def test_few_jobs_whatever_the_rows(spark):
         greedy_batches(df, ["shard"], ["len", "id"], "len", Rule(500.0, 16)).write.format("noop").mode("overwrite").save()
         assert len(tracker.getJobIdsForGroup(f"greedy-{n}")) <= 10, n
     context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def taken(cuts, min_length):
+    """The choice among cuts, one after the other."""
+    at, out = 0, []
+    for start, reach, to, always in cuts:
+        if always or reach - at >= min_length:
+            out.append(start)
+            at = to
+    return out
+
+
+@pytest.mark.parametrize("gap", [3, 40])
+def test_cuts_in_any_slices(spark, gap):
+    """A hot recording with half of all silences, long stretches without a taken cut, and cuts that are always taken."""
+    rng = np.random.default_rng(gap)
+    rows, want = [], {}
+    for key, n in (("hot", 500), ("a", 30), (None, 40), ("one", 1)):
+        p, cuts = 0, []
+        for _ in range(n):
+            start = p + int(rng.integers(1, gap))
+            reach = start + int(rng.integers(1, 9))
+            cuts.append((start, reach, int(rng.integers(start, reach + 1)), bool(rng.random() < 0.02)))
+            p = reach
+        rows += [(key, *c) for c in cuts]
+        want[key] = taken(cuts, 60)
+    df = spark.createDataFrame(rows, "u string, s long, e long, to long, always boolean").repartition(7)
+    for slices in (1, 2, 9, 64):
+        got = defaultdict(list)
+        for r in greedy_batches(df, ["u"], ["s"], None, Cuts("s", "e", "to", "always", 60), num_slices=slices,
+                                starts_name="taken").orderBy("s").collect():
+            if r.taken:
+                got[r.u].append(r.s)
+        assert {k: got[k] for k in want} == want, slices
+
+
+def test_an_endless_recording_of_silences(spark):
+    """One recording of 400,000 frames, a silence every ten, is not one row or one task."""
+    df = spark.range(400_000).selectExpr("'r' as u", "id as i", "if(id % 10 in (7, 8, 9), 0.01 + (id % 10) / 1000, 1.0) as rms").repartition(8)
+    clips = silence_clips(df, "u", ["i"], "rms", 0.1, 25, 3, 4).orderBy("begin").collect()
+    cuts = taken([(10 * k + 7, 10 * k + 10, 10 * k + 7, k == 39_999) for k in range(40_000)], 25)
+    begins = [0, *cuts[:-1]]
+    assert [(r.clip, r.begin, r.end) for r in clips] == [(i, b, e) for i, (b, e) in enumerate(zip(begins, cuts))]
