@@ -91,6 +91,30 @@ def test_cascade_order_changes_cost_only(docs):
     assert all(m.seen == 200 for m in order)
 
 
+def test_cascade_stops_and_orders_by_marginal_worth(spark, docs):
+    """A late rule meets only what the earlier ones let through, and costs count beyond the base counts."""
+    texts = [quality_rules.Text(r.text) for r in docs.select("text").collect()]
+    met = Counter()
+
+    def counted(rule):
+        return quality_rules.Rule(rule.name, lambda t: met.update([rule.name]) or rule.rejects(t))
+
+    rules = [counted(r) for r in quality_rules.DEFAULT_RULES]
+    kept = [quality_rules.passes(t, rules) for t in texts]
+    base = sum(not quality_rules.base_fails(t) for t in texts)
+    evaluated = [met[r.name] for r in rules]
+    assert evaluated[0] == base < len(texts) and evaluated == sorted(evaluated, reverse=True) and evaluated[-1] < base
+    assert kept == [quality_rules.passes(t, rules[::-1]) for t in texts]
+
+    def slow(t):
+        return sum(c == "#" for _ in range(20) for c in t.text) > 10 ** 9
+
+    given = [quality_rules.Rule("slow", slow), quality_rules.Rule("free", lambda t: t.n_symbols % 2 == 0)]
+    measured = quality_rules.order_rules(docs, given)
+    assert [m.rule.name for m in measured] == ["free", "slow"] and measured[0].seconds < 0.1 * measured[1].seconds
+    assert 0 < measured[0].seen <= 400 and measured[0].seen == measured[1].seen
+
+
 # --- operator 2
 
 def test_fingerprints_odd_rows(odd, empty):
