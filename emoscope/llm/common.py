@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +61,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         ids = part if ids is None else ids.unionByName(part)
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
     return found.select("doc_id", "text", F.col("y").cast("int").alias("y"))
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(key: str, make=None):
+    """What this Python worker keeps under ``key``, made if it is not there yet.
+
+    A worker serves the tasks of many stages, one after the other; it keeps one
+    thing at a time, so what an earlier stage needed is freed when a task of
+    another begins (without ``make`` nothing is kept in its place)."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _KEPT[key] = make() if make else None
+    return _KEPT[key]

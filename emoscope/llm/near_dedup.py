@@ -41,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emoscope.llm.common import saved, text_of
+from emoscope.llm.common import kept_by_worker, saved, text_of
 
 ROWS, BANDS = 4, 28
 #: Signature values of 112 on which a pair has to agree; at 0.8 it agrees on 90 on average, on fewer than 67 in one of ten million.
 MATCHES = 67
 PIECE = 1024
+#: Shingles of a piece, about (8 MB); a block holds the full sets of two pieces.
+PIECE_SHINGLES = 1 << 20
 BROADCAST_ROWS = 300_000
 _SPACE = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_SPACE, _SPACE.lower())
@@ -101,6 +103,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     the empty set), the coordinate-value pairs as hashes, and a sketch of the
     signature, the low byte of every value, which collides wherever the values do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near_dedup")
         for batch in batches:
             counts, nodes, keys, sigs = [], [], [], []
             for x in batch.column(2):
@@ -122,6 +125,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of every document with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near_dedup")
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 sets = [shingle_hashes(x.as_py() or "", size) for x in batch.column(0).slice(lo, 128)]
@@ -134,10 +138,13 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``key, band, node, n, least``: the posting lists with at least two members."""
-    posts = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    return saved(posts.join(lists, "key"))
+    """``key, band, node, n, least, pieces``: the posting lists with at least two members, and into how
+    many pieces of bounded size the members go, by their number and by the size of their sets."""
+    posts = classes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"),
+                                     F.sum("n_shingles").alias("size")).filter("n > 1")
+    pieces = F.ceil(F.greatest(F.col("n") / PIECE, F.col("size") / PIECE_SHINGLES)).cast("int")
+    return saved(posts.drop("n_shingles").join(lists.withColumn("pieces", pieces).drop("size"), "key"))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -150,7 +157,7 @@ def first_pairs(posts: DataFrame) -> DataFrame:
     # neighbours under a quarter of the coordinates join most families; the second pass finds the rest
     some = posts.filter(F.col("band") % 4 == 0)
     own = F.xxhash64("key", "node")
-    piece = F.pmod(own, F.ceil(F.col("n") / PIECE))
+    piece = F.pmod(own, F.ceil(F.col("n") / PIECE))  # by number alone: the sets are not held here
     order = Window.partitionBy("key", "_piece").orderBy("_own", "node")
     chain = (some.withColumn("_own", own).withColumn("_piece", piece)
              .withColumn("next", F.lead("node").over(order)).filter("next is not null")
@@ -162,12 +169,11 @@ def open_blocks(posts: DataFrame, component: DataFrame) -> DataFrame:
     """``g, band, cross, side, lab, node``: members of the lists that hold more than
     one component, dealt into blocks ``g``.  A block takes one piece of a list
     with itself or two with each other (``cross``; ``side`` tells them apart)."""
-    at = posts.select("key", "band", "n", "node").join(component, "node", "left").select(
-        "key", "band", "n", "node", F.xxhash64(F.coalesce("label", "node")).alias("lab"))
+    at = posts.select("key", "band", "pieces", "node").join(component, "node", "left").select(
+        "key", "band", "pieces", "node", F.xxhash64(F.coalesce("label", "node")).alias("lab"))
     several = at.groupBy("key").agg((F.min("lab") != F.max("lab")).alias("several")).filter("several").select("key")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    rows = at.join(several, "key").withColumn("piece", F.pmod(F.xxhash64("node", "key"), pieces).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    rows = at.join(several, "key").withColumn("piece", F.pmod(F.xxhash64("node", "key"), "pieces").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     low, high = F.least("piece", "other"), F.greatest("piece", "other")
     return rows.select(F.xxhash64("key", low, high).alias("g"), "band", (low != high).alias("cross"),
                        (F.col("piece") == low).alias("side"), "lab", "node")
@@ -221,6 +227,7 @@ def _sorted_blocks(rows: DataFrame) -> DataFrame:
 def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of ``blocks`` that have a candidate partner in their block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near_dedup")
         for rows in _blocks(batches):
             sig = _matrix(rows.column("sig"))
             keys = np.concatenate([x.values.to_numpy() for x in rows.column("keys")]).reshape(-1, BANDS)
@@ -242,6 +249,7 @@ def open_members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
 def merged_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: confirmed links between components, block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near_dedup")
         for rows in _blocks(batches):
             # signatures are computed anew: cheaper than to carry them along
             full = [x.values.to_numpy() for x in rows.column("shingles")]
@@ -280,6 +288,7 @@ def similar_signatures(pairs: DataFrame, classes: DataFrame, matches: int = MATC
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near_dedup")
         for batch in batches:
             if batch.num_rows:
                 hits = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(1)
@@ -333,7 +342,8 @@ def labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     (the least id of its documents and its component)."""
     signed = saved(signatures(docs, size))
     classes = saved(signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"),
+        F.first("sig").alias("sig")))
     posts = postings(classes)
 
     close = saved(similar_signatures(first_pairs(posts), classes))
