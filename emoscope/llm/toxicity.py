@@ -34,10 +34,15 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emoscope.llm.common import in_fold, labelled_sample, saved, text_of
+from emoscope.llm.common import in_fold, kept_by_worker, labelled_sample, saved, text_of
 
 # Public insult words and second-person words of four languages.
-INSULTS = frozenset("idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb".split())
+INSULTS = frozenset(
+    "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile cretin dimwit halfwit "
+    "creep freak coward liar vermin filth garbage ugly hateful "
+    "trottel depp dummkopf vollidiot abschaum versager erbärmlich wertlos widerlich dumm "
+    "imbécile crétin abruti débile minable ordure raclure pathétique stupide dégoûtant "
+    "idiota imbécil estúpido tonto inútil basura escoria patético perdedor asqueroso".split())
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein ihr euch tu te toi ton vous votre "
                           "usted ustedes tus vosotros".split())
 BEGINNINGS = (4, 5, 6)
@@ -119,6 +124,7 @@ class Model:
 
         @F.pandas_udf("array<double>")
         def dense(texts: pd.Series) -> pd.Series:
+            kept_by_worker("toxicity")
             return pd.Series([features(t, lexicon) for t in texts])
 
         return docs.withColumn("_x", array_to_vector(dense(text_of())))
