@@ -84,7 +84,7 @@ def _table_paths(spark, sf, missing="missing_table"):
 @register("flt07_keep_existing", oracle("""
 SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang"""))
 def q_flt07(spark, sf):
-    inv = R.file_inventory(spark, sf, ["*.parquet"], recursive=False)
+    inv = R.entries(spark, sf)
     kept = Q.keep_existing(_table_paths(spark, sf), "path", inv)
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +93,7 @@ def q_flt07(spark, sf):
 SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang"""))
 def q_flt08(spark, sf):
     """The strict variant over all rows, each of which points at a file that exists (it raises on a missing one)."""
-    inv = R.file_inventory(spark, sf, ["*.parquet"], recursive=False)
+    inv = R.entries(spark, sf)
     rows = _table_paths(spark, sf, missing="conversations")
     return Q.assert_existing(rows, "path", inv).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -130,7 +130,7 @@ def q_prj17(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     raw = (F.when(F.col("lang") == "en", "documents").when(F.col("lang") == "fr", "pages.wav")
            .when(F.col("lang") == "de", "/abs/x.wav").otherwise("nothing"))
-    inv = R.file_inventory(spark, sf, ["*"], recursive=False)
+    inv = R.entries(spark, sf)
     root = sf.rstrip("/")
     r = N.resolve_path(d.withColumn("p", raw), "p", inv, root, suffixes=(".wav", ".parquet"))
     return r.select("doc_id", F.regexp_replace("resolved_path", "^" + root, "/data").alias("resolved_path"))

@@ -10,6 +10,7 @@ its ``content`` column never selected, so only metadata is read.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,16 @@ def file_inventory(spark: SparkSession, base: str, patterns: Sequence[str] = ("*
                       F.regexp_extract(path_basename("path"), r"(\.[^.]*)$", 1).alias("suffix"))
 
 
+def entries(spark: SparkSession, base: str) -> DataFrame:
+    """``path`` of every file and folder right under ``base``, one row each.  A
+    table is a file or a folder of part files, and both exist; a folder shows by
+    the files below it."""
+    root = base.rstrip("/")
+    files = file_inventory(spark, base).select("path")
+    inside = F.substring("path", F.lit(len(re.sub("^file:(//)?(?=/)", "", root)) + 2), F.length("path"))
+    return files.select(F.concat(F.lit(root + "/"), F.substring_index(inside, "/", 1)).alias("path")).distinct()
+
+
 def scan_results(spark: SparkSession, base: str, version: str, max_columns: int = 64) -> DataFrame:
     """SRC02 prediction tables under ``base/results_<...>_<model>/`` whose
     file stem ends in ``_<version>``; adds ``model`` and ``source_file``.
