@@ -112,8 +112,14 @@ def word_error_rate(df: DataFrame, ref: str, hyp: str, char_level: Column | bool
 
     base = spread(df.withColumn("__cl", F.coalesce(cl, F.lit(False))), key)
     base = base.withColumn("__r", words_of(ref)).withColumn("__h", words_of(hyp))
-    chars = F.levenshtein(chars_of(ref), chars_of(hyp))
-    dist = chars if char_level is True else F.when(F.col("__cl"), chars).otherwise(edits("__r", "__h"))
+    # a string goes to the bit-parallel distance as it is; its characters are its items
+    if char_level is True:
+        dist = edits(chars_of(ref), chars_of(hyp))
+    elif char_level is False:
+        dist = edits("__r", "__h")
+    else:
+        chars = edits(F.when(F.col("__cl"), chars_of(ref)), F.when(F.col("__cl"), chars_of(hyp)))
+        dist = F.when(F.col("__cl"), chars).otherwise(edits("__r", "__h"))
     n = F.when(F.col("__cl"), F.char_length(chars_of(ref))).otherwise(F.size("__r"))
     return (base.withColumn("edits", dist.cast("bigint")).withColumn("ref_len", n.cast("bigint"))
             .withColumn("wer", F.when(F.col("ref_len") > 0, F.col("edits") / F.col("ref_len")))

@@ -30,3 +30,12 @@ def test_a_table_in_a_folder_exists(spark, tmp_path):
         from emoscope.operators.quality import assert_existing
         from emoscope.sources.readers import entries
         assert_existing(docs.select(F.lit(f"{tmp_path}/none.parquet").alias("path")), "path", entries(spark, str(tmp_path))).collect()
+
+
+def test_characters_by_the_bit_parallel_distance(spark):
+    from emoscope.operators.joins import word_error_rate
+    rows = [(1, "ab cé", "abc"), (2, "\U0001f600x", "x"), (3, None, "ab"), (4, "ab", None), (5, "x" * 50_000, "y" * 50_000)]
+    df = spark.createDataFrame(rows, "pair_id long, ref string, hyp string")
+    out = word_error_rate(df, "ref", "hyp", char_level=True)
+    assert {r.pair_id: (r.edits, r.ref_len) for r in out.collect()} == {1: (1, 4), 2: (1, 2), 3: (2, 0), 4: (2, 2), 5: (50_000, 50_000)}
+    assert "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()
