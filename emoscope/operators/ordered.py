@@ -57,21 +57,14 @@ def _bounds(df: DataFrame, place: Column, n: int) -> Column:
 def _with_slice(df: DataFrame, n_keys: int, place: Column, n: int) -> DataFrame:
     """Adds ``__g``: the row's key and slice, the slice being the number of
     bounds at or below the row's place, found by binary search."""
-    steps = [1 << k for k in reversed(range((n - 1).bit_length()))]
-    # a column of its own first, as a lambda may not hold a subquery; read once, the optimizer folds it in
-    start = F.struct(F.lit(0).alias("at"), F.col("__b").alias("b"), place.alias("p"))
-
-    def step(s: Column, by: Column) -> Column:
-        low = (s["at"] + by <= n - 1) & (F.get(s["b"], s["at"] + by - 1) <= s["p"])
-        return F.struct(F.when(low, s["at"] + by).otherwise(s["at"]).alias("at"), s["b"].alias("b"), s["p"].alias("p"))
-
-    def done(s: Column) -> Column:
-        # a struct is never NULL, so NULL keys group and join like any other
-        key = F.struct(F.lit(0).alias("all"), *[s["p"][f"k{i}"].alias(f"k{i}") for i in range(n_keys)])
-        return F.struct(key.alias("key"), s["at"].alias("slice"))
-
-    g = F.aggregate(F.array(*[F.lit(x) for x in steps]).cast("array<int>"), start, step, done)
-    return df.withColumn("__b", _bounds(df, place, n)).select(*df.columns, g.alias("__g"))
+    # a projection a step: a fold would copy the bounds at each step of each row, so rows x slices bytes in all
+    out = df.select(*df.columns, place.alias("__p"), _bounds(df, place, n).alias("__b"), F.lit(0).alias("__at"))
+    for by in (1 << k for k in reversed(range((n - 1).bit_length()))):
+        low = (F.col("__at") + by <= n - 1) & (F.get("__b", F.col("__at") + by - 1) <= F.col("__p"))
+        out = out.select(*df.columns, "__p", "__b", F.when(low, F.col("__at") + by).otherwise(F.col("__at")).alias("__at"))
+    # a struct is never NULL, so NULL keys group and join like any other
+    key = F.struct(F.lit(0).alias("all"), *[F.col(f"__p.k{i}").alias(f"k{i}") for i in range(n_keys)])
+    return out.select(*df.columns, F.struct(key.alias("key"), F.col("__at").alias("slice")).alias("__g"))
 
 
 def slices_of(df: DataFrame, keys: Sequence[str], by: Sequence[Column], num_slices: int) -> DataFrame:

@@ -39,3 +39,11 @@ def test_characters_by_the_bit_parallel_distance(spark):
     out = word_error_rate(df, "ref", "hyp", char_level=True)
     assert {r.pair_id: (r.edits, r.ref_len) for r in out.collect()} == {1: (1, 4), 2: (1, 2), 3: (2, 0), 4: (2, 2), 5: (50_000, 50_000)}
     assert "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_are_found_without_a_fold_over_the_bounds(spark):
+    from emoscope.operators.ordered import ordered_scan
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    out = ordered_scan(df, ["k"], ["id"], row_number="n", num_partitions=37)
+    assert all(r.n == r.id // 3 + 1 for r in out.collect())
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
