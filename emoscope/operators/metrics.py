@@ -35,14 +35,21 @@ def confusion(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
     those columns, zero cells included; the label list is one scalar, as long
     as the label cardinality.  Rows with a NULL label keep their own cell."""
     keys = _keys(by)
-    cells = (df.groupBy(*keys, F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
-             .agg(F.count(F.lit(1)).alias("n")))
     if not label_cols:
-        return cells
-    known = label_domain(df, label_cols).agg(F.array_sort(F.collect_list("label"))).scalar()
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_labels", known)
+        return (df.groupBy(*keys, F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    # the rows are counted once; labels, groups and cells all come from those counts, each reading them with ``_n``
+    # so that the three share one exchange
+    seen = (df.select(*keys, F.col(y).alias("actual"), F.col(yhat).alias("predicted"),
+                      F.array(*[F.col(c) for c in label_cols]).alias("_seen"))
+            .groupBy(*keys, "actual", "predicted", "_seen").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
+    known = (seen.select(F.explode("_seen").alias("label")).where("label is not null").distinct()
+             .agg(F.array_sort(F.collect_list("label"))).scalar())
+    groups = seen.select(*keys).distinct() if keys else seen.groupBy().agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    groups = groups.withColumn("_labels", known)
     zeros = (groups.select(*keys, F.explode("_labels").alias("actual"), "_labels")
              .select(*keys, "actual", F.explode("_labels").alias("predicted"), F.lit(0).cast("long").alias("n")))
+    cells = seen.select(*keys, "actual", "predicted", F.col("_n").alias("n"))
     return cells.unionByName(zeros).groupBy(*keys, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
@@ -248,8 +255,12 @@ def expected_counts(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Da
     Labels are those of both columns; a label absent from a margin expects 0."""
     keys = _keys(by)
     cells = _margins(confusion(df, a, b, by, label_cols=[a, b]), "actual", "predicted", keys)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot"))
-    cells = cells.join(totals, keys) if keys else cells.withColumn("_tot", totals.scalar())
+    cells = cells.withColumn("_tot", F.sum("n").over(Window.partitionBy(*keys)))
+    if keys:  # a group with a NULL key is left out; asked of the total, as the filter must not reach the shared counts
+        some = F.lit(True)
+        for k in keys:
+            some = some & F.col(k).isNotNull()
+        cells = cells.withColumn("_tot", F.when(some, F.col("_tot"))).where("_tot is not null")
     return cells.withColumn("expected", F.col("_ra") * F.col("_cb") / F.col("_tot")).drop("_ra", "_cb", "_tot")
 
 

@@ -47,3 +47,13 @@ def test_slices_are_found_without_a_fold_over_the_bounds(spark):
     out = ordered_scan(df, ["k"], ["id"], row_number="n", num_partitions=37)
     assert all(r.n == r.id // 3 + 1 for r in out.collect())
     assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_full_matrix_counts_its_rows_once(spark):
+    from emoscope.operators.metrics import confusion
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("g", "a", "b", "c"), ("g", "a", "a", "d"), (None, "b", None, "a")], "k string, y string, p string, t string")
+    got = {(r.k, r.actual, r.predicted): r.n for r in confusion(counted(rows, seen), "y", "p", ["k"], ["y", "p", "t"]).collect()}
+    assert got == {(k, a, b): 0 for k in ("g", None) for a in "abcd" for b in "abcd"} | {
+        ("g", "a", "b"): 1, ("g", "a", "a"): 1, (None, "b", None): 1}
+    assert seen.value == 3
