@@ -57,3 +57,12 @@ def test_the_full_matrix_counts_its_rows_once(spark):
     assert got == {(k, a, b): 0 for k in ("g", None) for a in "abcd" for b in "abcd"} | {
         ("g", "a", "b"): 1, ("g", "a", "a"): 1, (None, "b", None): 1}
     assert seen.value == 3
+
+
+def test_expected_counts_count_their_rows_once(spark):
+    from emoscope.operators.metrics import expected_counts
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("g", "a", "b"), ("g", "a", "a"), (None, "b", "a")], "k string, a string, b string")
+    got = {(r.k, r.actual, r.predicted): (r.n, r.expected) for r in expected_counts(counted(rows, seen), "a", "b", ["k"]).collect()}
+    assert got == {("g", "a", "a"): (1, 1.0), ("g", "a", "b"): (1, 1.0), ("g", "b", "a"): (0, 0.0), ("g", "b", "b"): (0, 0.0)}
+    assert seen.value == 3
