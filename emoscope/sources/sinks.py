@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,11 +126,15 @@ def write_rooted_manifest(df: DataFrame, path: str, root: str, rel: str = "rel_p
 def write_run(df: DataFrame, path: str, error: str = "error") -> str:
     """SNK07 a scoring run: successful rows, failed rows and a one-row
     summary (counts, success rate, time of writing)."""
-    df.where(F.col(error).isNull()).drop(error).write.mode("overwrite").option("header", True).csv(f"{path}/results")
-    df.where(F.col(error).isNotNull()).write.mode("overwrite").json(f"{path}/failed_files")
-    df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(error).isNull()).alias("successful"),
-           F.count_if(F.col(error).isNotNull()).alias("failed"),
-           F.current_timestamp().alias("written_at")).write.mode("overwrite").json(f"{path}/metadata")
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # three outputs of rows that are made once
+    try:
+        df.where(F.col(error).isNull()).drop(error).write.mode("overwrite").option("header", True).csv(f"{path}/results")
+        df.where(F.col(error).isNotNull()).write.mode("overwrite").json(f"{path}/failed_files")
+        df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(error).isNull()).alias("successful"),
+               F.count_if(F.col(error).isNotNull()).alias("failed"),
+               F.current_timestamp().alias("written_at")).write.mode("overwrite").json(f"{path}/metadata")
+    finally:
+        df.unpersist()
     return path
 
 

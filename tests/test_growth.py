@@ -66,3 +66,13 @@ def test_expected_counts_count_their_rows_once(spark):
     got = {(r.k, r.actual, r.predicted): (r.n, r.expected) for r in expected_counts(counted(rows, seen), "a", "b", ["k"]).collect()}
     assert got == {("g", "a", "a"): (1, 1.0), ("g", "a", "b"): (1, 1.0), ("g", "b", "a"): (0, 0.0), ("g", "b", "b"): (0, 0.0)}
     assert seen.value == 3
+
+
+def test_a_run_is_scored_once(spark, tmp_path):
+    from emoscope.sources.sinks import write_run
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(10).select("id", F.when(F.col("id") % 5 == 0, "ERROR: x").alias("error"))
+    out = write_run(counted(rows, seen), str(tmp_path))
+    assert seen.value == 10
+    assert [tuple(r)[:3] for r in spark.read.json(f"{out}/metadata").select("total", "successful", "failed").collect()] == [(10, 8, 2)]
+    assert spark.read.option("header", True).csv(f"{out}/results").count() == 8 and spark.read.json(f"{out}/failed_files").count() == 2
