@@ -13,8 +13,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emoscope.operators.parallel import spread
-
 
 def keep_labels(df: DataFrame, col: str, labels: Sequence[str]) -> DataFrame:
     """FLT01 keep rows whose label is in the set."""
@@ -58,18 +56,30 @@ def repetition_hits(df: DataFrame, id_col: str, col: str, n: int = 2, tolerance:
     """FLT06 ids of rows where some n-gram of characters occurs more than
     ``tolerance`` times (overlapping count).
 
-    Rows are dealt out by id once; the grouping of their n-grams by (id, gram)
-    and of the hits by id then stay in the partition, so no n-gram is ever
-    shuffled.  Whole texts are scanned."""
+    A row's own n-grams are sorted, so one that occurs more than ``tolerance``
+    times stands that many places apart from itself: no n-gram leaves its row, and
+    a task holds the n-grams of one text.  Only rows that share their id have
+    them counted together as well.  Whole texts are scanned."""
     # n-grams from the character array, materialised once per row: element
     # access is O(1), so a text of k characters costs O(k * n)
-    chars = spread(df, id_col).select(F.col(id_col).alias("__id"), F.split(F.col(col), "").alias("__c"))
-    k = F.size("__c") - n + 1
-    starts = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.concat(*[F.element_at(F.col("__c"), i + j) for j in range(n)])
-    grams = chars.select("__id", F.explode(F.transform(starts, gram)).alias("__g"))
-    counts = grams.groupBy("__id", "__g").agg(F.count(F.lit(1)).alias("__n"))
-    return counts.where(F.col("__n") > tolerance).select(F.col("__id").alias(id_col)).distinct()
+    def grams(c: Column) -> Column:
+        k = F.size(c) - n + 1
+        starts = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.element_at(c, i + j) for j in range(n)]))
+
+    def apart(s: Column) -> Column:
+        far = F.size(s) - tolerance
+        return F.when(far >= 1, F.exists(F.sequence(F.lit(0), far - 1), lambda i: F.get(s, i) == F.get(s, i + tolerance))).otherwise(False)
+
+    # arrays are bound as lambda variables: a filter on a column made of them would make them anew at each place
+    texts = df.select(F.struct(id_col).alias("__id"), F.col(col).alias("__t"))
+    ordered = F.transform(F.array(F.split("__t", "")), lambda c: F.sort_array(grams(c)))
+    own = texts.where(F.exists(ordered, apart)).select("__id")
+    repeated = df.groupBy(F.struct(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    both = texts.join(repeated, "__id", "left_semi").select("__id", F.split("__t", "").alias("__c"))
+    counts = both.select("__id", F.explode(grams(F.col("__c"))).alias("__g")).groupBy("__id", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    shared = counts.where(F.col("__n") > tolerance).select("__id")
+    return own.unionByName(shared).select(F.col(f"__id.{id_col}").alias(id_col)).distinct()
 
 
 def drop_repetitive(df: DataFrame, id_col: str, col: str, n: int = 2, tolerance: int = 10) -> DataFrame:

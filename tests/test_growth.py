@@ -76,3 +76,13 @@ def test_a_run_is_scored_once(spark, tmp_path):
     assert seen.value == 10
     assert [tuple(r)[:3] for r in spark.read.json(f"{out}/metadata").select("total", "successful", "failed").collect()] == [(10, 8, 2)]
     assert spark.read.option("header", True).csv(f"{out}/results").count() == 8 and spark.read.json(f"{out}/failed_files").count() == 2
+
+
+def test_repetitions_are_found_inside_a_row(spark):
+    from emoscope.operators.quality import repetition_hits
+    rows = [(1, "ab" * 12), (2, "abcd"), (3, "xy" * 3), (3, "xy" * 3), (None, "q" * 30), (4, None), (5, "ab" * 11), (6, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    out = repetition_hits(df, "id", "t", n=2, tolerance=5)
+    assert {r.id for r in out.collect()} == {1, 3, None, 5} and out.count() == 4
+    assert {r.id for r in repetition_hits(df, "id", "t", n=2, tolerance=11).collect()} == {1, None}
+    assert "sort_array" in out._jdf.queryExecution().optimizedPlan().toString()  # the n-grams of a row stay in it
