@@ -8,6 +8,7 @@ the tables directly.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from emoscope.functions import names as N
@@ -42,9 +43,13 @@ def q_src02(spark, sf):
     non-result folder), discovered and parsed by model."""
     from emoscope.plans.q_predictions import _shaped_tables
     base = K.scratch_dir(spark, "src02")
-    for (slm, model), t in zip(MODEL_OF.items(), _shaped_tables(spark, sf)):
-        K.write_csv(t, f"{base}/results_cosy_{model}/preds_v4.csv")
-        K.write_csv(t.limit(3), f"{base}/results_cosy_{model}/preds_v3.csv")
+    p = V.predictions(spark, sf).select("slm", "file_name", "pred_emo").persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # eight tables are written of rows that are made once
+        for (slm, model), t in zip(MODEL_OF.items(), _shaped_tables(p)):
+            K.write_csv(t, f"{base}/results_cosy_{model}/preds_v4.csv")
+            K.write_csv(t.limit(3), f"{base}/results_cosy_{model}/preds_v3.csv")
+    finally:
+        p.unpersist()
     K.write_csv(table(spark, sf, "region"), f"{base}/samples_cosy/preds_v4.csv")
     scanned = R.scan_results(spark, base, "v4")
     return (scanned.select("model", N.clean_label(N.label_by_model("model")).alias("pred_emo"))

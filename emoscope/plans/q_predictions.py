@@ -94,9 +94,8 @@ def q_prj04(spark, sf):
     return p.groupBy(N.condition_flag("file_name").alias("condition_flag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _shaped_tables(spark, sf):
-    """Four differently shaped prediction tables, one per model, cut from the view."""
-    p = V.predictions(spark, sf)
+def _shaped_tables(p):
+    """Four differently shaped prediction tables, one per model, cut from the predictions ``p``."""
     a = p.where(F.col("slm") == "m0").select(F.col("file_name").alias("filename"),
                                               F.upper("pred_emo").alias("predicted_emotion"))
     b = p.where(F.col("slm") == "m1").select(F.col("file_name").alias("file_path"),
@@ -124,7 +123,7 @@ FROM (
 def q_prj05(spark, sf):
     """PRJ05 + SET01: union of differently shaped tables, then the fallback chains."""
     from emoscope.operators.reshape import union_predictions
-    u = union_predictions(list(_shaped_tables(spark, sf)))
+    u = union_predictions(list(_shaped_tables(V.predictions(spark, sf))))
     return N.normalise_predictions(u).select("pred_path", "pred_label")
 
 
@@ -138,7 +137,7 @@ SELECT slm, path, lower(replace(label, '.', '')) AS pred_emo FROM (
 def q_prj06(spark, sf):
     """PRJ06: answer column chosen by model name over the aligned union."""
     from emoscope.operators.reshape import union_predictions
-    a, b, c, d = _shaped_tables(spark, sf)
+    a, b, c, d = _shaped_tables(V.predictions(spark, sf))
     tagged = [a.withColumn("slm", F.lit("desta2")), b.withColumn("slm", F.lit("qwen")),
               c.withColumn("slm", F.lit("salmonn")), d.withColumn("slm", F.lit("flamingo3"))]
     u = union_predictions(tagged)

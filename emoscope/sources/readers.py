@@ -64,25 +64,34 @@ def scan_results(spark: SparkSession, base: str, version: str, max_columns: int
     row that repeats the header word for word counts as a header too, and a
     name that a file lacks is NULL in its rows.  Files are chosen by their paths
     inside the scan; only the distinct column names reach the driver."""
-    columns = [f"_{i}" for i in range(max_columns)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in columns)).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.csv").csv(base))
-    path = F.col("_metadata.file_path")
-    # a table is a CSV file, or a directory named like one holding part files
-    is_dir_table = path_basename(path_parent(path)).endswith(".csv")
-    table_path = F.when(is_dir_table, path_parent(path)).otherwise(path)
-    folder = path_basename(path_parent(table_path))
-    stem = F.regexp_replace(path_basename(table_path), r"\.[^.]*$", "")
-    chosen = (F.regexp_extract(folder, r"^([^_]*)", 1) == "results") & (F.substring_index(stem, "_", -1) == version)
-    rows = raw.where(chosen).select(F.array(*columns).alias("row"), path.alias("source_file"),
-                                    F.substring_index(folder, "_", -1).alias("model"),
-                                    F.col("_metadata.file_block_start").alias("start"))
-    heads = (rows.where("start = 0").withColumn("place", F.monotonically_increasing_id())
-             .groupBy("source_file").agg(F.min_by("row", "place").alias("head")))
-    names = [r.name for r in heads.select(F.explode("head").alias("name")).where("name is not null").distinct().collect()]
-    if not names:
+    def rows_of(width: int) -> tuple[DataFrame, DataFrame]:
+        """The chosen files' rows and headers, ``width`` columns wide."""
+        columns = [f"_{i}" for i in range(width)]
+        raw = (spark.read.schema(", ".join(f"{c} string" for c in columns)).option("recursiveFileLookup", True)
+               .option("pathGlobFilter", "*.csv").csv(base))
+        path = F.col("_metadata.file_path")
+        # a table is a CSV file, or a directory named like one holding part files
+        is_dir_table = path_basename(path_parent(path)).endswith(".csv")
+        table_path = F.when(is_dir_table, path_parent(path)).otherwise(path)
+        folder = path_basename(path_parent(table_path))
+        stem = F.regexp_replace(path_basename(table_path), r"\.[^.]*$", "")
+        chosen = (F.regexp_extract(folder, r"^([^_]*)", 1) == "results") & (F.substring_index(stem, "_", -1) == version)
+        rows = raw.where(chosen).select(F.array(*columns).alias("row"), path.alias("source_file"),
+                                        F.substring_index(folder, "_", -1).alias("model"),
+                                        F.col("_metadata.file_block_start").alias("start"))
+        heads = (rows.where("start = 0").withColumn("place", F.monotonically_increasing_id())
+                 .groupBy("source_file").agg(F.min_by("row", "place").alias("head")))
+        return rows, heads
+
+    named = rows_of(max_columns)[1].select(F.posexplode("head").alias("place", "name")).where("name is not null")
+    places = {r.name: r.last for r in named.groupBy("name").agg(F.max("place").alias("last")).collect()}
+    if not places:
         raise FileNotFoundError(f"no result tables for version {version} under {base}")
-    data = rows.join(heads, "source_file").where(~F.col("row").eqNullSafe(F.col("head")))
+    names = list(places)
+    # a row shorter than the schema costs the parser an error record, so the rows are read no wider than the widest header
+    rows, heads = rows_of(max(places.values()) + 1)
+    # one short row for each file, so no row has to move to meet its header
+    data = rows.join(F.broadcast(heads), "source_file").where(~F.col("row").eqNullSafe(F.col("head")))
     values = [F.get("row", F.array_position("head", F.lit(c)).cast("int") - 1).alias(c) for c in sorted(names)]
     return data.select(*values, "model", "source_file")
 

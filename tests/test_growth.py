@@ -86,3 +86,14 @@ def test_repetitions_are_found_inside_a_row(spark):
     assert {r.id for r in out.collect()} == {1, 3, None, 5} and out.count() == 4
     assert {r.id for r in repetition_hits(df, "id", "t", n=2, tolerance=11).collect()} == {1, None}
     assert "sort_array" in out._jdf.queryExecution().optimizedPlan().toString()  # the n-grams of a row stay in it
+
+
+def test_result_tables_are_cut_from_rows_made_once(spark, monkeypatch):
+    from emoscope.plans import q_io
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(80).select(F.format_string("m%d", F.col("id") % 4).alias("slm"), F.lit("f").alias("file_name"),
+                                  F.lit("view").alias("pred_emo"))
+    monkeypatch.setattr(q_io.V, "predictions", lambda s, sf: counted(rows, seen))
+    out = q_io.q_src02(spark, "/root/testdata/sf0.001")
+    assert seen.value == 80
+    assert {(r.model, r.pred_emo): r.n for r in out.collect()} == {(m, "view"): 20 for m in q_io.MODEL_OF.values()}
