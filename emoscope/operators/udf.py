@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a model gets at once, at most; what it makes of them meanwhile grows with their number.
+MODEL_ROWS = 256
+
 _MODEL: dict = {}
 
 
@@ -63,7 +66,8 @@ def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Se
     """UDF01 score every row with a user model.  The model is built once per
     Python worker (``make_model``) and kept under ``key`` (a name and version the
     caller vouches for; by default one of this call alone), and called once for
-    each Arrow batch.
+    each block of at most ``MODEL_ROWS`` rows of an Arrow batch, so its memory
+    does not grow with the batch.
 
     A model returns the values, or a frame with a ``value`` and an ``error``
     for each row, so that rows that fail cost no further call and do not stop
@@ -77,7 +81,8 @@ def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Se
 
     def run(batches):
         model = _worker_model(model_key, make_model)
-        for pdf in batches:
+        for pdf in (whole.iloc[lo:lo + MODEL_ROWS].reset_index(drop=True)
+                    for whole in batches for lo in range(0, len(whole), MODEL_ROWS)):
             try:
                 values, errors = _parts(model(pdf[cols]), pdf.index)
             except Exception:  # noqa: BLE001 - the model cannot tell which rows fail

@@ -97,3 +97,12 @@ def test_result_tables_are_cut_from_rows_made_once(spark, monkeypatch):
     out = q_io.q_src02(spark, "/root/testdata/sf0.001")
     assert seen.value == 80
     assert {(r.model, r.pred_emo): r.n for r in out.collect()} == {(m, "view"): 20 for m in q_io.MODEL_OF.values()}
+
+
+def test_a_model_gets_rows_in_blocks(spark):
+    from emoscope.operators import udf as U
+
+    def make():
+        return lambda pdf: pdf["id"] * 0 + len(pdf)
+    got = U.score(spark.range(0, 1000, 1, 1), make, ["id"]).collect()
+    assert [r.id for r in got] == list(range(1000)) and max(r.value for r in got) <= U.MODEL_ROWS
