@@ -28,6 +28,7 @@ import re
 import struct
 import tempfile
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -40,6 +41,8 @@ from emoscope.llm.common import kept_by_worker, text_of
 
 #: Bytes of the words that a worker remembers, about, in each of two generations.
 REMEMBERED_BYTES = 1 << 25
+#: Distinct words that a task counts before it passes the counts on.
+COUNTED_WORDS = 100_000
 _SPREAD = 0x9E3779B1
 _MARKS = 1 << 19
 _SHORT = 64
@@ -311,20 +314,34 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, sample_docs: int = 600, most: int = 20_000) -> list[str]:
-    """The ``most`` frequent words of a sample of ``sample_docs`` documents, chosen
-    by a hash of the id.  They set the automaton's size and speed, not the ids."""
-    ids = (docs.select("doc_id").filter("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    sample = docs.join(F.broadcast(ids), "doc_id").select(text_of().alias("text"))
+def frequent_words(docs: DataFrame, sample_docs: int | None = None, most: int = 20_000) -> list[str]:
+    """The ``most`` frequent words of all documents (of ``sample_docs`` of them,
+    chosen by a hash of the id, if a caller asks for it), counted per Arrow batch
+    and then by Spark.  They set the automaton's size and speed, not the ids."""
+    chosen = docs
+    if sample_docs is not None:
+        ids = (docs.select("doc_id").filter("doc_id is not null").distinct()
+               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
+        chosen = docs.join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+                                             names=["w", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(split_words(x.as_py()), pa.string())], names=["w"])
+                seen.update(split_words(x.as_py()))
+                if len(seen) > COUNTED_WORDS:
+                    yield rows()
+        yield rows()
 
-    counts = sample.mapInArrow(run, "w string").groupBy("w").count()
-    return [r.w for r in counts.orderBy(F.col("count").desc(), "w").limit(most).collect()]
+    counts = chosen.select(text_of().alias("text")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in counts.orderBy(F.col("n").desc(), "w").limit(most).collect()]
 
 
 class SharedCodec:

@@ -106,3 +106,11 @@ def test_a_model_gets_rows_in_blocks(spark):
         return lambda pdf: pdf["id"] * 0 + len(pdf)
     got = U.score(spark.range(0, 1000, 1, 1), make, ["id"]).collect()
     assert [r.id for r in got] == list(range(1000)) and max(r.value for r in got) <= U.MODEL_ROWS
+
+
+def test_frequent_words_of_all_documents(spark):
+    from emoscope.llm.bpe import frequent_words
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.format_string("w%d", "id").alias("text"))
+    docs = docs.unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("often").alias("text")))
+    words = frequent_words(docs, most=10_000)
+    assert words[0] == "often" and {"w"} | {str(i) for i in range(1500)} <= set(words)
