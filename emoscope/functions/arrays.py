@@ -212,37 +212,67 @@ def concat_capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], arr_
     return taken.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda s: s["__p"])).alias(out))
 
 
+def crossfade_pieces(df: DataFrame, key: str, order: str, arr_col: str, n: int) -> DataFrame:
+    """ARR15 in long form ``(key, part, piece)``: an entity's wave is its
+    pieces in ``part`` order, so no row holds more than a segment, however many segments an entity has.
+
+    The overlap starts at ``n`` and, as in the reference, keeps shrinking to the
+    shortest side seen, which is the running minimum of the sizes.  A segment
+    owns the samples after its overlap; the head of the next one fades into its
+    last samples.  Where a segment is shorter than ``2 * n``, several heads can
+    fade into one sample: only there are samples dealt out by their place, and
+    the heads of a place folded in order.  A NULL segment gives a NULL piece."""
+    from emoscope.operators.ordered import ordered_scan
+    from emoscope.session import ensure_checkpoint_dir
+    n = max(n, 0)
+    segs = df.select(F.col(key).alias("__key"), F.col(order).alias("__o"), F.col(arr_col).alias("__a"),
+                     F.when(F.col(arr_col).isNotNull(), F.size(arr_col)).alias("__n"))
+    segs = segs.withColumn("__head", F.struct("__n", F.slice("__a", 1, n).alias("a")))
+    segs = ordered_scan(segs, ["__key"], ["__o"], ties=["__a"], row_number="part", running_min=("__n", "__least"),
+                        lead=[("__head", "__next")])
+    most = F.least(F.lit(n), "__least")
+    segs = segs.select("__key", "part", "__n", F.col("__next.__n").alias("__next_n"),
+                       F.when(F.col("part") == 1, 0).otherwise(most).alias("__k"),
+                       F.coalesce(F.when(F.col("__next.__n").isNotNull(), F.least(most, "__next.__n")), F.lit(0)).alias("__kn"),
+                       "__a", F.col("__next.a").alias("__h"))
+    own = F.slice("__a", F.col("__k") + 1, F.greatest(F.col("__n") - F.col("__k"), F.lit(0)))
+    segs = segs.select("__key", "part", "__kn", F.coalesce(F.slice("__h", 1, F.col("__kn")), F.slice("__a", 1, 0)).alias("__h"), own.alias("__own"),
+                       (F.col("__n").isNotNull() & F.coalesce(F.least("__n", "__next_n") < 2 * n, F.lit(False))).alias("__short"))
+
+    def weight(i):
+        return F.when(F.col("__kn") > 1, i / F.greatest(F.col("__kn") - 1, F.lit(1)).cast("double")).otherwise(0.0)
+
+    kept = F.size("__own") - F.col("__kn")
+    faded = F.transform(F.arrays_zip(F.slice("__own", kept + 1, F.col("__kn")).alias("t"), F.col("__h").alias("h")),
+                        lambda x, i: x["t"] * (F.lit(1.0) - weight(i)) + x["h"] * weight(i))
+    whole = F.when(F.col("__kn") > 0, F.concat(F.slice("__own", 1, kept), faded)).otherwise(F.col("__own"))
+    long = segs.where(~F.col("__short")).select("__key", "part", whole.alias("piece"))
+
+    if not df.where(F.size(arr_col).between(0, 2 * n - 1)).limit(1).count():
+        return long.withColumnRenamed("__key", key)
+    ensure_checkpoint_dir(df.sparkSession)
+    short = segs.where("__short").drop("__short").withColumn("__len", F.size("__own").cast("long")).checkpoint()
+    short = ordered_scan(short, ["__key"], ["part"], running_sum=("__len", "__end"))
+    steps = F.concat(
+        F.transform("__own", lambda x, i: F.struct((F.col("__end") - F.col("__len") + i).alias("p"), F.lit(0).alias("turn"),
+                                                   F.lit(1.0).alias("w"), x.alias("x"))),
+        F.transform("__h", lambda x, i: F.struct((F.col("__end") - F.col("__kn") + i).alias("p"), F.lit(1).alias("turn"),
+                                                 weight(i).alias("w"), x.alias("x"))))
+    place = short.select("__key", "part", F.explode(steps).alias("s")).groupBy("__key", F.col("s.p").alias("p")).agg(
+        F.array_sort(F.collect_list(F.struct("s.turn", "part", "s.w", "s.x"))).alias("steps"))
+    final = F.aggregate(F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0))), F.element_at("steps", 1)["x"],
+                        lambda acc, s: acc * (F.lit(1.0) - s["w"]) + s["x"] * s["w"])
+    block = place.select("__key", F.element_at("steps", 1)["part"].alias("part"), "p", final.alias("x"))
+    block = block.groupBy("__key", "part").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("xs"))
+    none = short.where("__len = 0").select("__key", "part", F.slice("__own", 1, 0).alias("piece"))
+    dealt = block.select("__key", "part", F.transform("xs", lambda s: s["x"]).alias("piece"))
+    return long.unionByName(dealt).unionByName(none).withColumnRenamed("__key", key)
+
+
 def crossfade(df: DataFrame, key: str, order: str, arr_col: str, n: int, out: str = "wave") -> DataFrame:
     """ARR15 join one entity's segments (e.g. the chunks of one generated
-    utterance) in order with linear cross-fades.  The overlap starts at ``n``
-    and, as in the reference, keeps shrinking to the shortest side seen.
-    Runs as an ``aggregate`` fold over the entity's ordered segments."""
-    segs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(arr_col).alias("a"))))
-    grouped = df.groupBy(key).agg(segs.alias("__segs"))
-
-    def step(acc, seg):
-        nxt = seg["a"]
-        wave = acc["wave"]
-        ov = F.least(acc["ov"], F.size(wave), F.size(nxt))
-
-        def blend(k):
-            tail = F.slice(wave, F.size(wave) - k + 1, k)
-            head = F.slice(nxt, 1, k)
-
-            def mix(pair_tail, pair_head):
-                idx = F.sequence(F.lit(0), k - 1)
-                denom = F.greatest(k - 1, F.lit(1)).cast("double")
-                return F.transform(idx, lambda i: F.element_at(pair_tail, i + 1) * (F.lit(1.0) - F.when(k > 1, i / denom).otherwise(0.0))
-                                   + F.element_at(pair_head, i + 1) * F.when(k > 1, i / denom).otherwise(0.0))
-
-            faded = let(tail, lambda t: let(head, lambda h: mix(t, h)))
-            return F.concat(F.slice(wave, 1, F.size(wave) - k), faded,
-                            F.slice(nxt, k + 1, F.greatest(F.size(nxt) - k, F.lit(0))))
-
-        merged = let(ov, lambda k: F.when(k <= 0, F.concat(wave, nxt)).otherwise(blend(k)))
-        return F.struct(merged.alias("wave"), ov.alias("ov"))
-
-    first = F.element_at("__segs", 1)["a"]
-    rest = F.slice("__segs", 2, F.greatest(F.size("__segs") - 1, F.lit(0)))
-    init = F.struct(first.alias("wave"), F.lit(n).alias("ov"))
-    return grouped.select(key, F.aggregate(rest, init, step, lambda acc: acc["wave"]).alias(out))
+    utterance) in order with linear cross-fades: the pieces of
+    ``crossfade_pieces``, put together once."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "piece")))
+    wave = F.flatten(F.transform(parts, lambda s: s["piece"]))
+    return crossfade_pieces(df, key, order, arr_col, n).groupBy(key).agg(wave.alias(out))

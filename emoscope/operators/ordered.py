@@ -81,6 +81,8 @@ def ordered_scan(
     *,
     row_number: str | None = None,
     running_sum: tuple[str, str] | None = None,
+    running_min: tuple[str, str] | None = None,
+    ties: Sequence[str | Column] = (),
     lag: Iterable[tuple[str, str]] = (),
     lead: Iterable[tuple[str, str]] = (),
     last: Iterable[tuple[str, str]] = (),
@@ -92,6 +94,10 @@ def ordered_scan(
     ``row_number``  name of a 1-based position within the key.
     ``running_sum`` ``(value_col, out_col)``: inclusive running sum within the
     key, NULL values counting as 0; the type is that of Spark's ``sum``.
+    ``running_min`` ``(value_col, out_col)``: inclusive running minimum within
+    the key, NULL values left out.
+    ``ties`` columns that order rows of equal ``order``; such rows share a slice,
+    so the bounds need not hold these columns.
     ``lag`` / ``lead`` ``(col, out_col)`` pairs: the value of the previous /
     next row of the same key (NULL at the key's first / last row).
     ``last`` / ``following`` ``(col, out_col)`` pairs: the last value that is not
@@ -101,6 +107,7 @@ def ordered_scan(
     keys, lag, lead, last, following = list(keys), list(lag), list(lead), list(last), list(following)
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = slices_of(df, keys, by, _slice_count(df, num_partitions))
+    by += [F.col(c) if isinstance(c, str) else c for c in ties]
 
     value = None
     if running_sum:
@@ -110,6 +117,8 @@ def ordered_scan(
     local = placed.withColumn("__rn", F.row_number().over(ahead).cast("long"))
     if running_sum:
         local = local.withColumn("__cs", F.sum(value).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    if running_min:
+        local = local.withColumn("__cm", F.min(running_min[0]).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     for i, (c, _) in enumerate(lag):
         local = local.withColumn(f"__lag{i}", F.lag(c).over(ahead))
     if lead:
@@ -126,6 +135,8 @@ def ordered_scan(
     totals = [F.count(F.lit(1)).alias("n")]
     if running_sum:
         totals.append(F.sum(value).alias("s"))
+    if running_min:
+        totals.append(F.min(running_min[0]).alias("m"))
     totals += [F.max_by(F.struct(c), F.struct(*by))[c].alias(f"last{i}") for i, (c, _) in enumerate(lag)]
     totals += [F.min_by(F.struct(c), F.struct(*by))[c].alias(f"first{i}") for i, (c, _) in enumerate(lead)]
     for i, (c, _) in enumerate(last):
@@ -138,6 +149,8 @@ def ordered_scan(
     carry = [F.sum("n").over(before).alias("__n0")]
     if running_sum:
         carry.append(F.sum("s").over(before).alias("__s0"))
+    if running_min:
+        carry.append(F.min("m").over(before).alias("__m0"))
     carry += [F.lag(f"last{i}").over(along).alias(f"__last{i}") for i in range(len(lag))]
     carry += [F.lead(f"first{i}").over(along).alias(f"__first{i}") for i in range(len(lead))]
     behind = Window.partitionBy("__g.key").orderBy(F.desc("__g.slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -162,6 +175,8 @@ def ordered_scan(
     if running_sum:
         extra.append(F.when(F.col("__s0").isNull(), F.col("__cs")).otherwise(F.col("__cs") + F.col("__s0"))
                      .alias(running_sum[1]))
+    if running_min:
+        extra.append(F.least("__cm", "__m0").alias(running_min[1]))
     for i, (_, name) in enumerate(lag):
         extra.append(F.when(F.col("__rn") == 1, F.col(f"__last{i}")).otherwise(F.col(f"__lag{i}")).alias(name))
     for i, (_, name) in enumerate(lead):
