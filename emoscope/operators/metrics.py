@@ -43,7 +43,8 @@ def confusion(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
     seen = (df.select(*keys, F.col(y).alias("actual"), F.col(yhat).alias("predicted"),
                       F.array(*[F.col(c) for c in label_cols]).alias("_seen"))
             .groupBy(*keys, "actual", "predicted", "_seen").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
-    known = (seen.select(F.explode("_seen").alias("label")).where("label is not null").distinct()
+    # explode would have its filter (array not empty) pushed below the counts, so that the rows are made and counted again
+    known = (seen.select(F.explode_outer("_seen").alias("label")).where("label is not null").distinct()
              .agg(F.array_sort(F.collect_list("label"))).scalar())
     groups = seen.select(*keys).distinct() if keys else seen.groupBy().agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
     groups = groups.withColumn("_labels", known)

@@ -67,6 +67,16 @@ def test_expected_counts_count_their_rows_once(spark):
     assert got == {("g", "a", "a"): (1, 1.0), ("g", "a", "b"): (1, 1.0), ("g", "b", "a"): (0, 0.0), ("g", "b", "b"): (0, 0.0)}
     assert seen.value == 3
 
+def test_expected_counts_of_made_labels_share_one_exchange(spark):
+    """Labels that are expressions: no filter on them reaches the rows, so all readers of the counts have one plan."""
+    from emoscope.operators.metrics import expected_counts
+    rows = spark.range(40).selectExpr("id % 2 AS k", "lower(concat('X', id % 3)) AS a", "lower(concat('X', id % 4)) AS b")
+    out = expected_counts(rows, "a", "b", ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(array(" not in plan and "size(array(lower" not in plan
+    assert len(out.collect()) == 2 * 4 * 4
+
+
 
 def test_a_run_is_scored_once(spark, tmp_path):
     from emoscope.sources.sinks import write_run
