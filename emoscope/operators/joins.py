@@ -190,13 +190,13 @@ def pick_reference(jobs: DataFrame, refs: DataFrame, n: int, seed: int, cap: flo
 
     Speakers are ranked per emotion by the range-sharded row number, the
     draw is an equi-join on (emotion, rank), and the top-N is a pre-limited
-    window: no per-emotion task holds all speakers' files."""
+    window: no per-emotion task holds all speakers' files.  The speakers are
+    counted apart from their ranks, as each use of a scan plans it anew."""
     from emoscope.operators.ordered import key_sizes, ordered_scan
     from emoscope.operators.ranking import take_until, top_n
     spk = refs.select(emotion, speaker).distinct()
+    sizes = key_sizes(spk, [emotion], "__nspk").select(emotion, "__nspk").distinct()
     spk = ordered_scan(spk, [emotion], [stable_hash(speaker, seed), speaker], row_number="__srank")
-    spk = key_sizes(spk, [emotion], "__nspk")
-    sizes = spk.select(emotion, "__nspk").distinct()
     draw = jobs.join(sizes, emotion).withColumn(
         "__srank", F.pmod(stable_hash(job_key, seed), F.col("__nspk")) + 1)
     chosen = draw.join(spk.select(emotion, "__srank", speaker), [emotion, "__srank"]).drop("__srank", "__nspk")

@@ -60,8 +60,11 @@ def _with_slice(df: DataFrame, n_keys: int, place: Column, n: int) -> DataFrame:
     # a projection a step: a fold would copy the bounds at each step of each row, so rows x slices bytes in all
     out = df.select(*df.columns, place.alias("__p"), _bounds(df, place, n).alias("__b"), F.lit(0).alias("__at"))
     for by in (1 << k for k in reversed(range((n - 1).bit_length()))):
-        low = (F.col("__at") + by <= n - 1) & (F.get("__b", F.col("__at") + by - 1) <= F.col("__p"))
-        out = out.select(*df.columns, "__p", "__b", F.when(low, F.col("__at") + by).otherwise(F.col("__at")).alias("__at"))
+        low = F.get("__b", F.col("__at") + by - 1) <= F.col("__p")  # NULL behind the last bound
+        out = out.select(*df.columns, "__p", "__b", (F.col("__at") + F.when(low, by).otherwise(0)).alias("__at"))
+    # Catalyst writes a join key out in terms of its sources, which repeats each step in the one above, so slices x
+    # slices expressions in the driver; it does not look behind a generator (an outer one, as it filters by others)
+    out = out.select(*df.columns, "__p", F.explode_outer(F.array("__at")).alias("__at"))
     # a struct is never NULL, so NULL keys group and join like any other
     key = F.struct(F.lit(0).alias("all"), *[F.col(f"__p.k{i}").alias(f"k{i}") for i in range(n_keys)])
     return out.select(*df.columns, F.struct(key.alias("key"), F.col("__at").alias("slice")).alias("__g"))

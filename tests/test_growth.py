@@ -124,3 +124,57 @@ def test_frequent_words_of_all_documents(spark):
     docs = docs.unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("often").alias("text")))
     words = frequent_words(docs, most=10_000)
     assert words[0] == "often" and {"w"} | {str(i) for i in range(1500)} <= set(words)
+
+
+def test_a_slice_is_not_written_out_in_terms_of_its_steps(spark):
+    """What Catalyst does with a join key: each step that it finds below repeats the ones below that."""
+    from emoscope.operators.ordered import ordered_scan, slices_of
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    plan = slices_of(df, ["k"], [F.col("id")], 400)._jdf.queryExecution().analyzed()
+    pruning = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.dynamicpruning, "PartitionPruning$"), "MODULE$")
+    assert pruning.findExpressionAndTrackLineageDown(plan.output().last(), plan).isEmpty()
+    assert all(r.n == r.id // 3 + 1 for r in ordered_scan(df, ["k"], ["id"], row_number="n", num_partitions=400).collect())
+
+
+def test_references_of_repeated_and_missing_keys(spark):
+    from hashlib import md5
+    from itertools import groupby
+    from emoscope.operators.joins import pick_reference
+
+    def drawn(value, seed=11):
+        return int(md5(":".join([value] * (value is not None) + [str(seed)]).encode()).hexdigest()[:15], 16)
+    refs = [(i, f"s{i % 7}" if i % 11 else None, ("a", "b", None)[i % 3], None if i % 13 == 5 else float(i % 17 + 1)) for i in range(120)]
+    refs += refs[:9]
+    jobs = [(j, ("a", "b", "none", None)[j % 4]) for j in range(40)] + [(3, "a"), (4, "a"), (None, "a"), (None, "a")]
+    r = spark.createDataFrame(refs, "ref_id long, speaker string, emotion string, duration double")
+    out = pick_reference(spark.createDataFrame(jobs, "job_number long, emotion string"), r, 4, 11, 20.0)
+
+    speakers, files, want = {}, {}, {}
+    for ref_id, s, e, d in refs:
+        speakers.setdefault(e, set()).add(s)
+        files.setdefault((s, e), []).append((d is None, -(d or 0), ref_id))
+    for job, e in jobs:
+        if e and e in speakers:
+            ranked = sorted((drawn(s), s or "") for s in speakers[e])
+            s = ranked[drawn(None if job is None else str(job)) % len(ranked)][1] or None
+            if s:  # a file without a speaker has no partner
+                want.setdefault(job, []).extend((k, -d) for k, (none, d, _) in enumerate(sorted(files[s, e])[:4]) if not none)
+    for job, rows in want.items():
+        left, want[job] = 20.0, []
+        for _, d in sorted(rows):
+            if left > 0:
+                want[job].append(min(d, left))
+                left -= d
+    got = {job: sorted(x.taken for x in rows) for job, rows in groupby(
+        sorted(out.select("job_number", "taken").collect(), key=lambda x: (x.job_number is None, x.job_number or 0)), lambda x: x.job_number)}
+    assert None in want and len(want) > 15 and got == {job: sorted(x) for job, x in want.items()}
+
+
+def test_speakers_are_counted_before_they_are_ranked(spark):
+    """Each reading of the ranks plans the ranking anew, and the scan of the picked files names them four times."""
+    from emoscope.operators.joins import pick_reference
+    jobs = spark.createDataFrame([(1, "a")], "job_number long, emotion string")
+    refs = spark.range(9).selectExpr("id AS ref_id", "concat('s', id % 2) AS speaker", "'a' AS emotion", "1.0D AS duration")
+    out = pick_reference(jobs, refs, 4, 11, 20.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 28
+    assert out.count() == 4
